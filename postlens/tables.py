@@ -26,8 +26,15 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._cache: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return table(self.spark, self.sf_dir, name)
+            if name not in self._cache:
+                self._cache[name] = table(self.spark, self.sf_dir, name)
+            return self._cache[name]
         raise AttributeError(name)
+
+    def fresh(self, name: str) -> DataFrame:
+        """A second, independent scan of a table (for self joins)."""
+        return table(self.spark, self.sf_dir, name)
