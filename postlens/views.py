@@ -52,7 +52,7 @@ def v_ticker_text(t: Tables) -> DataFrame:
 def v_scores(t: Tables) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
-    l = t.lineitem.withColumn("chunk_no", F.row_number().over(w))
+    l = t.lineitem.withColumn("chunk_no", F.row_number().over(w).cast("long"))
     return l.select(
         F.col("l_orderkey").alias("item_id"), "chunk_no", F.col("l_returnflag").alias("label"),
         F.col("l_linestatus").alias("source_type"),
@@ -62,6 +62,14 @@ def v_scores(t: Tables) -> DataFrame:
         F.col("l_extendedprice").alias("score"))
 
 
+def lineitem_chunks(t: Tables) -> DataFrame:
+    """lineitem as a chunk table: order = item, line = chunk (numbered as in V_scores)."""
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")
+    return t.lineitem.select(F.col("l_orderkey").alias("item_id"), "*").withColumn(
+        "chunk_no", F.row_number().over(w).cast("long"))
+
+
 def v_lexicon(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.lower(F.explode(F.split("text", " "))).alias("word"))
     return (words.where(F.col("word") != "")
@@ -108,6 +116,9 @@ SELECT l_orderkey AS item_id, chunk_no, l_returnflag AS label, l_linestatus AS s
   CAST(l_quantity/50 AS DECIMAL(6,2)) AS lexicon, l_extendedprice AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
       l_extendedprice, l_shipdate, l_quantity) AS chunk_no FROM lineitem) l""",
+    "V_chunks": """
+SELECT l_orderkey AS item_id, *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+  l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS chunk_no FROM lineitem""",
     "V_lexicon": """
 SELECT word, max((length(word)*7) % 9 - 4) AS valence
 FROM (SELECT lower(w) AS word FROM (SELECT unnest(string_split(text,' ')) AS w FROM benchmark) a) b
