@@ -71,9 +71,9 @@ def lineitem_chunks(t: Tables) -> DataFrame:
 
 
 def v_lexicon(t: Tables) -> DataFrame:
-    words = t.benchmark.select(F.lower(F.explode(F.split("text", " "))).alias("word"))
+    words = t.benchmark.select(F.explode(F.split("text", " ")).alias("w")).select(F.lower("w").alias("word"))
     return (words.where(F.col("word") != "")
-            .groupBy("word").agg(F.max((F.length("word") * 7) % 9 - 4).alias("valence")))
+            .groupBy("word").agg(F.max((F.length("word") * 7) % 9 - 4).cast("long").alias("valence")))
 
 
 def v_updates(t: Tables) -> DataFrame:
