@@ -131,7 +131,8 @@ def term_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
                     .alias("tok_no", "word")).withColumn("term", F.lower("word"))
 
 
-def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int = 20) -> DataFrame:
+def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int = 20,
+                  occ: DataFrame | None = None) -> DataFrame:
     """Per document and candidate term: the YAKE features and score (lower is
     better) and the rank; the ``top`` best are kept.
 
@@ -139,7 +140,7 @@ def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int
     occurrences; median sentence index; distinct left/right neighbours within
     ``window`` over all such co-occurrences; share of sentences containing it.
     """
-    occ = term_occurrences(df, key, text)
+    occ = term_occurrences(df, key, text) if occ is None else occ
     occ = occ.withColumn("_cap", (F.col("tok_no") > 0) & F.col("word").rlike(r"^\p{Lu}"))
     occ = occ.withColumn("_acr", (F.length("word") > 1) & is_upper(F.col("word")))
     stop = F.col("term").isin(STOPWORDS) | (F.length("term") < 3) | F.col("term").rlike(r"^\p{N}+$")
@@ -182,11 +183,13 @@ def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int
     return f.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int = 10) -> DataFrame:
+def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int = 10,
+                 occ: DataFrame | None = None) -> DataFrame:
     """2-gram candidates (adjacent words of a sentence, no stop word at either
     end): ``score = S1 * S2 / (tf * (1 + S1 + S2))`` with the unigram scores."""
-    uni = unigram_stats(df, key, text, window=window, top=1 << 30).select(key, "term", F.col("score").alias("s"))
-    occ = term_occurrences(df, key, text)
+    occ = term_occurrences(df, key, text) if occ is None else occ
+    uni = unigram_stats(df, key, text, window=window, top=1 << 30, occ=occ).select(
+        key, "term", F.col("score").alias("s"))
     nxt = occ.select(key, "sent_no", (F.col("tok_no") - 1).alias("tok_no"), F.col("term").alias("t2"))
     bg = occ.join(nxt, [key, "sent_no", "tok_no"]).select(key, F.col("term").alias("t1"), "t2")
     g = bg.groupBy(key, "t1", "t2").agg(F.count(F.lit(1)).alias("tf"))
@@ -238,9 +241,13 @@ def extract_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
     near duplicates removed) through the noise filter; tickers, special tokens
     and acronyms added unfiltered; joined tags split; invalid ones dropped;
     case expansion; one sorted distinct array per document."""
-    uni = near_dup(unigram_stats(df, key, text), key).select(key, F.col("rank").alias("pos"), F.col("term").alias("kw"))
-    bi = near_dup(bigram_stats(df, key, text), key).select(key, (F.col("rank") + 100).alias("pos"),
-                                                           F.col("term").alias("kw"))
+    # Word occurrences feed both scorers (and their neighbour joins): materialise
+    # them once in the shared checkpoint folder instead of re-splitting every text.
+    occ = term_occurrences(df, key, text).checkpoint(eager=True)
+    uni = near_dup(unigram_stats(df, key, text, occ=occ), key).select(key, F.col("rank").alias("pos"),
+                                                                      F.col("term").alias("kw"))
+    bi = near_dup(bigram_stats(df, key, text, occ=occ), key).select(key, (F.col("rank") + 100).alias("pos"),
+                                                                    F.col("term").alias("kw"))
     stat = noise_filter(uni.unionByName(bi), key)
     extra = (tickers(df, key, text).withColumn("pos", F.col("pos") + 10_000)
              .unionByName(special_tokens(df, key, text).withColumn("pos", F.col("pos") + 20_000_000))
