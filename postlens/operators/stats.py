@@ -32,6 +32,18 @@ def resolve_as_of(events: DataFrame, ts: str = "ts", as_of=None) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+def window_bounds(events: DataFrame, ts: str, as_of, hours: float) -> tuple[Column, Column]:
+    """``(as_of - hours, as_of)`` as columns.  With ``as_of`` unset each bound is
+    its own scalar subquery, so both comparisons reach the parquet reader as
+    pushed filters (an expression over a subquery would not)."""
+    if as_of is None:
+        hi = events.select(F.max(ts)).scalar()
+        lo = events.select(F.max(ts) - _hours(hours)).scalar()
+        return lo, hi
+    a = resolve_as_of(events, ts, as_of)
+    return a - _hours(hours), a
+
+
 def _hours(h: float) -> Column:
     return F.make_dt_interval(secs=F.lit(float(h) * 3600.0))
 
@@ -42,16 +54,15 @@ def _effective_hours(period_hours: float) -> float:
 
 def retention_24h(events: DataFrame, ts: str = "ts", as_of=None) -> DataFrame:
     """Keep occurrences in ``[as_of - 24h, as_of]`` (both bounds inclusive)."""
-    a = resolve_as_of(events, ts, as_of)
-    return events.where((F.col(ts) >= a - _hours(RETENTION_HOURS)) & (F.col(ts) <= a))
+    lo, hi = window_bounds(events, ts, as_of, RETENTION_HOURS)
+    return events.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
 
 
 def trailing_count(events: DataFrame, key: str = "event_type", ts: str = "ts", as_of=None,
                    period_hours: float = 24) -> DataFrame:
     """Per key, occurrences with ``ts >= as_of - least(period, 24h)``."""
-    a = resolve_as_of(events, ts, as_of)
-    p = _effective_hours(period_hours)
-    return (events.where((F.col(ts) >= a - _hours(p)) & (F.col(ts) <= a))
+    lo, hi = window_bounds(events, ts, as_of, _effective_hours(period_hours))
+    return (events.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
             .groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -176,8 +187,9 @@ def source_stats(events: DataFrame, weights: DataFrame, as_of=None, quotas: Data
     that have no weight are counted under ``other``.
     """
     a = resolve_as_of(events, ts, as_of)
+    lo, hi = window_bounds(events, ts, as_of, RETENTION_HOURS)
     contribution = F.lit(False) if contribution is None else contribution
-    recent = events.where((F.col(ts) >= a - _hours(RETENTION_HOURS)) & (F.col(ts) <= a))
+    recent = events.where((F.col(ts) >= lo) & (F.col(ts) <= hi))
     per_key = recent.groupBy(F.col(key).alias("_key")).agg(
         F.count(F.lit(1)).alias("count_24h"),
         F.count_if(F.col(ts) >= a - _hours(1)).alias("count_1h"),
@@ -225,9 +237,8 @@ def daily_total(stats: DataFrame, legacy_other: bool = True) -> DataFrame:
 def inactive_sources(weights: DataFrame, events: DataFrame, key: str = "event_type", ts: str = "ts",
                      as_of=None, period_hours: float = 24) -> DataFrame:
     """Weighted sources without any event in the period (left anti join)."""
-    a = resolve_as_of(events, ts, as_of)
-    p = _effective_hours(period_hours)
-    active = events.where((F.col(ts) >= a - _hours(p)) & (F.col(ts) <= a)).select(F.col(key).alias("_k"))
+    lo, hi = window_bounds(events, ts, as_of, _effective_hours(period_hours))
+    active = events.where((F.col(ts) >= lo) & (F.col(ts) <= hi)).select(F.col(key).alias("_k"))
     w = weights.select("source")
     return w.join(active, w["source"] == active["_k"], "left_anti")
 
