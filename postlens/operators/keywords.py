@@ -124,69 +124,56 @@ def case_expand(c: DataFrame, key: str = "doc_id") -> DataFrame:
 
 # ---- statistical candidates (YAKE features) -----------------------------------------------------
 
-def sentence_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per sentence: ``(doc, sent_no, words array<string>)``."""
-    s = df.select(key, F.posexplode(sentences(text)).alias("sent_no", "sentence"))
-    return s.select(key, "sent_no", F.regexp_extract_all("sentence", F.lit(r"([\p{L}\p{N}]+)"), 1).alias("words"))
-
-
-def term_occurrences(df: DataFrame, key: str, text: str, sents: DataFrame | None = None) -> DataFrame:
+def term_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
     """Word occurrences ``(doc, sent_no, tok_no, word, term)`` within sentences."""
-    s = sentence_tokens(df, key, text) if sents is None else sents
-    return s.select(key, "sent_no", F.posexplode("words").alias("tok_no", "word")).withColumn("term", F.lower("word"))
-
-
-def _stop(term: Column) -> Column:
-    return term.isin(STOPWORDS) | (F.length(term) < 3) | term.rlike(r"^\p{N}+$")
-
-
-def neighbour_pairs(sents: DataFrame, key: str, window: int) -> DataFrame:
-    """``(doc, term, side, other)`` for every word and each neighbour up to
-    ``window`` positions away in the same sentence, generated inside the
-    sentence's row (no join)."""
-    n = F.size("words")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(window)), lambda d: F.struct(
-            F.lower(F.get(F.col("words"), i)).alias("term"),
-            F.when(i - d >= 0, F.lower(F.get(F.col("words"), i - d))).alias("left"),
-            F.when(i + d < n, F.lower(F.get(F.col("words"), i + d))).alias("right")))))
-    x = sents.where(n > 0).select(key, F.explode(pairs).alias("p")).select(key, "p.*")
-    left = x.where(F.col("left").isNotNull()).select(key, "term", F.lit("L").alias("side"), F.col("left").alias("other"))
-    right = x.where(F.col("right").isNotNull()).select(key, "term", F.lit("R").alias("side"),
-                                                       F.col("right").alias("other"))
-    return left.unionByName(right)
+    s = df.select(key, F.posexplode(sentences(text)).alias("sent_no", "sentence"))
+    return s.select(key, "sent_no", F.posexplode(F.regexp_extract_all("sentence", F.lit(r"([\p{L}\p{N}]+)"), 1))
+                    .alias("tok_no", "word")).withColumn("term", F.lower("word"))
 
 
 def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int = 20,
-                  sents: DataFrame | None = None) -> DataFrame:
+                  occ: DataFrame | None = None) -> DataFrame:
     """Per document and candidate term: the YAKE features and score (lower is
     better) and the rank; the ``top`` best are kept.
 
     Features: tf; tf of capitalised (not sentence-initial) and of all-caps
     occurrences; median sentence index; distinct left/right neighbours within
     ``window`` over all such co-occurrences; share of sentences containing it.
-    All are aggregates per ``(doc, term)``; the sentence-index list of a term is
-    bounded by one document.
     """
-    sents = sentence_tokens(df, key, text) if sents is None else sents
-    occ = term_occurrences(df, key, text, sents)
+    occ = term_occurrences(df, key, text) if occ is None else occ
     occ = occ.withColumn("_cap", (F.col("tok_no") > 0) & F.col("word").rlike(r"^\p{Lu}"))
     occ = occ.withColumn("_acr", (F.length("word") > 1) & is_upper(F.col("word")))
-    cand = occ.where(~_stop(F.col("term")))
-    nb = neighbour_pairs(sents, key, window).where(~_stop(F.col("term")))
-    per_side = nb.groupBy(key, "term", "side", "other").agg(F.count(F.lit(1)).alias("_c"))
-    ns = per_side.groupBy(key, "term").agg(
-        F.count_if(F.col("side") == "L").alias("dl"), F.sum(F.when(F.col("side") == "L", F.col("_c"))).alias("tl"),
-        F.count_if(F.col("side") == "R").alias("dr"), F.sum(F.when(F.col("side") == "R", F.col("_c"))).alias("tr"))
-    n_sents = sents.groupBy(key).agg((F.max("sent_no") + 1).alias("n_sents"))
-    tf = cand.groupBy(key, "term").agg(
+    stop = F.col("term").isin(STOPWORDS) | (F.length("term") < 3) | F.col("term").rlike(r"^\p{N}+$")
+    occ = occ.withColumn("_cand", ~stop)
+    # neighbours within the window inside the same sentence: shift the position
+    nb = occ.select(key, "sent_no", "tok_no", "term")
+    pairs = []
+    for d in range(1, window + 1):
+        pairs.append(nb.select(key, "sent_no", (F.col("tok_no") + d).alias("tok_no"), F.col("term").alias("left")))
+    left = pairs[0]
+    for p in pairs[1:]:
+        left = left.unionByName(p)
+    lj = occ.where("_cand").select(key, "sent_no", "tok_no", "term").join(left, [key, "sent_no", "tok_no"])
+    lstats = lj.groupBy(key, "term").agg(F.count_distinct("left").alias("dl"), F.count(F.lit(1)).alias("tl"))
+    right = [nb.select(key, "sent_no", (F.col("tok_no") - d).alias("tok_no"), F.col("term").alias("right"))
+             for d in range(1, window + 1)]
+    r = right[0]
+    for p in right[1:]:
+        r = r.unionByName(p)
+    rj = occ.where("_cand").select(key, "sent_no", "tok_no", "term").join(r, [key, "sent_no", "tok_no"])
+    rstats = rj.groupBy(key, "term").agg(F.count_distinct("right").alias("dr"), F.count(F.lit(1)).alias("tr"))
+    n_sents = occ.groupBy(key).agg((F.max("sent_no") + 1).alias("n_sents"))
+    # median and spread from one sorted list of the term's sentence indices
+    # (bounded by one document): no per-group percentile map, no Expand for a distinct count
+    tf = occ.where("_cand").groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.count_if("_cap").alias("tf_u"), F.count_if("_acr").alias("tf_a"),
         F.array_sort(F.collect_list("sent_no")).alias("_sn"))
     k = F.size("_sn")
-    med = (F.get(F.col("_sn"), F.floor((k - 1) / 2).cast("int")) + F.get(F.col("_sn"), F.ceil((k - 1) / 2).cast("int"))) / 2.0
+    med = (F.get(F.col("_sn"), F.floor((k - 1) / 2).cast("int"))
+           + F.get(F.col("_sn"), F.ceil((k - 1) / 2).cast("int"))) / 2.0
     tf = tf.withColumn("sent_median", med).withColumn("sf", F.size(F.array_distinct("_sn"))).drop("_sn")
     w = Window.partitionBy(key)
-    f = (tf.join(ns, [key, "term"], "left").join(n_sents, key)
+    f = (tf.join(lstats, [key, "term"], "left").join(rstats, [key, "term"], "left").join(n_sents, key)
          .withColumn("mean_tf", F.avg("tf").over(w)).withColumn("std_tf", F.stddev_pop("tf").over(w))
          .withColumn("max_tf", F.max("tf").over(w)))
     dl = F.coalesce(F.col("dl") / F.col("tl"), F.lit(0.0))
@@ -203,16 +190,14 @@ def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int
 
 
 def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int = 10,
-                 sents: DataFrame | None = None) -> DataFrame:
+                 occ: DataFrame | None = None) -> DataFrame:
     """2-gram candidates (adjacent words of a sentence, no stop word at either
     end): ``score = S1 * S2 / (tf * (1 + S1 + S2))`` with the unigram scores."""
-    sents = sentence_tokens(df, key, text) if sents is None else sents
-    uni = unigram_stats(df, key, text, window=window, top=1 << 30, sents=sents).select(
+    occ = term_occurrences(df, key, text) if occ is None else occ
+    uni = unigram_stats(df, key, text, window=window, top=1 << 30, occ=occ).select(
         key, "term", F.col("score").alias("s"))
-    n = F.size("words")
-    adj = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(
-        F.lower(F.get(F.col("words"), i)).alias("t1"), F.lower(F.get(F.col("words"), i + 1)).alias("t2")))
-    bg = sents.where(n > 1).select(key, F.explode(adj).alias("p")).select(key, "p.t1", "p.t2")
+    nxt = occ.select(key, "sent_no", (F.col("tok_no") - 1).alias("tok_no"), F.col("term").alias("t2"))
+    bg = occ.join(nxt, [key, "sent_no", "tok_no"]).select(key, F.col("term").alias("t1"), "t2")
     g = bg.groupBy(key, "t1", "t2").agg(F.count(F.lit(1)).alias("tf"))
     u1 = uni.select(key, F.col("term").alias("t1"), F.col("s").alias("s1"))
     u2 = uni.select(key, F.col("term").alias("t2"), F.col("s").alias("s2"))
@@ -262,13 +247,13 @@ def extract_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
     near duplicates removed) through the noise filter; tickers, special tokens
     and acronyms added unfiltered; joined tags split; invalid ones dropped;
     case expansion; one sorted distinct array per document."""
-    # Sentence token arrays feed both scorers: materialise them once in the
-    # shared checkpoint folder instead of re-splitting every text.
-    sents = sentence_tokens(df, key, text).checkpoint(eager=True)
-    uni = near_dup(unigram_stats(df, key, text, sents=sents), key).select(key, F.col("rank").alias("pos"),
-                                                                          F.col("term").alias("kw"))
-    bi = near_dup(bigram_stats(df, key, text, sents=sents), key).select(key, (F.col("rank") + 100).alias("pos"),
-                                                                        F.col("term").alias("kw"))
+    # Word occurrences feed both scorers (and their neighbour joins): materialise
+    # them once in the shared checkpoint folder instead of re-splitting every text.
+    occ = term_occurrences(df, key, text).checkpoint(eager=True)
+    uni = near_dup(unigram_stats(df, key, text, occ=occ), key).select(key, F.col("rank").alias("pos"),
+                                                                      F.col("term").alias("kw"))
+    bi = near_dup(bigram_stats(df, key, text, occ=occ), key).select(key, (F.col("rank") + 100).alias("pos"),
+                                                                    F.col("term").alias("kw"))
     stat = noise_filter(uni.unionByName(bi), key)
     extra = (tickers(df, key, text).withColumn("pos", F.col("pos") + 10_000)
              .unionByName(special_tokens(df, key, text).withColumn("pos", F.col("pos") + 20_000_000))
