@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, langid, mixing, pii, quality_rules, simhash_groups, toxicity
+from . import chat_format, langid, line_dedup, mixing, pii, quality_rules, sentence_spans, simhash_groups, toxicity
 from .common import crc_mod, read
 from .registry import register
 
@@ -53,6 +53,12 @@ def op4(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register("op5_sentence_spans")
+def op5(spark, sf_dir):
+    return sentence_spans.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("has_repeats"), "text")
+
+
 @register("op6_simhash_groups")
 def op6(spark, sf_dir):
     return simhash_groups.groups(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -69,6 +75,12 @@ def op7(spark, sf_dir):
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@register("op8_line_dedup")
+def op8(spark, sf_dir):
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", "text")
+
+
 @register("op9_pii")
 def op9(spark, sf_dir):
     return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="postlens").select(
