@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, langid, line_dedup, mixing, pii, quality_rules, sentence_spans, simhash_groups, toxicity
+from . import chat_format, decontam, langid, line_dedup, mixing, pii, quality_rules, sentence_spans, simhash_groups, toxicity
 from .common import crc_mod, read
 from .registry import register
 
@@ -47,6 +47,13 @@ def op2(spark, sf_dir):
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@register("op3_decontamination")
+def op3(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_items(docs, read(spark, sf_dir, "benchmark")).select(
+        "doc_id", (F.size("hits") > 0).alias("contaminated"), F.array_sort(F.array_distinct("hits.item_id")).alias("items"), "hits")
+
+
 @register("op4_quality_rules")
 def op4(spark, sf_dir):
     return quality_rules.quality(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
