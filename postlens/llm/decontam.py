@@ -16,12 +16,10 @@ the executors; documents are never shuffled.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType, pandas_udf
@@ -30,15 +28,25 @@ from pyspark.sql.functions import PandasUDFType, pandas_udf
 MAX_EDITS = 0.2
 #: Items with fewer words are not looked for: such phrases occur by chance.
 MIN_ITEM_WORDS = 8
-WALKS, TABLES, PLACES = 2, 6, 5  # independent walks, tables of each, sampled places of a table
+WALKS, TABLES, PLACES = 2, 5, 5  # independent walks, tables of each, sampled places of a table
 #: Words of the benchmark whose tables are held at a time; a larger one is taken in blocks.
 BLOCK_WORDS = 500_000
 CHUNK = 1 << 13  # words of documents walked at a time
 STEP = 3  # candidate places this close are verified together
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: Letters (ASCII in lower case), digits and bytes beyond ASCII; all else becomes a space.
+_LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 _PAD = np.uint64(0xD1B54A32D192ED03)
 _SEEDS = np.random.default_rng(41).integers(1, 1 << 63, (WALKS, 64), dtype=np.uint64)
-BITMAP = 20
+_ODD = np.random.default_rng(43).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+PIECE = 1 << 16  # bytes of a text whose words are hashed at a time
+MIN_BITMAP = 16  # bits of a key that a bitmap of the keys looks at, at least
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    p = 0x9E3779B97F4A7C15
+    ones = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([ones, np.full(n - 1, x, np.uint64)])) for x in (p, pow(p, -1, 1 << 64)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +55,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Words(dict):
-    """Hash of every word met so far."""
+_POWER, _BACK = _powers(2 * PIECE)
 
-    def __missing__(self, word: bytes) -> int:
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
 
-    def of(self, text: bytes) -> np.ndarray:
-        if len(self) > 1_000_000:
-            self.clear()
-        return np.array(list(map(self.__getitem__, _WORD.findall(text.lower()))), np.uint64)
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, all at once: differences of a running polynomial sum."""
+    flat, out, lo = text.translate(_LETTERS), [np.zeros(0, np.uint64)], 0
+    while lo < len(flat):
+        hi = len(flat) if lo + PIECE >= len(flat) else flat.find(b" ", lo + PIECE)
+        b = np.frombuffer(flat, np.uint8, (len(flat) if hi < 0 else hi) - lo, lo)
+        lo += len(b) + 1
+        edges = np.flatnonzero(np.diff((b != 32).view(np.int8), prepend=0, append=0))
+        first, end = edges[::2], edges[1::2]
+        power, back = (_POWER, _BACK) if len(b) < len(_POWER) else _powers(len(b) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(power[: len(b)] * b, dtype=np.uint64)])
+        out.append(_mix((total[end] - total[first]) * back[first]))
+    return np.concatenate(out)
 
 
 def sampled_places(width: int) -> np.ndarray:
@@ -72,28 +85,34 @@ def walk_keys(words: np.ndarray, widths: list[int]) -> list[np.ndarray]:
     """For each width: keys (walk * table, window) of the windows that start at each word."""
     n = len(words)
     padded = np.concatenate([words, np.full(2 * max(widths) + 1, _PAD)])
-    base = np.arange(n, dtype=np.int32)
+    base = np.arange(n)
     plans = [sampled_places(w) for w in widths]
     keys = [np.zeros((WALKS * TABLES, n), np.uint64) for _ in widths]
+    symbol, term, move = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint8)
     for r in range(WALKS):
-        reads: dict[int, list] = {}
+        reads: dict[int, dict[int, list]] = {}
         for c, plan in enumerate(plans):
             for t in range(TABLES):
-                for j in plan[r, t]:
-                    reads.setdefault(int(j), []).append((c, r * TABLES + t))
+                for k, j in enumerate(plan[r, t]):
+                    reads.setdefault(int(j), {}).setdefault(c, []).append((r * TABLES + t, k))
         at = base.copy()
         for j in range(max(reads) + 1):
             if j % 64 == 0:
                 coins = _mix(padded ^ _SEEDS[r, j // 64 % 64] ^ np.uint64(j // 64))
             if j in reads:
-                symbol = padded[at]
-                for c in {c for c, _ in reads[j]}:
-                    seen = np.where(at - base < widths[c], symbol, _PAD)
-                    for c2, t in reads[j]:
-                        if c2 == c:
-                            keys[c][t] = (keys[c][t] ^ seen) * np.uint64(0x9E3779B97F4A7C15)
-                            keys[c][t] ^= keys[c][t] >> np.uint64(29)
-            at += ((coins[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int32)
+                np.take(padded, at, out=symbol, mode="clip")
+                for c, tables in reads[j].items():
+                    # a pointer that has left the window reads padding; it can't have before step width
+                    seen = symbol if j < widths[c] else np.where(at - base < widths[c], symbol, _PAD)
+                    for t, k in tables:
+                        np.multiply(seen, _ODD[k], out=term)
+                        keys[c][t] += term
+            bits = ((coins >> np.uint64(j % 64)) & np.uint64(1)).astype(np.uint8)
+            np.take(bits, at, out=move, mode="clip")
+            at += move
+    for k in keys:  # the tables look at the high bits
+        k ^= k >> np.uint64(32)
+        k *= np.uint64(0x9E3779B97F4A7C15)
     return keys
 
 
@@ -104,6 +123,7 @@ class Table:
     item: np.ndarray
     offset: np.ndarray
     bitmap: np.ndarray
+    shift: np.uint64
 
 
 @dataclass
@@ -138,9 +158,10 @@ class Index:
             tables = []
             for row in keys:
                 order = np.argsort(row, kind="stable")
-                bitmap = np.zeros(1 << BITMAP, bool)
-                bitmap[row >> np.uint64(64 - BITMAP)] = True
-                tables.append(Table(row[order], item[order], offset[order], bitmap))
+                shift = np.uint64(64 - max(MIN_BITMAP, len(row).bit_length() + 5))
+                bitmap = np.zeros(1 << (64 - int(shift)), bool)
+                bitmap[row >> shift] = True
+                tables.append(Table(row[order], item[order], offset[order], bitmap, shift))
             self.widths.append(width)
             self.tables.append(tables)
         return self
@@ -151,7 +172,9 @@ class Index:
         found = [np.zeros((0, 3), np.int64)]
         for c, keys in enumerate(walk_keys(words, self.widths)) if self.widths else ():
             for table, row in zip(self.tables[c], keys):
-                at = np.flatnonzero(table.bitmap[row >> np.uint64(64 - BITMAP)])
+                at = np.flatnonzero(table.bitmap[(row >> table.shift).astype(np.int64)])
+                if not len(at):
+                    continue
                 lo = np.searchsorted(table.keys, row[at], "left")
                 n = np.searchsorted(table.keys, row[at], "right") - lo
                 at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
@@ -206,8 +229,11 @@ def search(index: Index, texts: list[np.ndarray]) -> list[list[dict]]:
         if any(a - STEP <= place <= a + STEP for a, _, _ in done):
             continue
         hit = verify(texts[d], index.items[item], index.distinct[item], place)
-        if hit and hit not in done:
-            done.append(hit)
+        if hit:
+            # of places that overlap the best one counts
+            over = [h for h in done if h[0] < hit[1] and hit[0] < h[1]]
+            if all(hit[2] < h[2] for h in over):
+                done[:] = [h for h in done if h not in over] + [hit]
     out: list[list[dict]] = [[] for _ in texts]
     for (d, item), hits in best.items():
         for a, b, distance in hits:
@@ -223,18 +249,16 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int):
     n = max(1, -(-int(total) // (5 * block_words)))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        words = Words()
         rows = sorted({(r["id"] is None, r["id"] or 0, bytes(r["text"])) for r in part.collect() if r["text"] is not None})
-        yield Index.build([None if none else i for none, i, _ in rows], [words.of(t) for _, _, t in rows])
+        yield Index.build([None if none else i for none, i, _ in rows], [word_hashes(t) for _, _, t in rows])
 
 
 def _searcher(shared):
     def run(batches):
-        words = Words()
         for s in batches:
             texts, out, size = [], [], 0
             for x in s:
-                texts.append(words.of(x or b""))
+                texts.append(word_hashes(x or b""))
                 size += len(texts[-1])
                 if size > CHUNK:
                     out += search(shared.value, texts)
