@@ -15,7 +15,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import PandasUDFType, pandas_udf
 
 from .common import replace_columns, row_key
 
@@ -82,7 +82,6 @@ def _frame(doc, key, h1, h2, first, last):
                          "_key": pd.array(key, "int64"), "i": pd.array(first, "int32"), "j": pd.array(last, "int32")})
 
 
-@pandas_udf("n_sentences int, n_removed int, text string")
 def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     total, removed, kept = [], [], []
     for t, s in zip(text, spans):
@@ -119,6 +118,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     key = row_key(f"`{doc_id}`", f"`{text}`")
     joined = docs.withColumn("_pl_own", key).join(
         lists, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_pl_doc")) & (F.col("_pl_own") == F.col("_pl_key")), "left")
-    made = joined.withColumn("_pl_cut", _cut(F.col(f"`{text}`"), F.col("_pl_spans")))
+    cut = pandas_udf(_cut, "n_sentences int, n_removed int, text string", PandasUDFType.SCALAR)
+    made = joined.withColumn("_pl_cut", cut(F.col(f"`{text}`"), F.col("_pl_spans")))
     return made.select(replace_columns(docs, {text: F.col("_pl_cut.text"), "n_sentences": F.col("_pl_cut.n_sentences"),
                                               "n_removed": F.col("_pl_cut.n_removed")}))
