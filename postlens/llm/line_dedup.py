@@ -13,6 +13,8 @@ than one task takes is split into blocks, and every pair of blocks is walked by
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,29 +26,26 @@ from .components import components
 SHINGLE = 8  # characters
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 5
-#: Shorter lines (characters, white space squeezed) are left alone: headings and single words.
+#: Shorter lines (characters) are left alone: headings and single words.
 MIN_CHARS = 25
 #: Lines of one band that one task compares; larger bands are compared block by block.
 BLOCK = 4_000
-_FLAT = 1 << 18  # shingles hashed at a time
+FEW = 24  # lines of a group that are compared as plain sets
+_FLAT = 1 << 16  # shingles hashed at a time
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
-def normal(line: Column) -> Column:
-    """Lines are compared in lower case with white space squeezed."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
-
-
-def shingle_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit values of all character shingles (a shorter line is one shingle), and where each line's begin."""
+def shingle_values(lines: list[str], kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Hash values of all character shingles (a shorter line is one shingle), and where each line's begin."""
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    pool = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(pool) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + pool[k: len(pool) - SHINGLE + 1 + k]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    pool = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(kind, copy=False)
+    h = pool[: len(pool) - SHINGLE + 1].copy()
+    for k in range(1, SHINGLE):
+        h *= kind(0x01000193)
+        h += pool[k: len(pool) - SHINGLE + 1 + k]
+    h ^= h >> kind(15)
+    h *= kind(0x94D049BB133111EB & np.iinfo(kind).max)
+    h ^= h >> kind(13)
     width = np.array([len(x) for x in padded])
     last = np.cumsum(width)
     inside = np.ones(len(pool), bool)  # a shingle does not run over the end of its line
@@ -58,13 +57,10 @@ def shingle_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """One 64-bit key per line and band."""
-    h, starts = shingle_values(lines)
-    h = (h * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.uint32)
+    h, starts = shingle_values(lines, np.uint32)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for p, a in enumerate(_MULTIPLIERS):
-        x = h * a
-        x ^= x >> np.uint32(15)
-        low = np.minimum.reduceat(x * np.uint32(0x2C1B3C6D), starts).astype(np.uint64)
+        low = np.minimum.reduceat(h * a, starts).astype(np.uint64)
         k = p // ROWS
         out[:, k] = (out[:, k] ^ (low + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
         out[:, k] ^= out[:, k] >> np.uint64(31)
@@ -73,37 +69,33 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 def _band_batches(batches):
     for pdf in batches:
-        pdf = pdf.drop_duplicates(["h1", "h2"])
-        lines, lo = list(pdf["line"]), 0
-        h1, h2 = pdf["h1"].to_numpy(), pdf["h2"].to_numpy()
+        pdf = pdf.drop_duplicates("h1")
+        lines, lo, keys = list(pdf["line"]), 0, [np.zeros((0, BANDS), np.uint64)]
         while lo < len(lines):
             hi, size = lo, 0
             while hi < len(lines) and (hi == lo or size + len(lines[hi]) <= _FLAT):
                 size += len(lines[hi])
                 hi += 1
-            keys = band_keys(lines[lo:hi]).view(np.int64)
-            yield pd.DataFrame({"band": keys.ravel(), "h1": np.repeat(h1[lo:hi], BANDS), "h2": np.repeat(h2[lo:hi], BANDS)})
+            keys.append(band_keys(lines[lo:hi]))
             lo = hi
+        yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64).ravel(), "h1": np.repeat(pdf["h1"].to_numpy(), BANDS)})
 
 
 def _shared_batches(batches):
-    """Of rows sorted by band, those whose band has more than one line, each once."""
-    last = None  # the row before, and whether it is out already
+    """Of rows (band, h1) in order of band, those whose band has more than one line."""
+    open_ = np.zeros((0, 2), np.int64)  # distinct rows of the last band met, which may go on
     for pdf in batches:
-        v = np.stack([pdf["band"].to_numpy(), pdf["h1"].to_numpy(), pdf["h2"].to_numpy()], 1)
-        if last is not None:
-            v = np.concatenate([last[0], v])
-        new = np.concatenate([[True], (v[1:] != v[:-1]).any(1)])
-        done = bool(last[1]) if last is not None else False
-        v = v[new]
-        same = np.zeros(len(v) + 1, bool)
-        same[1:-1] = v[1:, 0] == v[:-1, 0]
-        on = same[1:] | same[:-1]
-        on[0] &= not done
-        out = done if len(v) == 1 else bool(on[-1])
-        last = (v[-1:], out)
-        if on.any():
-            yield pd.DataFrame(v[on], columns=["band", "h1", "h2"])
+        v = np.concatenate([open_, np.stack([pdf["band"].to_numpy(), pdf["h1"].to_numpy()], 1)])
+        first = np.flatnonzero(np.concatenate([[True], v[1:, 0] != v[:-1, 0]]))
+        open_ = np.unique(v[first[-1]:], axis=0)
+        v, first = v[: first[-1]], first[:-1]
+        if len(v):
+            several = np.minimum.reduceat(v[:, 1], first) != np.maximum.reduceat(v[:, 1], first)
+            on = np.repeat(several, np.diff(np.concatenate([first, [len(v)]])))
+            if on.any():
+                yield pd.DataFrame(v[on], columns=["band", "h1"]).drop_duplicates()
+    if len(open_) > 1:
+        yield pd.DataFrame(open_, columns=["band", "h1"])
 
 
 def similar(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, one: np.ndarray, at: np.ndarray, least: float) -> np.ndarray:
@@ -119,9 +111,34 @@ def similar(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, one: np.nda
     return at[both >= least * (n + len(one) - both)]
 
 
+@lru_cache(512)  # lines of a group of bands come together
+def _set_of(line: str) -> frozenset:
+    return frozenset(line[k: k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
+
+
+def _link_few(sets: list[frozenset], split: int | None, least: float) -> list[tuple[int, int]]:
+    left, out = list(range(len(sets))), []
+    while left:
+        front = [left.pop(0)]
+        while front:
+            i = front.pop()
+            for j in [j for j in left if split is None or (i < split) != (j < split)]:
+                a, b = sets[i], sets[j]
+                if min(len(a), len(b)) < least * max(len(a), len(b)):
+                    continue
+                both = len(a & b)
+                if both >= least * (len(a) + len(b) - both):
+                    left.remove(j)
+                    out.append((i, j))
+                    front.append(j)
+    return out
+
+
 def link_lines(lines: list[str], split: int | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Spanning edges of the components of similar lines.  With ``split`` only pairs of one
     line before and one line from that place on count."""
+    if len(lines) <= FEW:
+        return _link_few([_set_of(x) for x in lines], split, least)
     values, at = shingle_values(lines)
     sets = [np.unique(x) for x in np.split(values, at[1:])]
     sizes = np.array([len(x) for x in sets])
@@ -164,23 +181,24 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
     """(doc_id, _key, pos, line, h1, h2): the lines that are compared."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(f"`{doc_id}`", f"`{text}`").alias("_key"),
                     F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    d = d.filter(F.length("line") >= min_chars).withColumn("line", normal(F.col("line"))).filter(F.length("line") >= min_chars)
+    d = d.filter(F.length("line") >= min_chars)
     return d.select("doc_id", "_key", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def line_roots(lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(h1, h2, r1, r2): the component of every line that is similar to another one."""
-    shared = (lines.select("line", "h1", "h2").mapInPandas(_band_batches, "band long, h1 long, h2 long")
-              .repartition("band").sortWithinPartitions("band", "h1", "h2")
-              .mapInPandas(_shared_batches, "band long, h1 long, h2 long").checkpoint())
+    # half of the hash is enough for candidates: they are compared by their texts below
+    shared = (lines.select("line", "h1").mapInPandas(_band_batches, "band long, h1 long")
+              .repartition("band").sortWithinPartitions("band")
+              .mapInPandas(_shared_batches, "band long, h1 long").checkpoint())
     # bands with the same lines are compared once
     sums = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h1").cast("decimal(38,0)")).alias("s1"),
-                                      F.sum(F.col("h2").cast("decimal(38,0)")).alias("s2"), F.bit_xor("h1").alias("x1"))
-    once = sums.groupBy("n", "s1", "s2", "x1").agg(F.min("band").alias("band")).select("band", "n")
+                                      F.bit_xor(F.xxhash64("h1")).alias("x1"))
+    once = sums.groupBy("n", "s1", "x1").agg(F.min("band").alias("band")).select("band", "n")
     members = shared.join(once, "band")
-    texts = (lines.select("h1", "h2", "line").join(shared.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    texts = (lines.select("h1", "h2", "line").join(shared.select("h1").distinct(), "h1", "left_semi")
              .dropDuplicates(["h1", "h2"]))
-    members = members.join(texts, ["h1", "h2"])
+    members = members.join(texts, "h1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.when(blocks > 1, F.pmod(F.col("h1"), blocks)).otherwise(F.lit(0)).cast("int")
     # a line goes to the pair of its block with every block
@@ -203,22 +221,25 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     """``docs`` with the lines that repeat an earlier line taken out of ``text``, and
     n_lines (lines of the text) and removed (positions of the lines taken out).
 
-    The line that stays is the first of its component: smallest doc_id (null last), then a
-    hash of the row, then position.  Defined cases: null text stays null, with 0 lines;
-    blank and short lines stay; rows equal in doc_id and text are one document and stay
-    equal; an empty table gives no rows.
+    The line that stays is the first of its component: smallest doc_id, then position; rows
+    without an id come last, ordered by a hash.  Defined cases: null text stays null, with 0
+    lines; blank and short lines stay; rows of one doc_id are one document, and a line that
+    stands at one position of several of them counts once; an empty table gives no rows.
     """
     lines = lines_of(docs, doc_id, text, min_chars)
     roots = line_roots(lines, similarity, block)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "pos")
-    # places of each distinct line: one row per line and task goes into the shuffle
-    seen = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # a place is one number: hash aggregates keep a minimum of numbers, not of structs, in place
+    span = F.lit(1 << 31).cast("decimal(20,0)")
+    number = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("decimal(20,0)")).otherwise(
+        F.lit(str(1 << 64)).cast("decimal(38,0)") + F.col("_key"))
+    places = lines.select("doc_id", "_key", "pos", "h1", "h2", (number * span + F.col("pos")).cast("decimal(38,0)").alias("place")).checkpoint()
+    # one row per distinct line and task goes into the shuffle
+    seen = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     rooted = seen.join(roots, ["h1", "h2"], "left").select(
-        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first", "last")
-    least = rooted.groupBy("r1", "r2").agg(F.min("first").alias("stays"), F.max("last").alias("end"))
-    repeated = rooted.select("h1", "h2", "r1", "r2").join(
-        least.filter("stays != end").select("r1", "r2", "stays"), ["r1", "r2"]).select("h1", "h2", "stays")
-    gone = lines.select("doc_id", "_key", "pos", "h1", "h2").join(repeated, ["h1", "h2"]).filter(place != F.col("stays"))
+        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first", "last").checkpoint()
+    least = rooted.groupBy("r1", "r2").agg(F.min("first").alias("stays"), F.max("last").alias("end")).filter("stays != end")
+    repeated = rooted.select("h1", "h2", "r1", "r2").join(least.select("r1", "r2", "stays"), ["r1", "r2"]).select("h1", "h2", "stays")
+    gone = places.join(repeated, ["h1", "h2"]).filter("place != stays")
     lists = (gone.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_pl_gone"))  # bounded by one document
              .select(F.col("doc_id").alias("_pl_doc"), F.col("_key").alias("_pl_key"), "_pl_gone"))
     own = docs.withColumn("_pl_own", row_key(f"`{doc_id}`", f"`{text}`"))
