@@ -181,12 +181,24 @@ def detect_language(docs: DataFrame, key: str, text: str, profiles: DataFrame) -
     return docs.select(key).join(best, key, "left")
 
 
+def _translated(fn: Callable[[pd.DataFrame], pd.Series], ask: pd.DataFrame) -> pd.Series:
+    """``fn`` over a batch; if the batch fails, over its halves, so that only the rows that
+    fail by themselves stay without a translation (null)."""
+    try:
+        return pd.Series(list(fn(ask)), index=ask.index, dtype=object)
+    except Exception:  # noqa: BLE001 - a translator may fail in any way; the source text is kept
+        if len(ask) == 1:
+            return pd.Series([None], index=ask.index, dtype=object)
+        half = len(ask) // 2
+        return pd.concat([_translated(fn, ask.iloc[:half]), _translated(fn, ask.iloc[half:])])
+
+
 def route_translation(df: DataFrame, content: str, title: str, lang: str,
                       fn: Callable[[pd.DataFrame], pd.Series] | None = None) -> DataFrame:
     """Text = content else title; English passes; other languages go to the
     translator ``fn`` (a pandas function over batches with ``text`` and
-    ``language`` columns, run with ``mapInPandas``).  Without a translator, or
-    when it fails, the source text is kept and ``translated`` is false.  The
+    ``language`` columns, run with ``mapInPandas``).  Without a translator, for a null
+    text, or for a row that it fails on, the source text is kept and ``translated`` is false.  The
     '▁' word marker of subword translators is replaced by a space."""
     text = F.coalesce(F.nullif(F.col(content), F.lit("")), F.nullif(F.col(title), F.lit("")))
     x = df.withColumn("text", text).withColumn("route", F.when(F.col(lang) == "en", "passthrough")
@@ -202,12 +214,10 @@ def route_translation(df: DataFrame, content: str, title: str, lang: str,
             pdf["translation"] = pdf["text"]
             pdf["translated"] = False
             todo = pdf["route"] == "translate"
-            if todo.any():
-                try:
-                    res = fn(pdf.loc[todo, ["text", lang]].rename(columns={lang: "language"}))
-                    pdf.loc[todo, "translation"] = res.astype(str).str.replace("▁", " ").to_numpy()
-                    pdf.loc[todo, "translated"] = True
-                except Exception:  # noqa: BLE001 - keep the source text on failure
-                    pass
+            ask = pdf.loc[todo & pdf["text"].notna(), ["text", lang]].rename(columns={lang: "language"})
+            done = _translated(fn, ask) if len(ask) else pd.Series(dtype=object)
+            done = done[done.notna()]
+            pdf.loc[done.index, "translation"] = done.map(lambda t: str(t).replace("▁", " "))
+            pdf.loc[done.index, "translated"] = True
             yield pdf
     return x.mapInPandas(run, schema=out_schema)

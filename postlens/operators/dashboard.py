@@ -54,12 +54,15 @@ def prefix_ellipsis(c: str | Column, n: int) -> Column:
 
 def version_array(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.transform(F.split(F.regexp_replace(c, "^v", ""), "\\."), lambda x: x.cast("int"))
+    return F.transform(F.split(F.regexp_replace(c, "^v", ""), "\\."), lambda x: x.try_cast("int"))
 
 
 def outdated_versions(df: DataFrame, installed: str = "installed", latest: str = "latest") -> DataFrame:
-    """Three-part numeric version compare, optional 'v' prefix."""
-    return df.withColumn("outdated", version_array(installed) < version_array(latest))
+    """Three-part numeric version compare, optional 'v' prefix; null if a part of either
+    version is not a number (``1.2.3rc1``), so that such rows can be reported."""
+    a, b = version_array(installed), version_array(latest)
+    known = F.forall(F.concat(a, b), lambda x: x.isNotNull())
+    return df.withColumn("outdated", F.when(known, a < b))
 
 
 def intent_summary(events: DataFrame, intent: list[str], ts: str, kind: str, is_error: Column,

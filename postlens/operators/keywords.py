@@ -89,12 +89,15 @@ def acronyms(df: DataFrame, key: str, text: str) -> DataFrame:
     return w.where(_upper_ratio_ok(F.col("kw")) & F.col("kw").rlike(r"\p{L}") & (F.length("kw") >= 2))
 
 
+MAX_PARTS = 1_000_000  # room for the parts of one keyword between the positions of two
+
+
 def split_joined(c: DataFrame, key: str = "doc_id") -> DataFrame:
     """``A#B$C`` -> parts longer than 2 characters; a single part keeps the original."""
     parts = F.filter(F.split("kw", "[$#]+"), lambda p: p != "")
     out = F.when(F.size(parts) > 1, F.filter(parts, lambda p: F.length(p) > 2)).otherwise(F.array("kw"))
     return c.select(key, "pos", F.posexplode(out).alias("_sub", "kw")).withColumn(
-        "pos", F.col("pos") * 1000 + F.col("_sub")).drop("_sub")
+        "pos", F.col("pos").cast("long") * MAX_PARTS + F.col("_sub")).drop("_sub")
 
 
 def drop_invalid(c: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -118,7 +121,7 @@ def case_expand(c: DataFrame, key: str = "doc_id") -> DataFrame:
     k = F.col("kw")
     out = F.when(is_upper(k), F.array(k, F.lower(k))).when(~is_lower(k), F.array(F.lower(k))).otherwise(F.array(k))
     x = c.select(key, "pos", F.posexplode(out).alias("_sub", "kw")).withColumn(
-        "pos", F.col("pos") * 2 + F.col("_sub")).drop("_sub")
+        "pos", F.col("pos").cast("long") * 2 + F.col("_sub")).drop("_sub")
     return first_seen(x, key)
 
 
@@ -167,11 +170,11 @@ def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int
     # (bounded by one document): no per-group percentile map, no Expand for a distinct count
     tf = occ.where("_cand").groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("tf"), F.count_if("_cap").alias("tf_u"), F.count_if("_acr").alias("tf_a"),
-        F.array_sort(F.collect_list("sent_no")).alias("_sn"))
+        F.array_sort(F.collect_set("sent_no")).alias("_sn"))  # distinct sentences, bounded by one document
     k = F.size("_sn")
     med = (F.get(F.col("_sn"), F.floor((k - 1) / 2).cast("int"))
            + F.get(F.col("_sn"), F.ceil((k - 1) / 2).cast("int"))) / 2.0
-    tf = tf.withColumn("sent_median", med).withColumn("sf", F.size(F.array_distinct("_sn"))).drop("_sn")
+    tf = tf.withColumn("sent_median", med).withColumn("sf", F.size("_sn")).drop("_sn")
     w = Window.partitionBy(key)
     f = (tf.join(lstats, [key, "term"], "left").join(rstats, [key, "term"], "left").join(n_sents, key)
          .withColumn("mean_tf", F.avg("tf").over(w)).withColumn("std_tf", F.stddev_pop("tf").over(w))
@@ -179,7 +182,7 @@ def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int
     dl = F.coalesce(F.col("dl") / F.col("tl"), F.lit(0.0))
     dr = F.coalesce(F.col("dr") / F.col("tr"), F.lit(0.0))
     t_case = F.greatest("tf_u", "tf_a") / (F.lit(1.0) + F.log(F.col("tf")))
-    t_pos = F.log(F.lit(3.0) + F.col("sent_median"))
+    t_pos = F.log(F.log(F.lit(3.0) + F.col("sent_median")))
     t_freq = F.col("tf") / (F.col("mean_tf") + F.col("std_tf"))
     t_rel = F.lit(1.0) + (dl + dr) * F.col("tf") / F.col("max_tf")
     t_sent = F.col("sf") / F.col("n_sents")
@@ -208,22 +211,26 @@ def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int =
     return g.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "term", "tf", "score", "rank")
 
 
-def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SIMILARITY) -> DataFrame:
-    """Drop a term that is ``threshold``-similar (``1 - levenshtein / max length``)
-    to a better-ranked term of the same document.  Two distinct terms can only
-    reach 0.9 when both have 10+ characters and lengths within 10 %, so only
-    those pairs are formed (an exact pruning, not a cap)."""
-    min_len = int(round(1 / (1 - threshold)))
-    a = ranked.select(F.col(key).alias("_ak"), F.col("term").alias("_at"), F.col("rank").alias("_ar"),
-                      F.length("term").alias("_al")).where(F.col("_al") >= min_len)
-    b = a.select(F.col("_ak").alias("_bk"), F.col("_at").alias("_bt"), F.col("_ar").alias("_br"),
-                 F.col("_al").alias("_bl"))
-    cond = ((a["_ak"] == b["_bk"]) & (b["_br"] < a["_ar"])
-            & (F.abs(a["_al"] - b["_bl"]) <= F.greatest(a["_al"], b["_bl"]) * (1 - threshold)))
-    pairs = a.join(b, cond).where(
-        F.lit(1.0) - F.levenshtein(a["_at"], b["_bt"]) / F.greatest(a["_al"], b["_bl"]) >= threshold)
-    dups = pairs.select(F.col("_ak").alias(key), F.col("_at").alias("term")).distinct()
-    return ranked.join(dups, [key, "term"], "left_anti")
+def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SIMILARITY, top: int | None = None) -> DataFrame:
+    """Greedy removal in order of ``rank``: a term goes if it is more than ``threshold`` similar
+    (``1 - levenshtein / max length``) to a better term of its document that stays; the first
+    ``top`` that stay are returned with their ranks.  The ranked terms of one document are
+    folded inside one row (a document bounds them)."""
+    least = int(1 / (1 - threshold))  # shorter terms can't be that similar to a different one
+
+    def similar(a: Column, b: Column) -> Column:
+        longer = F.greatest(F.length(a), F.length(b))
+        close = F.abs(F.length(a) - F.length(b)) < longer * (1 - threshold)
+        return F.when((longer > least) & close, F.lit(1.0) - F.levenshtein(a, b) / longer > threshold).otherwise(a == b)
+
+    terms = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    lists = ranked.groupBy(key).agg(terms.alias("_terms"))
+    none = F.slice("_terms", 1, 0)
+    full = (lambda acc: F.size(acc) >= top) if top is not None else (lambda acc: F.lit(False))
+    kept = F.aggregate("_terms", none, lambda acc, x: F.when(
+        full(acc) | F.exists(acc, lambda y: similar(y["term"], x["term"])), acc).otherwise(F.concat(acc, F.array(x))))
+    stays = lists.select(F.col(key), F.inline(kept))
+    return ranked.join(stays, [key, "term", "rank"], "left_semi")
 
 
 def semantic_candidates(cands: DataFrame, docs: DataFrame, key: str, cand: str, vec: str,
@@ -250,9 +257,10 @@ def extract_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
     # Word occurrences feed both scorers (and their neighbour joins): materialise
     # them once in the shared checkpoint folder instead of re-splitting every text.
     occ = term_occurrences(df, key, text).checkpoint(eager=True)
-    uni = near_dup(unigram_stats(df, key, text, occ=occ), key).select(key, F.col("rank").alias("pos"),
+    every = 1 << 30  # duplicates go before the cut
+    uni = near_dup(unigram_stats(df, key, text, occ=occ, top=every), key, top=20).select(key, F.col("rank").alias("pos"),
                                                                       F.col("term").alias("kw"))
-    bi = near_dup(bigram_stats(df, key, text, occ=occ), key).select(key, (F.col("rank") + 100).alias("pos"),
+    bi = near_dup(bigram_stats(df, key, text, occ=occ, top=every), key, top=10).select(key, (F.col("rank") + 100).alias("pos"),
                                                                     F.col("term").alias("kw"))
     stat = noise_filter(uni.unionByName(bi), key)
     extra = (tickers(df, key, text).withColumn("pos", F.col("pos") + 10_000)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import text as T
+from postlens.operators.stats import window_bounds
 from postlens.sources.schema import BATCH_KINDS, ISO_PATTERN, ITEM_REQUIRED, URL_PATTERN
 
 
@@ -97,9 +98,12 @@ def hash_author(df: DataFrame, col: str = "author") -> DataFrame:
     return df.withColumn(col, T.sha1_text(col))
 
 
-def freshness_filter(df: DataFrame, ts: str, max_age_seconds: int, as_of: Column) -> DataFrame:
-    """Drop posts older than ``max_age_seconds`` before the collection time ``as_of``."""
-    return df.where(F.col(ts) >= as_of - F.make_dt_interval(secs=F.lit(float(max_age_seconds))))
+def freshness_filter(df: DataFrame, ts: str, max_age_seconds: int, as_of=None) -> DataFrame:
+    """Drop posts older than ``max_age_seconds`` before the collection time ``as_of`` (the
+    newest post by default).  The bound is a literal or one scalar subquery, so the
+    comparison reaches the parquet reader."""
+    lo, _ = window_bounds(df, ts, as_of, max_age_seconds / 3600.0)
+    return df.where(F.col(ts) >= lo)
 
 
 def min_length_filter(df: DataFrame, content: str, n: int) -> DataFrame:

@@ -52,6 +52,10 @@ def combine_weights(layers: DataFrame) -> DataFrame:
     return prod.select("key", "ord", "weight", F.when(total > 0, F.col("weight") / total).alias("share"))
 
 
+#: Largest option table whose cells are sent to every executor; beyond it the join is the planner's.
+MAX_BROADCAST_ROWS = 100_000
+
+
 def weighted_draw(draws: DataFrame, u: str, weights: DataFrame, grid: int = 1024) -> DataFrame:
     """Pick one option per draw: the first option whose cumulative interval holds
     ``u * total``; when every weight is 0 the first option wins.
@@ -77,6 +81,8 @@ def weighted_draw(draws: DataFrame, u: str, weights: DataFrame, grid: int = 1024
     d = draws.withColumn("_x", F.col(u) * total).withColumn("_cell", F.floor(F.col(u) * grid).cast("int"))
     c = cells.select(F.col("key").alias("_key"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
                      F.col("_cell").alias("_c"))
+    if weights.count() <= MAX_BROADCAST_ROWS:  # options and grid cells only: the draws stay where they are
+        c = F.broadcast(c)
     j = d.join(c, (d["_cell"] == c["_c"]) & (c["_lo"] <= d["_x"]) & (d["_x"] < c["_hi"]), "left")
     return j.withColumn("choice", F.coalesce(F.col("_key"), first)).drop("_x", "_cell", "_key", "_lo", "_hi", "_c")
 

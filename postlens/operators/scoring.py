@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions.dims import param_table
+from postlens.functions.models import load_once
 from postlens.sources.schema import AGES, GENDERS, TEXT_TYPES
 
-_MODELS: dict = {}
-
 # Exact-match social domains (anything else is "news").
 SOCIAL_DOMAINS = [
     "4chan.org", "4channel.org", "reddit.com", "twitter.com", "bsky.app", "t.com", "x.com", "youtube.com", "yt.co",
@@ -51,17 +50,19 @@ def D(x: str) -> Column:
 
 def score_with_model(df: DataFrame, loader: Callable[[], object],
                      fn: Callable[[object, pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
-                     cols: Sequence[str] | None = None) -> DataFrame:
-    """Batch inference over partitions: ``loader()`` runs once per Python worker
-    (cached by the loader's qualified name), ``fn(model, batch)`` maps a pandas
-    batch to the output batch."""
-    name = f"{getattr(loader, '__module__', '')}.{getattr(loader, '__qualname__', id(loader))}"
+                     cols: Sequence[str] | None = None, name: str | None = None) -> DataFrame:
+    """Batch inference over partitions: ``fn(model, batch)`` maps a pandas batch to the
+    output batch.  ``loader()`` runs once per Python worker for each model ``name``
+    (the loader's qualified name by default; give one to loaders that share it, as
+    lambdas do).  Workers import ``postlens`` for the cache."""
+    if name is None:
+        name = f"{loader.__module__}.{loader.__qualname__}"
+        if "<lambda>" in name:
+            raise ValueError("a lambda has no name of its own: give the model a name")
     src = df.select(*cols) if cols else df
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _MODELS.get(name)
-        if model is None:
-            model = _MODELS[name] = loader()
+        model = load_once(name, loader)
         for b in batches:
             yield fn(model, b)
     return src.mapInPandas(run, schema=schema)

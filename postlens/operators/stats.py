@@ -238,7 +238,7 @@ def inactive_sources(weights: DataFrame, events: DataFrame, key: str = "event_ty
                      as_of=None, period_hours: float = 24) -> DataFrame:
     """Weighted sources without any event in the period (left anti join)."""
     lo, hi = window_bounds(events, ts, as_of, _effective_hours(period_hours))
-    active = events.where((F.col(ts) >= lo) & (F.col(ts) <= hi)).select(F.col(key).alias("_k"))
+    active = events.where((F.col(ts) >= lo) & (F.col(ts) <= hi)).select(F.col(key).alias("_k")).distinct()
     w = weights.select("source")
     return w.join(active, w["source"] == active["_k"], "left_anti")
 

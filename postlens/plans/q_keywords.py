@@ -67,7 +67,7 @@ WITH w AS ({_words_sql('V_ticker_text')}),
 p AS (SELECT doc_id, pos, kw, list_filter(regexp_split_to_array(kw, '[$#]+'), lambda p: p <> '') AS parts FROM w),
 o AS (SELECT doc_id, pos, CASE WHEN len(parts) > 1 THEN list_filter(parts, lambda p: length(p) > 2) ELSE [kw] END AS o FROM p),
 x AS (SELECT doc_id, pos, unnest(generate_series(0, len(o) - 1)) AS sub, unnest(o) AS kw FROM o)
-SELECT doc_id, pos * 1000 + sub AS pos, kw FROM x""", "V_ticker_text"))
+SELECT doc_id, pos * 1000000 + sub AS pos, kw FROM x""", "V_ticker_text"))
 def _split_joined(spark, sf):
     t = v_ticker_text(Tables(spark, sf))
     return K.split_joined(K.words(t, "doc_id", "text")).select("doc_id", F.col("pos").cast("long"), "kw")

@@ -149,7 +149,7 @@ def _iso(spark, sf):
 SELECT event_id FROM events, (SELECT max(ts) AS a FROM events) m WHERE ts >= a - INTERVAL 259200 SECOND""")
 def _fresh(spark, sf):
     e = Tables(spark, sf).events
-    return quality.freshness_filter(e, "ts", 3 * 86400, stats.resolve_as_of(e)).select("event_id")
+    return quality.freshness_filter(e, "ts", 3 * 86400).select("event_id")
 
 
 @register("min_length_filter", "SELECT doc_id, n_chars FROM documents WHERE length(text) >= 2000")

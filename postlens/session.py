@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,8 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     cur = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not cur:
-        # Unset: a local run (tests).  Never reached on a configured cluster.
+    if not cur and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+    if not cur:  # a local run, where one machine holds driver and executors
         cur = tempfile.mkdtemp(prefix="postlens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(cur)

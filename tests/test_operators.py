@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from postlens.operators import batching, dashboard, merge, sampling, statelog, stats
@@ -190,3 +191,80 @@ def test_batches_respect_limits(spark):
     per = batching.batch_close_reason(a).collect()
     assert all(r.n_chunks <= 8 for r in per)
     assert sum(r.n_chunks for r in per) == 100
+
+
+def test_load_all_raises_for_a_missing_module(monkeypatch):
+    from postlens.plans import registry
+    monkeypatch.setattr(registry, "MODULES", (*registry.MODULES, "q_not_there"))
+    with pytest.raises(ModuleNotFoundError):
+        registry.load_all()
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from postlens.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
+def test_outdated_versions_flags_odd_parts(spark):
+    from postlens.operators.dashboard import outdated_versions
+    df = spark.createDataFrame([("1.2.3", "v1.10.0"), ("1.2.3rc1", "1.2.4"), ("2.0.0", "2.0.0")], "installed string, latest string")
+    assert [r.outdated for r in outdated_versions(df).collect()] == [True, None, False]
+
+
+def test_translation_keeps_what_fails(spark):
+    from postlens.operators.chunking import route_translation
+
+    def shout(pdf):
+        if pdf["text"].str.contains("bad").any():
+            raise ValueError("bad row")
+        return pdf["text"].str.upper() + "\u2581x"
+
+    rows = [(k, t, None, "fr") for k, t in enumerate(["un", "bad", None, "deux", "trois"])] + [(9, "one", None, "en")]
+    df = spark.createDataFrame(rows, "id long, content string, title string, language string")
+    got = {r.id: (r.translation, r.translated) for r in route_translation(df, "content", "title", "language", shout).collect()}
+    assert got == {0: ("UN x", True), 1: ("bad", False), 2: (None, False), 3: ("DEUX x", True), 4: ("TROIS x", True), 9: ("one", False)}
+
+
+def test_model_loads_once_per_worker(spark, tmp_path):
+    from postlens.operators.scoring import score_with_model
+    path = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+        open(os.path.join(path, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return 2
+
+    def apply(model, pdf):
+        return pdf.assign(y=pdf["id"] * model)[["y"]]
+
+    df = spark.range(64).repartition(16)
+    assert sorted(r.y for r in score_with_model(df, load, apply, "y long", name="twice").collect()) == list(range(0, 128, 2))
+    pids = [x.name.split("-")[0] for x in tmp_path.iterdir()]
+    assert len(pids) == len(set(pids))
+    with pytest.raises(ValueError):
+        score_with_model(df, lambda: 1, apply, "y long")
+
+
+def test_split_joined_far_positions(spark):
+    from postlens.operators.keywords import split_joined
+    df = spark.createDataFrame([(1, 40_000_000, "abc#defg")], "doc_id long, pos int, kw string")
+    assert [r.pos for r in split_joined(df).collect()] == [40_000_000_000_000, 40_000_000_000_001]

@@ -82,3 +82,15 @@ def test_extract_keywords_runs(spark):
                                "doc_id long, text string")
     kws = K.extract_keywords(df, "doc_id", "text").first().keywords
     assert "$BTC" in kws and "bitcoin" in kws and kws == sorted(set(kws))
+
+
+def test_near_dup_is_greedy_and_fills_up_after_removal(spark):
+    a, b, c = "abcdefghijklmnopqrst", "abcdefghijklmnopqrsX", "abcdefghijklmnopqrYX"  # a~b, b~c, not a~c
+    rows = [(1, a, 1), (1, b, 2), (1, c, 3)] + [(2, f"term number {k} " + "xyz"[k % 3] * 9, k) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, term string, rank int")
+    got = sorted((r.doc_id, r.rank) for r in K.near_dup(df).collect())
+    assert [r for r in got if r[0] == 1] == [(1, 1), (1, 3)] and len([r for r in got if r[0] == 2]) == 3
+    many = [(1, f"{k:02d}" * 9, k + 1) for k in range(21)] + [(1, "00" * 8 + "0x", 2)]
+    many = [(d, t, i) for i, (d, t, _) in enumerate([many[0], many[-1], *many[1:-1]], 1)]
+    kept = K.near_dup(spark.createDataFrame(many, "doc_id long, term string, rank int"), top=20).collect()
+    assert len(kept) == 20 and 2 not in {r.rank for r in kept}
