@@ -8,6 +8,7 @@ overwrites it (the deep-merge rule written as equi joins on path prefixes).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,78 +19,92 @@ from pyspark.sql import types as T
 
 from postlens.functions.ordering import previous, running, time_bucket
 
-SEP = "\u0001"  # path separator inside join keys
+def _leaves(js: str | None) -> list[dict]:
+    """Leaves of one JSON object: path, value as text, and whether it is an empty object."""
+    out, stack = [], [((), js)]
+    try:
+        stack = [((), json.loads(js, parse_float=_Number, parse_int=_Number, parse_constant=_Number))] if js else []
+    except ValueError:
+        return []
+    while stack:  # any depth
+        path, v = stack.pop()
+        if isinstance(v, dict) and v:
+            stack.extend(((*path, k), x) for k, x in v.items())
+        elif path:
+            out.append({"path": list(path), "value": _text(v), "empty": v == {} and isinstance(v, dict)})
+    return out
 
 
-def json_leaves(df: DataFrame, key: str, seq: str, js: str, max_depth: int = 8) -> DataFrame:
+class _Number(str):
+    """A number in the spelling of its document."""
+
+
+def _text(v) -> str | None:
+    """Scalars as they are, null as null, lists and objects as compact JSON."""
+    if v is None or isinstance(v, str):
+        return None if v is None else str(v)
+    return _json(v)
+
+
+def _json(v) -> str:
+    if isinstance(v, _Number):
+        return str(v)
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_json, v)) + "]"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def json_leaves(df: DataFrame, key: str, seq: str, js: str) -> DataFrame:
     """Flatten JSON objects to leaves ``(key, seq, path array<string>, value, empty)``.
 
-    A leaf is a scalar, a list (kept as JSON text) or an empty object ``{}``.
-    One explode per level (``from_json`` as ``map<string,string>`` keeps nested
-    objects as text); finished leaves pass through a level unchanged, so the
-    plan is one linear chain of ``max_depth`` generators.  Deeper objects stay
-    JSON text leaves.
+    A leaf is a scalar, a list (kept as JSON text) or an empty object ``{}``; objects may be
+    nested to any depth, and a string that looks like JSON stays a string.  Null and invalid
+    documents have no leaves.
     """
-    leaf_t = "struct<path:array<string>,v:string,done:boolean,empty:boolean>"
-    cur = df.select(F.col(key).alias("key"), F.col(seq).alias("seq"),
-                    F.array().cast("array<string>").alias("path"), F.col(js).alias("v"),
-                    F.lit(False).alias("done"), F.lit(False).alias("empty"))
-    for _ in range(max_depth):
-        m = F.from_json(F.col("v"), "map<string,string>")
-        is_obj = F.trim(F.col("v")).startswith("{") & m.isNotNull()
-        kids = F.transform(F.map_entries(m), lambda e: F.struct(
-            F.concat(F.col("path"), F.array(e["key"])).alias("path"), e["value"].alias("v"),
-            F.lit(False).alias("done"), F.lit(False).alias("empty")))
-        me = F.array(F.struct(F.col("path"), F.col("v"), F.lit(True).alias("done"),
-                              F.coalesce(is_obj & (F.size(m) == 0), F.lit(False)).alias("empty")))
-        same = F.array(F.struct("path", "v", "done", "empty"))
-        nxt = (F.when(F.col("done"), same)
-               .when(is_obj & (F.size(m) > 0), kids)
-               .otherwise(me)).cast(f"array<{leaf_t}>")
-        cur = cur.select("key", "seq", F.explode(nxt).alias("_c")).select("key", "seq", "_c.*")
-    return cur.select("key", "seq", "path", F.col("v").alias("value"), "empty").where(F.size("path") > 0)
+    def parse(s: pd.Series) -> pd.Series:
+        return pd.Series([_leaves(x) for x in s], dtype=object)
+
+    leaves = F.pandas_udf(parse, "array<struct<path:array<string>,value:string,empty:boolean>>", F.PandasUDFType.SCALAR)
+    return df.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.inline(leaves(F.col(js))))
+
+
+def path_text(path: Column) -> Column:
+    """Dotted path; dots and backslashes inside a key are escaped by a backslash."""
+    return F.array_join(F.transform(path, lambda k: F.regexp_replace(k, r"([.\\])", r"\\$1")), ".")
 
 
 def _strict_prefixes(path: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.array_join(F.slice(path, 1, i), SEP))
+    return F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.slice(path, F.lit(1), i))
 
 
-def fold_state(updates: DataFrame, key: str = "key", seq: str = "seq", js: str = "json",
-               max_depth: int = 8) -> DataFrame:
+def fold_state(updates: DataFrame, key: str = "key", seq: str = "seq", js: str = "json") -> DataFrame:
     """Current state per key after applying the updates in ``seq`` order with
     the deep-merge rule (dict into dict merges, anything else replaces).
 
-    Output: ``(key, path, value)`` with ``path`` dotted, one row per surviving leaf.
-    A leaf written at ``s`` is dead when a later leaf (a) extends its path,
-    (b) has the same path (unless both are ``{}``), or (c) sits at a strict
-    prefix of its path and is not ``{}``; a surviving ``{}`` with a surviving
-    extension is dropped.  Every test is an aggregate per ``(key, path)``
-    joined back on equality, so no pairs of leaves are formed.
+    Output: ``(key, path, value)``, one row per surviving leaf, ``path`` as ``path_text``.
+    Only the last leaf of a ``(key, path)`` can survive, so one aggregate (combined before
+    the shuffle, so a hot key or counter costs a row per task) reduces the log to the size
+    of the state; the tests below run on that.  A leaf written at ``s`` is dead when a later
+    leaf extends its path, or sits at a strict prefix of its path and is not ``{}``; a
+    surviving ``{}`` with a surviving extension is dropped.
     """
-    lv = json_leaves(updates, key, seq, js, max_depth).withColumn("p", F.array_join("path", SEP))
-    # The leaf table feeds four aggregates/joins: materialise it once in the
-    # shared checkpoint folder instead of re-parsing the log for each.
-    lv = lv.withColumn("has_pref", F.size("path") > 1).checkpoint(eager=True)
-    pref = lv.where("has_pref").select("key", "seq", "p", "empty",
-                                       F.explode(_strict_prefixes(F.col("path"))).alias("q"))
-    ext = pref.groupBy("key", F.col("q").alias("p")).agg(F.max("seq").alias("ext_seq"))
-    same = lv.groupBy("key", "p").agg(F.max("seq").alias("same_seq"),
-                                      F.max(F.when(~F.col("empty"), F.col("seq"))).alias("same_ne_seq"))
-    over = (pref.join(same.select("key", F.col("p").alias("q"), F.col("same_ne_seq").alias("_pre_ne")),
-                      ["key", "q"])
-            .groupBy("key", "seq", "p").agg(F.max("_pre_ne").alias("prefix_seq")))
-    j = lv.join(ext, ["key", "p"], "left").join(same, ["key", "p"], "left").join(over, ["key", "seq", "p"], "left")
-    same_kill = F.when(F.col("empty"), F.col("same_ne_seq")).otherwise(F.col("same_seq"))
-    alive = j.where(~(F.coalesce(F.col("ext_seq") > F.col("seq"), F.lit(False))
-                      | F.coalesce(same_kill > F.col("seq"), F.lit(False))
-                      | F.coalesce(F.col("prefix_seq") > F.col("seq"), F.lit(False))))
-    alive = alive.select("key", "seq", "path", "p", "value", "empty")
-    alive_ext = (alive.where(F.size("path") > 1)
-                 .select("key", F.explode(_strict_prefixes(F.col("path"))).alias("p")).distinct())
-    empties = alive.where("empty").join(alive_ext, ["key", "p"], "left_anti")
-    final = alive.where(~F.col("empty")).unionByName(empties)
-    return final.groupBy("key", "p").agg(F.max_by("value", "seq").alias("value")).select(
-        "key", F.replace(F.col("p"), F.lit(SEP), F.lit(".")).alias("path"), "value")
+    last = json_leaves(updates, key, seq, js).groupBy("key", "path").agg(
+        F.max_by(F.struct("value", "empty"), "seq").alias("leaf"), F.max("seq").alias("seq"),
+        F.max(F.when(~F.col("empty"), F.col("seq"))).alias("full_seq"))
+    last = last.select("key", "path", "leaf.value", "leaf.empty", "seq", "full_seq")
+    deep = last.where(F.size("path") > 1).select("key", "path", "seq", F.explode(_strict_prefixes(F.col("path"))).alias("up"))
+    below = deep.groupBy("key", F.col("up").alias("path")).agg(F.max("seq").alias("below_seq"))
+    above = (deep.join(last.where("full_seq is not null").select("key", F.col("path").alias("up"), "full_seq"), ["key", "up"])
+             .groupBy("key", "path").agg(F.max("full_seq").alias("above_seq")))
+    alive = (last.drop("full_seq").join(below, ["key", "path"], "left").join(above, ["key", "path"], "left")
+             .where(~F.coalesce(F.col("below_seq") > F.col("seq"), F.lit(False))
+                    & ~F.coalesce(F.col("above_seq") > F.col("seq"), F.lit(False))))
+    inner = (alive.where(F.size("path") > 1).select("key", F.explode(_strict_prefixes(F.col("path"))).alias("path")).distinct()
+             .withColumn("inner", F.lit(True)))
+    return (alive.join(inner, ["key", "path"], "left").where(~(F.col("empty") & F.col("inner").isNotNull()))
+            .select("key", path_text(F.col("path")).alias("path"), "value"))
 
 
 def state_path(df: DataFrame, js: str, path: str, out: str | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-made expectations (FIXTURES §4) and trap cases for the operators."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,3 +270,46 @@ def test_split_joined_far_positions(spark):
     from postlens.operators.keywords import split_joined
     df = spark.createDataFrame([(1, 40_000_000, "abc#defg")], "doc_id long, pos int, kw string")
     assert [r.pos for r in split_joined(df).collect()] == [40_000_000_000_000, 40_000_000_000_001]
+
+
+def _merged(state, update):
+    for k, v in update.items():
+        if isinstance(v, dict) and isinstance(state.get(k), dict):
+            _merged(state[k], v)
+        else:
+            state[k] = _merged({}, v) if isinstance(v, dict) else v
+    return state
+
+
+def _state_rows(state, path=()):
+    for k, v in state.items():
+        if isinstance(v, dict) and v:
+            yield from _state_rows(v, (*path, k))
+        else:
+            said = v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+            yield ".".join(x.replace("\\", "\\\\").replace(".", "\\.") for x in (*path, k)), said
+
+
+def test_fold_state_matches_sequential_merge(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "a.b", "c\\d", "e"]
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.75:
+            return {rng.choice(names): value(depth - 1) for _ in range(rng.randrange(0, 3))}
+        return rng.choice([None, 1, -2, True, "x", '{"b":1}', "{", [1, {"q": None}], {}, ""])
+
+    rows, want = [], {}
+    for seq in range(400):
+        key, update = rng.randrange(6), {rng.choice(names): value(rng.choice([1, 2, 3, 12])) for _ in range(2)}
+        rows.append((key, seq, json.dumps(update)))
+        _merged(want.setdefault(key, {}), update)
+    deep = {"x": 1}
+    for _ in range(40):
+        deep = {"n": deep}
+    rows += [(9, 500, json.dumps(deep)), (9, 501, json.dumps(deep).replace('"x": 1', '"y": 2')), (10, 502, None), (10, 503, "not json")]
+    got = statelog.fold_state(spark.createDataFrame(rows, "key long, seq long, json string").repartition(5)).collect()
+    nine = ".".join(["n"] * 40)
+    expect = {(k, p, v) for k, s in want.items() for p, v in _state_rows(s)} | {(9, nine + ".x", "1"), (9, nine + ".y", "2")}
+    assert len(got) == len(expect) and {(r.key, r.path, r.value) for r in got} == expect
