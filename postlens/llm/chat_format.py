@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 START, END = b"<|im_start|>", b"<|im_end|>\n"
 BATCH_BYTES = 4 << 20  # bytes of text assembled at a time (a longer conversation is alone)
 LONG = 1 << 16  # segments from this length on are copied as a slice, not by index
@@ -123,6 +125,7 @@ def format_conversations(convs: DataFrame, loss_roles=("assistant",)) -> DataFra
     Defined cases: null text and null role are empty; repeated rows are turns of their
     own; a null conv_id is a conversation like others; an empty table gives no rows.
     """
+    bound_batches(convs.sparkSession)
     turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"),
                                                  F.coalesce("text", F.lit("")).alias("text"))))
     nullable = F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))

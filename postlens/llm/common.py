@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Rows and bytes of an Arrow batch that a Python worker holds at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark hands to Python workers, whatever the length of the rows.
+    Both are settings of the session; smaller ones that the user has made stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

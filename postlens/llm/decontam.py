@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType, pandas_udf
 
+from .common import bound_batches
+
 #: An item is found where at most this share of its words is inserted, deleted or replaced.
 MAX_EDITS = 0.2
 #: Items with fewer words are not looked for: such phrases occur by chance.
@@ -278,6 +280,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", it
     """
     kind = "array<struct<item_id:long,start:int,end:int,distance:int>>"
     spark = docs.sparkSession
+    bound_batches(spark)
     hits = F.array().cast(kind)
     for index in blocks(benchmark, item_id, item_text, block_words):
         if not index.widths:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
+
 UNKNOWN = "und"
 BITS = 13
 DIM = 1 << BITS
@@ -134,6 +136,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     over the languages and chosen by a hash of the id; None if there are none.  The sample is
     chosen on ids alone; its features, not its texts, come to the driver.
     """
+    bound_batches(labelled.sparkSession)
     d = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n = d.select("lang").distinct().count()

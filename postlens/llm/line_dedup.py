@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replace_columns, row_key
+from .common import bound_batches, replace_columns, row_key
 from .components import components
 
 SHINGLE = 8  # characters
@@ -226,6 +226,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     lines; blank and short lines stay; rows of one doc_id are one document, and a line that
     stands at one position of several of them counts once; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     lines = lines_of(docs, doc_id, text, min_chars)
     roots = line_roots(lines, similarity, block)
     # a place is one number: hash aggregates keep a minimum of numbers, not of structs, in place

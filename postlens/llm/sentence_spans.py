@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-from .common import replace_columns, row_key
+from .common import bound_batches, replace_columns, row_key
 
 MIN_WORDS = 20
 #: A sentence ends at . ! or ? before white space, or at a newline.
@@ -104,6 +104,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "d
     of fewer than ``min_words`` words stays as it is; rows equal in doc_id and text are one
     document and stay equal; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(f"`{doc_id}`", f"`{text}`").alias("_key"),
                        F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     spans = base.mapInPandas(_span_batches(min_words), "h1 long, h2 long, doc_id long, _key long, i int, j int")

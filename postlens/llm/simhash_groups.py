@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
 from .components import components
 
 BITS = 64
@@ -28,7 +29,8 @@ LEAF = 32  # fingerprints below a lowest node
 FAN = 8  # nodes below an upper node
 #: Fingerprints of a group that go to one task; larger groups are dealt again (exactly).
 MAX_GROUP = 20_000
-CHUNK = 50_000  # shingles hashed at a time
+SMALL = 500  # small groups compared at a time: at most SMALL * LEAF ** 2 pairs in memory
+CHUNK = 20_000  # shingles hashed at a time
 
 
 # ---- fingerprints -------------------------------------------------------------------
@@ -174,8 +176,9 @@ def _link_batches(most: int):
             groups = [np.asarray(x, np.int64).view(np.uint64) for x in pdf["fps"]]
             small = [g for g in groups if len(g) <= LEAF]
             out = [link_large(g, most) for g in groups if len(g) > LEAF]
-            if small:
-                out.append(link_small(np.concatenate(small), np.array([len(g) for g in small]), most))
+            for k in range(0, len(small), SMALL):
+                some = small[k:k + SMALL]
+                out.append(link_small(np.concatenate(some), np.array([len(g) for g in some]), most))
             if out:
                 a, b = (np.concatenate(x) for x in zip(*out))
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
@@ -249,6 +252,7 @@ def groups(docs: DataFrame, n: int = 4, most: int = 4, doc_id: str = "doc_id", t
     fingerprint; a null doc_id takes part and never is a component's id, unless all of
     the component's ids are null; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     prints = fingerprints(docs, n, doc_id, text).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
     roots = components(links(distinct, most, max_group))

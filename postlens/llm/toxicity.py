@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import bound_batches
+
 #: Most labelled documents that a fit uses.
 MAX_TRAIN_ROWS = 8_000
 #: Parts of the sample, each described by a lexicon learnt from the others.
@@ -175,6 +177,7 @@ RAW_SHARE = 0.02
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1); null and empty texts are scored like a text without words."""
+    bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "score"]
     if model.trees is None:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(model.base).alias("score"))
