@@ -26,7 +26,8 @@ def bound_batches(spark: SparkSession) -> None:
     Both are settings of the session; smaller ones that the user has made stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        said = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower())
+        now = int(said[1]) << 10 * " kmgtp".index(said[2] or " ") if said else 0
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 

@@ -82,7 +82,7 @@ def test_simhash_cases(spark, docs_of):
     assert simhash_groups.groups(docs_of()).collect() == []
 
 
-def test_gray_tree_and_finer_groups(spark):
+def test_gray_tree():
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = {b for b in base}
@@ -97,11 +97,22 @@ def test_gray_tree_and_finer_groups(spark):
     assert _roots(fps, zip(a.tolist(), b.tolist())) == want
     a, b = simhash_groups.link_small(np.array(fps, np.uint64), np.array([len(fps)]), 4)
     assert _roots(fps, zip(a.tolist(), b.tolist())) == want
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    for limit in (3, 10_000):  # groups beyond the limit are dealt again, with equal results
-        edges = simhash_groups.links(spark.createDataFrame(signed, "fp long"), 4, max_group=limit).collect()
-        got = _roots(fps, [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges])
-        assert got == want
+
+
+def test_groups_beyond_the_limit_are_dealt_again(spark):
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(6):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    want = _roots(fps, [(a, b) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= 1])
+    signed = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").cache()
+    for limit in (4, 10_000):
+        edges = simhash_groups.links(signed, 1, max_group=limit).collect()
+        assert _roots(fps, [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges]) == want
 
 
 # ---- lines --------------------------------------------------------------------------
