@@ -11,13 +11,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlens.functions.ordering import previous, running, time_bucket
+from postlens.session import checkpoint_dir
+
 
 def _leaves(js: str | None) -> list[dict]:
     """Leaves of one JSON object: path, value as text, and whether it is an empty object."""
@@ -125,32 +125,45 @@ def error_rollup(errors: DataFrame, error_id: str = "error_id", module: str = "m
         F.count_distinct(intent).alias("intents"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
 
 
-def throttle(df: DataFrame, key: str, ts: str, row_id: str, hours: float) -> DataFrame:
+def throttle(df: DataFrame, key: str, ts: str, row_id: str, hours: float, bucket_seconds: float = 60) -> DataFrame:
     """Per key, keep an event only if at least ``hours`` passed since the last
     **kept** event (the first event always passes).
 
-    The keep decision depends on the previous decision, so it is a fold in
-    event order: ``groupBy(key).applyInPandas`` sorts each key's events and
-    scans them once with numpy.  Keys run in parallel.
+    Every event has one successor, the first event at least ``hours`` later, and the
+    kept events are the chain of successors from the key's first event.  Successors are
+    found in time buckets (a bucket's probes meet its events; else the next bucket that
+    has events, from a table bounded by the time span), and the chain by pointer
+    doubling: ``log2(time span / hours)`` equi joins on key and time, so a hot key is
+    spread over all tasks.  Events without a time are left out.
     """
-    step = np.int64(round(hours * 3600 * 1_000_000))
-    sub = df.select(F.col(key).alias("key"), F.col(row_id).alias("row_id"),
-                    F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "row_id"], kind="mergesort")
-        t = pdf["t_us"].to_numpy()
-        keep = np.zeros(len(t), dtype=bool)
-        last = None
-        for i in range(len(t)):
-            if last is None or t[i] - last >= step:
-                keep[i] = True
-                last = t[i]
-        return pdf.loc[keep, ["key", "row_id"]]
-
-    schema = T.StructType([sub.schema["key"], T.StructField("row_id", sub.schema["row_id"].dataType)])
-    kept = sub.groupBy("key").applyInPandas(fold, schema=schema)
-    return df.join(kept.select(F.col("row_id").alias("_rid")), F.col(row_id) == F.col("_rid"), "left_semi")
+    step = int(round(hours * 3600 * 1_000_000))
+    timed = df.where(F.col(ts).isNotNull())
+    if step <= 0:
+        return timed
+    checkpoint_dir(df.sparkSession)
+    # a struct, so that a null key is a key like any other; of events at one time only the first can be kept
+    sub = timed.select(F.struct(F.col(key).alias("k")).alias("key"), F.col(row_id).alias("row_id"),
+                       F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    ev = sub.groupBy("key", "t").agg(F.min("row_id").alias("row_id")).checkpoint()
+    low, high = ev.agg(F.min("t"), F.max("t")).first()
+    rounds = ((high - low) // step).bit_length() if low is not None else 0  # a chain has at most (high - low) / step + 1 events
+    bucket = F.floor(F.col("x") / F.lit(max(1, int(bucket_seconds * 1_000_000)))).cast("long")
+    real = ev.select("key", F.col("t").alias("x"), F.lit(None).cast("long").alias("t"))
+    points = real.unionByName(ev.select("key", (F.col("t") + step).alias("x"), "t")).withColumn("b", bucket)
+    found = F.min(F.when(F.col("t").isNull(), F.col("x")))
+    here = Window.partitionBy("key", "b").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy("key").orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    after = points.groupBy("key", "b").agg(found.alias("head")).select("key", "b", F.min("head").over(later).alias("after"))
+    jump = (points.withColumn("to", found.over(here)).where("t is not null").join(after, ["key", "b"])
+            .select("key", "t", F.coalesce("to", "after").alias("to")).where("`to` is not null").checkpoint())
+    chain = ev.groupBy("key").agg(F.min("t").alias("t"))
+    for k in range(rounds):
+        chain = chain.unionByName(chain.join(jump, ["key", "t"]).select("key", F.col("to").alias("t"))).checkpoint()
+        if k + 1 < rounds:
+            jump = (jump.join(jump.select("key", F.col("t").alias("to"), F.col("to").alias("to2")), ["key", "to"])
+                    .select("key", "t", F.col("to2").alias("to")).checkpoint())
+    kept = ev.join(chain, ["key", "t"]).select(F.col("row_id").alias("_rid"))
+    return timed.join(kept, F.col(row_id) == F.col("_rid"), "left_semi")
 
 
 def change_events(df: DataFrame, key: str, ts: str, tie: str, col: str, bucket_seconds: int = 30 * 86400

@@ -313,3 +313,51 @@ def test_fold_state_matches_sequential_merge(spark):
     nine = ".".join(["n"] * 40)
     expect = {(k, p, v) for k, s in want.items() for p, v in _state_rows(s)} | {(9, nine + ".x", "1"), (9, nine + ".y", "2")}
     assert len(got) == len(expect) and {(r.key, r.path, r.value) for r in got} == expect
+
+
+def test_throttle_chain_matches_sequential_rule(spark):
+    rng = random.Random(5)
+    base = ts("2024-01-01 00:00:00")
+    rows = [(i, rng.choice(["hot", "hot", "hot", "cold", None]), base + dt.timedelta(seconds=rng.randrange(0, 200_000) // 7 * 7))
+            for i in range(600)] + [(900, "hot", None), (901, "once", base)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").repartition(4)
+    for hours in (0.5, 3, 1000):
+        want = set()
+        for k in ("hot", "cold", None, "once"):
+            last = None
+            for t, i in sorted((t, i) for i, key, t in rows if key == k and t is not None):
+                if last is None or (t - last).total_seconds() >= hours * 3600:
+                    want.add(i)
+                    last = t
+        got = [r.event_id for r in statelog.throttle(df, "event_type", "ts", "event_id", hours).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def _sequential_batches(rows, batch_size, max_tokens, gap, min_early):
+    out = {}
+    for feed in {r[1] for r in rows}:
+        b = n = s = 0
+        last = None
+        for i, _, t, tok in sorted((r for r in rows if r[1] == feed), key=lambda r: (r[2], r[0])):
+            n, s = n + 1, s + (tok or 0)
+            wide = last is not None and (t - last).total_seconds() > gap
+            last = t
+            why = "early" if wide and n >= min_early else "tokens" if s > max_tokens else "full" if n >= batch_size else None
+            out[i] = (feed, b, n, s, why)
+            if why:
+                b, n, s = b + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("block_rows,fan", [(100_000, 1_000), (8, 2), (11, 3), (50, 1_000)])
+def test_batches_of_a_hot_feed_match_the_sequential_rule(spark, block_rows, fan):
+    rng = random.Random(block_rows)
+    base, rows, t = ts("2024-01-01 00:00:00"), [], 0
+    for i in range(400):
+        t += rng.choice([1, 5, 30, 100, 4000])
+        rows.append((i, rng.choice([1, 1, 1, 1, 2, None]), base + dt.timedelta(seconds=t), rng.choice([0, 1, 3, 9, 40, None])))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, tokens long").repartition(3)
+    got = batching.assemble_batches(df, "user_id", "ts", "event_id", "tokens", 8, 40, 90, 3, block_rows, fan).collect()
+    assert len(got) == len(rows)
+    assert {r.row_id: (r.feed, r.batch_no, r.chunk_in_batch, r.tokens_in_batch, r.close_reason) for r in got} \
+        == _sequential_batches(rows, 8, 40, 90, 3)
