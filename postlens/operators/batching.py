@@ -227,6 +227,6 @@ def attempt_rollup(df: DataFrame, job: Sequence[str], ts: str, tie: str, ok: Col
 
 
 def latest_jobs(df: DataFrame, job: str, ts: str, tie: str, k: int = 15) -> DataFrame:
-    """First ``k`` items of every job (window group limit, skew-safe map-side cut)."""
-    w = Window.partitionBy(job).orderBy(ts, tie)
+    """Latest ``k`` items of every job, newest first (window group limit, skew-safe map-side cut)."""
+    w = Window.partitionBy(job).orderBy(F.desc(ts), F.desc(tie))
     return df.withColumn("item_rank", F.row_number().over(w)).where(F.col("item_rank") <= k)

@@ -103,7 +103,8 @@ def _attempts(spark, sf):
 
 @register("latest_jobs", """
 SELECT user_id, event_id, item_rank FROM (
-  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS item_rank FROM events) x
+  SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS item_rank
+  FROM events) x
 WHERE item_rank <= 15""")
 def _latest(spark, sf):
     e = Tables(spark, sf).events.select("user_id", "event_id", "ts")

@@ -6,13 +6,14 @@ import os
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postlens.functions import text as T
 from postlens.operators import quality, stats
 from postlens.plans.registry import register
 from postlens.session import checkpoint_dir
 from postlens.sources import batches
-from postlens.sources.schema import ISO_PATTERN, URL_PATTERN
+from postlens.sources.schema import AGES, BATCH, EMOTIONS, GENDERS, IRONY, ISO_PATTERN, TEXT_TYPES, URL_PATTERN
 from postlens.tables import Tables
 from postlens.views import v_dup_items, v_items, with_views
 
@@ -211,28 +212,83 @@ def _parse_kw(spark, sf):
 
 # ---- batch documents ---------------------------------------------------------------------
 
+ITEMS_PER_BATCH = 100
+
+
+def _analysis(k, label):
+    """A full analysis of an item; its scores are 64ths, so that every engine has the same numbers."""
+    def score(i: int):
+        return F.pmod(k * (i + 1), F.lit(64)).cast("double") / 64.0
+
+    def family(names):
+        return F.struct(*[score(i).alias(n) for i, n in enumerate(names)])
+
+    return F.struct(
+        F.struct(label.alias("label"), score(0).alias("score")).alias("classification"),
+        F.array(F.concat(F.lit("kw"), F.pmod(k, F.lit(7)).cast("string")), F.col("domain")).alias("top_keywords"),
+        score(1).alias("language_score"), (score(2) * 2 - 1).alias("sentiment"),
+        F.array(*[score(i) for i in range(4)]).alias("embedding"), family(GENDERS).alias("gender"),
+        F.lit("social").alias("source_type"), family(TEXT_TYPES).alias("text_type"), family(EMOTIONS).alias("emotion"),
+        family(IRONY).alias("irony"), family(AGES).alias("age"))
+
+
 def _processed_items(t: Tables):
-    j = v_items(t).withColumn("batch_id", F.col("item_id") % 10)
+    j = v_items(t).withColumn("batch_id", F.floor(F.col("item_id") / ITEMS_PER_BATCH).cast("long"))
+    j = j.withColumn("analysis", _analysis(F.col("item_id"), F.col("author")))
     j = quality.project_item(j.select("*", F.col("content").alias("raw_content"),
                                       F.col("content").alias("translated_content"),
                                       F.lit("2024-01-01T00:00:00Z").alias("created_at"),
                                       F.col("item_id").cast("string").alias("external_id")))
-    return j.select("batch_id", F.col("item_id").alias("item_no"), "item",
+    return j.select("batch_id", F.col("item_id").alias("item_no"), "item", "analysis",
                     F.lit("postlens").alias("collection_client_version"), F.lit("unknown").alias("collection_module"),
                     F.lit("2024-01-01T00:00:00Z").alias("collected_at"))
 
 
-@register("read_batches", with_views("""
-SELECT CAST(item_id AS VARCHAR) AS external_id, domain, url, language, 'SPOTTING' AS kind FROM V_items""", "V_items"))
-def _read_batches(spark, sf):
+def _score_sql(i: int) -> str:
+    return f"CAST((item_id * {i + 1}) % 64 AS DOUBLE) / 64"
+
+
+def _written(spark, sf) -> str:
     path = os.path.join(checkpoint_dir(spark), f"batches-{uuid.uuid4().hex}")
     batches.write_batches(_processed_items(Tables(spark, sf)), path)
-    r = batches.read_batches(spark, path)
-    return r.select("item.external_id", "item.domain", "item.url", "item.language", "kind")
+    return path
 
 
-@register("write_batches", """
-SELECT doc_id % 10 AS batch_id, CAST(count(*) AS INTEGER) AS n_items FROM documents GROUP BY 1""")
+@register("read_batches", with_views(f"""
+SELECT CAST(item_id AS VARCHAR) AS external_id, content AS raw_content, content AS translated_content,
+  '2024-01-01T00:00:00Z' AS created_at, nullif(author, '') AS author, domain, url, language, 'SPOTTING' AS kind,
+  row_number() OVER (PARTITION BY item_id // {ITEMS_PER_BATCH} ORDER BY item_id) - 1 AS item_no,
+  author AS label, {_score_sql(0)} AS label_score, {_score_sql(1)} AS language_score, {_score_sql(2)} * 2 - 1 AS sentiment,
+  'kw' || CAST(item_id % 7 AS VARCHAR) || ' ' || domain AS keywords, {_score_sql(3)} AS embedding_3,
+  {_score_sql(len(EMOTIONS) - 1)} AS last_emotion, {_score_sql(len(AGES) - 1)} AS last_age, {_score_sql(1)} AS non_irony,
+  'postlens' AS collection_client_version, 'unknown' AS collection_module, '2024-01-01T00:00:00Z' AS collected_at
+FROM V_items""", "V_items"))
+def _read_batches(spark, sf):
+    r = batches.read_batches(spark, _written(spark, sf))
+    a = F.col("analysis")
+    return r.select("item.external_id", "item.raw_content", "item.translated_content", "item.created_at", "item.author",
+                    "item.domain", "item.url", "item.language", "kind", F.col("item_no").cast("long").alias("item_no"),
+                    a["classification"]["label"].alias("label"), a["classification"]["score"].alias("label_score"),
+                    a["language_score"].alias("language_score"), a["sentiment"].alias("sentiment"),
+                    F.array_join(a["top_keywords"], " ").alias("keywords"), F.get(a["embedding"], F.lit(3)).alias("embedding_3"),
+                    a["emotion"][EMOTIONS[-1]].alias("last_emotion"), a["age"][AGES[-1]].alias("last_age"),
+                    a["irony"]["non_irony"].alias("non_irony"),
+                    "collection_client_version", "collection_module", "collected_at")
+
+
+@register("write_batches", with_views(f"""
+SELECT item_id // {ITEMS_PER_BATCH} AS batch_id, CAST(count(*) AS INTEGER) AS n_items, 'SPOTTING' AS kind,
+  md5(string_agg(coalesce(content, ''), chr(10) ORDER BY item_id)) AS contents_md5,
+  string_agg(url, ' ' ORDER BY item_id) AS urls, sum({_score_sql(2)} * 2 - 1) AS sentiment_sum
+FROM V_items GROUP BY 1""", "V_items"))
 def _write_batches(spark, sf):
-    docs = batches.batch_documents(_processed_items(Tables(spark, sf)))
-    return docs.select("batch_id", "n_items")
+    # read back from the files: one line is one document
+    lines = spark.read.text(_written(spark, sf))
+    d = lines.select(F.from_json("value", StructType(BATCH.fields[:2])).alias("d")).select("d.*")
+    return d.select(
+        F.floor(F.col("items")[0]["item"]["external_id"].cast("long") / ITEMS_PER_BATCH).cast("long").alias("batch_id"),
+        F.size("items").alias("n_items"), "kind",
+        F.md5(F.array_join(F.transform("items", lambda x: F.coalesce(x["item"]["translated_content"], F.lit(""))), "\n")
+              .cast("binary")).alias("contents_md5"),
+        F.array_join(F.transform("items", lambda x: x["item"]["url"]), " ").alias("urls"),
+        F.aggregate("items", F.lit(0.0), lambda s, x: s + x["analysis"]["sentiment"]).alias("sentiment_sum"))

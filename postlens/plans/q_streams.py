@@ -8,12 +8,14 @@ received; the oracle is the batch result the stream must equal.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from postlens.operators import quality
 from postlens.plans.q_batching import ASSEMBLE_SQL, BATCH_SIZE, GAP_S, MAX_TOKENS
 from postlens.plans.registry import ORACLES, register
+from postlens.session import checkpoint_dir
 from postlens.sources import items_source
 from postlens.streaming import streams
 from postlens.tables import table
@@ -24,18 +26,26 @@ def _events_stream(spark, sf):
     return streams.read_stream(spark, path, table(spark, sf, "events").schema)
 
 
+def _sliced_stream(spark, sf, slices: int = 4):
+    """The events as a stream of several files (ranges of time, in any order), a file a micro-batch."""
+    path = os.path.join(checkpoint_dir(spark), f"events-{uuid.uuid4().hex}")
+    events = table(spark, sf, "events")
+    events.repartitionByRange(slices, "ts").write.parquet(path)
+    return streams.read_stream(spark, path, events.schema)
+
+
 @register("item_stream", "SELECT event_id, user_id, event_type, ts FROM events WHERE event_type <> 'error'")
 def _item_stream(spark, sf):
-    s = streams.item_stream(_events_stream(spark, sf), F.col("event_type") != "error")
+    s = streams.item_stream(_sliced_stream(spark, sf), F.col("event_type") != "error")
     return streams.run_available(s.select("event_id", "user_id", "event_type", "ts"), name="item_stream")
 
 
 @register("dedup_url_stream", """
 SELECT DISTINCT 'https://x.com/u/' || CAST(user_id AS VARCHAR) || '/' || event_type AS url FROM events""")
 def _dedup_stream(spark, sf):
-    s = _events_stream(spark, sf).withColumn(
+    s = _sliced_stream(spark, sf).withColumn(
         "url", F.concat(F.lit("https://x.com/u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")))
-    d = streams.dedup_url_stream(s, "url", "1 hour").select("url")
+    d = streams.dedup_url_stream(s, "url").select("url")
     return streams.run_available(d, name="dedup_url_stream")
 
 

@@ -39,8 +39,15 @@ def write_batches(items: DataFrame, path: str, batch_col: str = "batch_id", kind
     batch_documents(items, batch_col, kind).select("value").write.mode(mode).text(path)
 
 
-def batch_documents(items: DataFrame, batch_col: str = "batch_id", kind: str = "SPOTTING") -> DataFrame:
-    """Batches as JSON text rows ``(batch_id, n_items, value)`` (what ``write_batches`` writes)."""
+def batch_documents(items: DataFrame, batch_col: str = "batch_id", kind: str = "SPOTTING",
+                    max_items: int = MAX_BATCH_ITEMS) -> DataFrame:
+    """Batches as JSON text rows ``(batch_id, n_items, value)`` (what ``write_batches`` writes).
+
+    A batch of more than ``max_items`` items is an error, found by a count (combined
+    before its shuffle) before any batch is collected into a document."""
+    large = items.groupBy(batch_col).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_items).head(1)
+    if large:
+        raise ValueError(f"batch {large[0][0]} holds {large[0]['n']} items, more than {max_items}")
     cols = [f.name for f in PROCESSED.fields if f.name in items.columns]
     order = F.col("item_no") if "item_no" in items.columns else F.lit(0)
     docs = items.groupBy(batch_col).agg(

@@ -4,84 +4,92 @@
     spark.read.format("items").option("path", ".../pages.parquet").option("keyword", "bitcoin").load()
     spark.readStream.format("items").option("path", ...).load()
 
-One input partition per parquet row group, read with pyarrow inside the task;
-the keyword (case-insensitive substring of the page) is applied while reading.
-The stream reader's offset is the number of row groups already delivered, so a
-restarted query resumes from its checkpoint.
+The driver lists the files and opens none of them.  A file is read in ``splitsPerFile``
+partitions (its row groups in turn), a small batch at a time inside the tasks; the keyword
+(case-insensitive substring of the page) is applied while reading.  The stream's offset is
+the number of files delivered, in order of name: a restarted query resumes from its
+checkpoint, and the rows of a micro-batch are read by its tasks.
 """
 
 from __future__ import annotations
 
-import glob
-import os
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "page_id long, url string, html string"
+COLUMNS = ["page_id", "url", "html"]
+BATCH_ROWS = 500
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(path, "*.parquet")))
-    return sorted(glob.glob(path))
+def _file_system(path: str):
+    """The file system of a path or URI, and the path there."""
+    from pyarrow import fs
 
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
 
-def _row_groups(path: str) -> list[tuple[str, int]]:
-    import pyarrow.parquet as pq
 
-    out = []
-    for f in _files(path):
-        out.extend((f, i) for i in range(pq.ParquetFile(f).num_row_groups))
-    return out
+def _files(path: str) -> list[str]:
+    """Names of the Parquet files of a file or folder, in order."""
+    from pyarrow import fs
 
+    system, at = _file_system(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [at]
+    found = system.get_file_info(fs.FileSelector(at))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".parquet"))
 
-class RowGroup(InputPartition):
-    def __init__(self, file: str, group: int):
-        super().__init__((file, group))
-        self.file, self.group = file, group
 
+class Piece(InputPartition):
+    """Every ``n``-th row group of a file, from the ``k``-th on."""
 
-def _read(file: str, group: int, keyword: str | None):
-    import pyarrow.parquet as pq
+    def __init__(self, file: str, k: int, n: int):
+        super().__init__((file, k, n))
+        self.file, self.k, self.n = file, k, n
 
-    t = pq.ParquetFile(file).read_row_group(group, columns=["page_id", "url", "html"])
-    kw = keyword.lower() if keyword else None
-    for pid, url, html in zip(*(t.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-        if kw is None or (html is not None and kw in html.lower()):
-            yield (pid, url, html)
 
+class _Pages:
+    """What the batch and the stream reader share."""
 
-class ItemsReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
-        self.keyword = options.get("keyword")
+        self.keyword = (options.get("keyword") or "").lower()
+        self.splits = int(options.get("splitsPerFile", "1"))
 
-    def partitions(self):
-        return [RowGroup(f, g) for f, g in _row_groups(self.path)]
+    def pieces(self, files: list[str]) -> list[Piece]:
+        return [Piece(f, k, self.splits) for f in files for k in range(self.splits)]
 
-    def read(self, partition: RowGroup):
-        yield from _read(partition.file, partition.group, self.keyword)
+    def read(self, partition: Piece):
+        import pyarrow.parquet as pq
 
+        system, _ = _file_system(self.path)
+        with system.open_input_file(partition.file) as source:
+            pages = pq.ParquetFile(source)
+            groups = list(range(partition.k, pages.num_row_groups, partition.n))
+            for batch in pages.iter_batches(BATCH_ROWS, row_groups=groups, columns=COLUMNS):
+                for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in COLUMNS)):
+                    if not self.keyword or (html is not None and self.keyword in html.lower()):
+                        yield (page_id, url, html)
 
-class ItemsStreamReader(SimpleDataSourceStreamReader):
-    def __init__(self, options):
-        self.path = options["path"]
-        self.keyword = options.get("keyword")
-        self.per_batch = int(options.get("rowGroupsPerBatch", "4"))
 
+class ItemsReader(_Pages, DataSourceReader):
+    def partitions(self):
+        return self.pieces(_files(self.path))
+
+
+class ItemsStreamReader(_Pages, DataSourceStreamReader):
     def initialOffset(self):
-        return {"groups": 0}
+        return {"files": 0}
+
+    def latestOffset(self):
+        return {"files": len(_files(self.path))}
 
-    def read(self, start):
-        groups = _row_groups(self.path)
-        s = start["groups"]
-        e = min(len(groups), s + self.per_batch)
-        rows = [r for f, g in groups[s:e] for r in _read(f, g, self.keyword)]
-        return iter(rows), {"groups": e}
+    def partitions(self, start, end):
+        return self.pieces(_files(self.path)[start["files"]:end["files"]])
 
-    def readBetweenOffsets(self, start, end):
-        groups = _row_groups(self.path)
-        return iter([r for f, g in groups[start["groups"]:end["groups"]] for r in _read(f, g, self.keyword)])
+    def commit(self, end):
+        pass
 
 
 class ItemsDataSource(DataSource):
@@ -95,7 +103,7 @@ class ItemsDataSource(DataSource):
     def reader(self, schema):
         return ItemsReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return ItemsStreamReader(self.options)
 
 

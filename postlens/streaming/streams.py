@@ -41,7 +41,8 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
              .outputMode("append").trigger(availableNow=True).start())
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+            # a batch that is run again replaces what it has written
+            batch.write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
         q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ck).outputMode(mode)
              .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -58,8 +59,11 @@ def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("event_time", F.col(ts).cast("timestamp"))
 
 
-def dedup_url_stream(stream: DataFrame, url: str, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated URLs seen within the watermark delay (bounded state)."""
+def dedup_url_stream(stream: DataFrame, url: str, delay: str | None = None) -> DataFrame:
+    """Each URL once, whatever the order of the files; the state keeps every URL.  With a
+    ``delay`` only repeats within the watermark delay are dropped (bounded state)."""
+    if delay is None:
+        return with_event_time(stream).dropDuplicates([url])
     return with_event_time(stream).withWatermark("event_time", delay).dropDuplicatesWithinWatermark([url])
 
 

@@ -361,3 +361,38 @@ def test_batches_of_a_hot_feed_match_the_sequential_rule(spark, block_rows, fan)
     assert len(got) == len(rows)
     assert {r.row_id: (r.feed, r.batch_no, r.chunk_in_batch, r.tokens_in_batch, r.close_reason) for r in got} \
         == _sequential_batches(rows, 8, 40, 90, 3)
+
+
+def test_items_source_batch_and_stream(spark, tmp_path):
+    from postlens.sources import items_source
+    from postlens.streaming import streams
+    rows = [(i, f"https://a.org/{i}", None if i % 10 == 3 else f"<p>{'Bitcoin' if i % 3 else 'other'} {i}</p>") for i in range(60)]
+    pages = str(tmp_path / "pages")
+    spark.createDataFrame(rows, items_source.SCHEMA).repartition(5).write.parquet(pages)
+    items_source.register(spark)
+    want = sorted(i for i, _, h in rows if h and "bitcoin" in h.lower())
+    for splits in ("1", "3"):
+        options = {"path": pages, "keyword": "BITCOIN", "splitsPerFile": splits}
+        assert sorted(r.page_id for r in spark.read.format("items").options(**options).load().collect()) == want
+        out = streams.run_available(spark.readStream.format("items").options(**options).load(), name="items")
+        assert sorted(r.page_id for r in out.collect()) == want
+
+
+def test_oversized_batch_raises(spark):
+    from postlens.sources import batches
+    items = spark.range(30).selectExpr("id % 2 as batch_id", "id as item_no", "named_struct('url', 'u') as item")
+    assert sorted(r.n_items for r in batches.batch_documents(items, max_items=15).collect()) == [15, 15]
+    with pytest.raises(ValueError, match="more than 14"):
+        batches.batch_documents(items, max_items=14)
+
+
+def test_dedup_url_stream_over_files_in_any_order(spark, tmp_path):
+    from postlens.streaming import streams
+    base = ts("2024-01-01 00:00:00")
+    path = str(tmp_path / "urls")
+    for part in (3, 0, 2, 1):  # the last hours come first
+        rows = [(f"u{(part * 7 + k) % 11}", base + dt.timedelta(hours=50 * part + k)) for k in range(20)]
+        df = spark.createDataFrame(rows, "url string, ts timestamp_ntz")
+        df.coalesce(1).write.mode("append").parquet(path)
+    out = streams.run_available(streams.dedup_url_stream(streams.read_stream(spark, path, df.schema), "url").select("url"), name="urls")
+    assert sorted(r.url for r in out.collect()) == sorted(f"u{k}" for k in range(11))
