@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions.text import py_strip
+from postlens.session import checkpoint_dir
 
 # Gates of the reference (token gate 500, paragraph size 500,
 # minimum sentence/paragraph length 5 characters, excluded).
@@ -26,6 +27,8 @@ MIN_PIECE_CHARS = 5
 # Default tokenizer: runs of letters/digits, or single other non-space characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]"
 SENT_MARK = "\u0001"
+#: Largest profile table (a language and trigram each) that is sent to every executor.
+MAX_BROADCAST_PROFILE = 100_000
 
 
 def _c(c) -> Column:
@@ -171,11 +174,16 @@ def train_language_profiles(docs: DataFrame, text: str, lang: str, top: int = 30
 def detect_language(docs: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """Best language per text: the language whose profile contains most of the
     text's trigram occurrences (ties -> smallest code); null when none match.
-    The profile table (languages x top) is joined by trigram; only aggregates
-    per ``(doc, lang)`` leave the map side."""
+    The profile table (languages x top) is computed once and counted; up to
+    ``MAX_BROADCAST_PROFILE`` rows it is sent to the executors, so that only aggregates
+    per ``(doc, lang)`` leave the map side.  Beyond that the join is the planner's."""
+    checkpoint_dir(docs.sparkSession)
+    profiles = profiles.select("lang", "gram").checkpoint()
+    if profiles.count() <= MAX_BROADCAST_PROFILE:
+        profiles = F.broadcast(profiles)
     grams = (docs.select(key, normalise_for_grams(text).alias("_t"))
              .select(key, F.explode(char_trigrams("_t")).alias("gram")).where(F.length("gram") == 3))
-    scores = grams.join(profiles.select("lang", "gram"), "gram").groupBy(key, "lang").agg(
+    scores = grams.join(profiles, "gram").groupBy(key, "lang").agg(
         F.count(F.lit(1)).alias("score"))
     best = scores.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
     return docs.select(key).join(best, key, "left")

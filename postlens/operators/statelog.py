@@ -151,8 +151,9 @@ def throttle(df: DataFrame, key: str, ts: str, row_id: str, hours: float, bucket
     real = ev.select("key", F.col("t").alias("x"), F.lit(None).cast("long").alias("t"))
     points = real.unionByName(ev.select("key", (F.col("t") + step).alias("x"), "t")).withColumn("b", bucket)
     found = F.min(F.when(F.col("t").isNull(), F.col("x")))
-    here = Window.partitionBy("key", "b").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.partitionBy("key").orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    # from the end backwards: a frame that grows costs one step a row, one that shrinks is summed up anew for each
+    here = Window.partitionBy("key", "b").orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("key").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     after = points.groupBy("key", "b").agg(found.alias("head")).select("key", "b", F.min("head").over(later).alias("after"))
     jump = (points.withColumn("to", found.over(here)).where("t is not null").join(after, ["key", "b"])
             .select("key", "t", F.coalesce("to", "after").alias("to")).where("`to` is not null").checkpoint())
