@@ -37,18 +37,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of SimHash near-duplicates the document with the smallest doc_id stays.
 
-    Rows of equal doc_id count as one document: one of them stays.  Without any id in a
-    group one of its rows stays.
+    Every group keeps exactly one row: rows without an id come after those with one, and
+    rows of one id (or of none) go by a hash of the row.  Rows of different groups stay,
+    whether or not they share an id.
     """
-    groups = simhash_groups.groups(docs).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "component_id")
-    first = groups.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_r"))
-    # an id that stands on several rows: the first of them by text; such rows alone are shuffled by id
-    single = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_r")), "left_anti")
-    several = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_r")), "left_semi")
-    least = several.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return single.select(COLUMNS).unionByName(least.select("doc_id", "row.*").select(COLUMNS))
+    # nulls leave a hash as it is, so the flags tell apart which columns are null
+    columns = [F.col(c).isNull() for c in COLUMNS] + [F.col(c) for c in COLUMNS]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                     F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"))
+    first = simhash_groups.keepers(docs, order).select(F.col("least.h1").alias("_1"), F.col("least.h2").alias("_2"), "n").checkpoint()
+    keyed = docs.select(*COLUMNS, F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(1), *columns).alias("h2"))
+
+    def stay(some):
+        return keyed.join(some, (keyed["h1"] == some["_1"]) & (keyed["h2"] == some["_2"]), "left_semi").select(COLUMNS)
+
+    # a row that stands more than once, in all its columns, stays once
+    return stay(first.filter("n = 1")).unionByName(stay(first.filter("n > 1")).distinct())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

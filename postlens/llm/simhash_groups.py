@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -55,13 +55,13 @@ def fingerprint(text: bytes | None, n: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; fp a long with the 64 bits."""
+def fingerprints(docs: DataFrame, n: int = 4, doc_id: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """(doc_id, fp, *more): one row per input row; fp a long with the 64 bits."""
     @pandas_udf("long")
     def simhash(s: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, n) for x in s], dtype="int64")
 
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), simhash(F.col(f"`{text}`").cast("binary")).alias("fp"))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), simhash(F.col(f"`{text}`").cast("binary")).alias("fp"), *more)
 
 
 # ---- the index of one group ---------------------------------------------------------
@@ -242,6 +242,22 @@ def links(fps: DataFrame, most: int = 4, max_group: int = MAX_GROUP) -> DataFram
         members = members.select("fp", nexts.alias("x")).select("fp", F.inline("x")).drop("old").checkpoint()
 
 
+def keepers(docs: DataFrame, order: Column, n: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text",
+            max_group: int = MAX_GROUP) -> DataFrame:
+    """(least, n): of each component of ``groups`` the least value of ``order`` and the rows that have it.
+
+    ``order`` must be orderable and tell rows of a component apart; rows that share a value
+    should be equal rows.  Hot groups are combined before the shuffle.
+    """
+    bound_batches(docs.sparkSession)
+    prints = fingerprints(docs, n, doc_id, text, order.alias("least")).checkpoint()
+    alike = prints.groupBy("fp", "least").agg(F.count(F.lit(1)).alias("n"))
+    distinct = alike.groupBy("fp").agg(F.min(F.struct("least", "n")).alias("first")).checkpoint()
+    roots = components(links(distinct, most, max_group))
+    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    return joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+
+
 def groups(docs: DataFrame, n: int = 4, most: int = 4, doc_id: str = "doc_id", text: str = "text",
            max_group: int = MAX_GROUP) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links of ``most`` or fewer

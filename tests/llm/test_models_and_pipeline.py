@@ -158,3 +158,15 @@ def test_pipeline_cases(spark, docs_of, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert {r["doc_id"] for r in docs.collect()} <= {r[0] for r in rows}
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs_of):
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(None, say(1)), (None, say(2)), (None, say(2)), (None, say(2), "en"),  # no id: two groups
+            (1, say(3)), (1, say(4)), (1, say(4), "de"),  # one id: two groups
+            (2, say(3)), (3, say(5)), (None, say(5)), (3, say(5)), (5, say(6)), (4, say(6)),
+            (6, None, "en"), (6, "en"), (7, None)]
+    got = corpus_pipeline.keep_one_of_group(spark, docs_of(*rows), SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(
+        [(None, say(1)), (None, say(2)), (1, say(3)), (1, say(4)), (3, say(5)), (4, say(6)), (6, None), (6, "en")])
