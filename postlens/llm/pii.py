@@ -23,7 +23,13 @@ PHONE = r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?
 SSN = r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+# a card may stand beside a CVV, an expiry date or an order number: all digit groups up to the next
+# other value are taken, and ``cards`` finds the cards among them (possessive: long runs need no stack)
+_OTHER = "|".join([EMAIL, PHONE, SSN, DATE, IP])
+_GROUPS = rf"\d++(?:-(?!{_OTHER})\d++)*+(?!\w|-(?!{_OTHER}))"
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){_GROUPS}(?: (?!{_OTHER}){_GROUPS})*+"
+#: Issuers' leading digits and lengths: of overlapping readings such a one is taken first.
+ISSUED = (r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[068]\d{12}|35\d{14}|6(?:011|4|5)\d+|62\d{14,17})$")
 PATTERN = "|".join([EMAIL, KEY_ID, SECRET, PHONE, SSN, DATE, IP, CARD])
 
 FIRST_DAY, N_DAYS = "1900-01-01", 73049  # to 2099-12-31
@@ -78,16 +84,40 @@ def _luhn_sum(digits: Column) -> Column:
         F.lit(0), lambda a, v: a + F.coalesce(v, F.lit(0)))
 
 
-def card(m: Column, key: str) -> Column:
-    d = _digits(m)
+def card(d: Column, key: str) -> Column:
+    """Digits of a valid card, permuted."""
     body = F.substr(d, F.lit(1), F.length(d) - 1)
     n = F.length(body)
     half = F.floor(n / 2).cast("int")
     a = F.rpad(F.lit("1"), half + 1, F.lit("0")).cast("long")
     b = F.rpad(F.lit("1"), n - half + 1, F.lit("0")).cast("long")
-    made = let(F.lpad(permute(body.cast("long"), a, b, "card", key).cast("string"), n, F.lit("0")), lambda new: F.concat(
+    return let(F.lpad(permute(body.cast("long"), a, b, "card", key).cast("string"), n, F.lit("0")), lambda new: F.concat(
         new, ((10 - _luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10).cast("string")))
-    return F.when(_luhn_sum(d) % 10 == 0, _refill(m, made))
+
+
+def readings(m: Column) -> Column:
+    """The cards in a run of digit groups: (rank, short, i, j, at, d), groups i to j, digits ``d`` from place ``at`` on.
+
+    A card is a number of whole neighbouring groups with 13 to 19 digits that passes Luhn.  Of
+    readings that overlap, one that an issuer could give goes first, then the longest, then the first.
+    """
+    def valid(g):
+        last = F.size(g) - 1
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(
+            F.sequence(i, F.least(i + 18, last)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(g, i + 1, j - i + 1), "").alias("d")))))
+        on = F.filter(spans, lambda w: F.length(w["d"]).between(13, 19) & (_luhn_sum(w["d"]) % 10 == 0))
+        return F.array_sort(F.transform(on, lambda w: F.struct(
+            F.when(w["d"].rlike(ISSUED), 0).otherwise(1).alias("rank"), (-F.length(w["d"])).alias("short"), w["i"].alias("i"), w["j"].alias("j"),
+            F.length(F.array_join(F.slice(g, F.lit(1), w["i"]), "")).alias("at"), w["d"].alias("d"))))
+
+    return let(F.split(m, "[ -]"), lambda g: let(valid(g), lambda ws: F.aggregate(ws, F.slice(ws, 1, 0), lambda acc, w: F.when(
+        F.exists(acc, lambda x: (x["i"] <= w["j"]) & (w["i"] <= x["j"])), acc).otherwise(F.concat(acc, F.array(w))))))
+
+
+def cards(m: Column, key: str) -> Column:
+    """(new, n): a run of digit groups with its cards permuted, and their number; null without a card."""
+    return let(readings(m), lambda ws: F.when(F.size(ws) > 0, F.struct(_refill(m, F.aggregate(
+        ws, _digits(m), lambda s, w: F.overlay(s, card(w["d"], key), w["at"] + 1))).alias("new"), F.size(ws).alias("n"))))
 
 
 def phone(m: Column, key: str) -> Column:
@@ -149,9 +179,6 @@ def secret(m: Column, key: str) -> Column:
     return F.concat(lead, F.substr(made, F.lit(1), F.length(value)), tail)
 
 
-KINDS = ("email", "secret", "phone", "ssn", "date", "ip", "card")
-
-
 def _kind(m: Column) -> Column:
     def whole(p):
         return m.rlike(f"^(?:{p})$")
@@ -168,14 +195,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     as they are; numbers that fail their validation (Luhn, calendar, octets, number plan of
     social security) are left alone; dates outside 1900-2099 too.  Rows stand alone: no shuffle.
     """
-    make = {"email": email, "secret": secret, "phone": phone, "ssn": ssn, "date": date, "ip": ip, "card": card}
+    make = {"email": email, "secret": secret, "phone": phone, "ssn": ssn, "date": date, "ip": ip}
+
+    def single(m: Column, kind: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for k, f in make.items():
+            new = F.when(kind == k, f(m, key)).otherwise(new)
+        return let(new, lambda v: F.when(v.isNotNull(), F.struct(v.alias("new"), F.lit(1).alias("n"))))
 
     def one(m: Column) -> Column:
-        kind = _kind(m)
-        new = None
-        for k in KINDS:
-            new = F.when(kind == k, make[k](m, key)) if new is None else new.when(kind == k, make[k](m, key))
-        return F.struct(F.coalesce(new, m).alias("new"), F.when(new.isNotNull(), kind).alias("kind"))
+        return let(_kind(m), lambda kind: let(F.when(kind == "card", cards(m, key)).otherwise(single(m, kind)), lambda x: F.struct(
+            F.coalesce(x["new"], m).alias("new"), F.array_repeat(kind, F.coalesce(x["n"], F.lit(0))).alias("kinds"))))
 
     t = F.col(f"`{text}`")
     df = docs.select("*", F.regexp_extract_all(text_or_empty(t), F.lit(PATTERN), F.lit(0)).alias("_pl_found"))
@@ -183,6 +213,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     gaps = F.split(t, PATTERN, -1)
     joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_pl_made"), i)["new"], F.lit("")))), "")
     new = {text: F.when(F.col("_pl_made").isNull(), t).otherwise(joined),
-           "pii": F.coalesce(F.filter(F.transform("_pl_made", lambda x: x["kind"]), lambda x: x.isNotNull()),
-                             F.array().cast("array<string>"))}
+           "pii": F.coalesce(F.flatten(F.transform("_pl_made", lambda x: x["kinds"])), F.array().cast("array<string>"))}
     return df.select(replace_columns(docs, new))

@@ -152,6 +152,28 @@ def test_pii_formats_links_and_cases(spark, docs_of):
     assert pii.pseudonymise(docs_of(), "key").collect() == []
 
 
+def test_pii_cards_beside_other_numbers(spark, docs_of):
+    one, two, amex = "4111111111111111", "5500 0000 0000 0004", "3782-822463-10005"
+    spaced = "4111 1111 1111 1111"
+    rows = [(f"{one} 123", [one]), (f"{spaced} 12/27", [spaced]), (f"12 {one}", [one]), (f"{spaced} 123 12/27", [spaced]),
+            (f"order 12 1234 1234 1234 {spaced}", [spaced]), (f"{spaced} {two}", [spaced, two]), (f"77 {amex} 1234", [amex]),
+            (f"{spaced} 123-45-6789", [spaced, "123-45-6789"]), (f"{spaced} 67.190.110.215", [spaced, "67.190.110.215"]),
+            (f"{one} 689 555 4072", [one, "689 555 4072"]), (f"{spaced} 2024-05-06", [spaced, "2024-05-06"]),
+            (f"{spaced} 12-34a", [spaced]), ("7 " * 20_000, None), ("4111111111111112 123", []), ("1" * 25, [])]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(*[(k, t) for k, (t, _) in enumerate(rows)]), "key").collect()}
+    for k, (t, values) in enumerate(rows):
+        new = got[k]["text"]
+        assert re.sub(r"\d+", "#", new) == re.sub(r"\d+", "#", t) if values is None or "." not in t else True
+        if values is None:
+            continue
+        assert len(got[k]["pii"]) == len(values) and not any(v in new for v in values), t
+        if not values:
+            assert new == t
+    assert got[0]["text"].endswith(" 123") and got[2]["text"].startswith("12 ") and got[1]["text"].endswith(" 12/27")
+    card = got[0]["text"][:16]
+    assert _luhn(card) and card == got[2]["text"][3:] == got[1]["text"][:19].replace(" ", "")
+
+
 def test_pii_is_a_keyed_permutation(spark):
     d = spark.range(2000).select(F.concat(F.lpad(F.col("id"), 3, "0"), F.lit("")).alias("t"), "id")
     one = d.select("id", pii.permute(F.col("id"), pii._long(50), pii._long(40), "k", "key").alias("p")).collect()
