@@ -26,8 +26,9 @@ from .components import components
 SHINGLE = 8  # characters
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 5
-#: Shorter lines (characters) are left alone: headings and single words.
-MIN_CHARS = 25
+#: Shorter lines (characters) are left alone: single words, numbers and marks.  A line of fewer
+#: than SHINGLE characters is one shingle, so that only exact copies of it are similar.
+MIN_CHARS = 6
 #: Lines of one band that one task compares; larger bands are compared block by block.
 BLOCK = 4_000
 FEW = 24  # lines of a group that are compared as plain sets
@@ -181,7 +182,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
     """(doc_id, _key, pos, line, h1, h2): the lines that are compared."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(f"`{doc_id}`", f"`{text}`").alias("_key"),
                     F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    d = d.filter(F.length("line") >= min_chars)
+    d = d.filter((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return d.select("doc_id", "_key", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 

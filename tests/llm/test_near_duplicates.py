@@ -173,6 +173,13 @@ def test_line_dedup_cases_and_blocks(spark, docs_of):
     assert line_dedup.dedup_lines(docs_of()).collect() == []
 
 
+def test_line_dedup_takes_short_lines(spark, docs_of):
+    rights, menu = "All rights reserved.", "Menu >>"
+    rows = [(1, f"{rights}\n{menu}\none of these stays"), (2, f"{rights}\n{menu}\n{' ' * 30}\n{' ' * 30}"), (3, f"own line\n{rights}"), (4, "Menu <<")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(docs_of(*rows)).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [1], 4: []}
+
+
 # ---- sentences ----------------------------------------------------------------------
 
 def _spans_brute(rows, least=sentence_spans.MIN_WORDS):
