@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, langid, line_dedup, mixing, pii, quality_rules, sentence_spans, simhash_groups, toxicity
+from . import (chat_format, decontam, langid, line_dedup, mixing, order_minhash, pii, quality_rules, sentence_spans,
+               simhash_groups, toxicity)
 from .common import crc_mod, read
 from .registry import register
 
@@ -108,3 +109,10 @@ def op10(spark, sf_dir):
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
         F.length("said").cast("long").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@register("op11_order_minhash")
+def op11(spark, sf_dir):
+    return order_minhash.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
