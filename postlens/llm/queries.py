@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontam, langid, line_dedup, mixing, order_minhash, pii, quality_rules, sentence_spans,
+from . import (chat_format, decontam, langid, line_dedup, merkle, mixing, order_minhash, pii, quality_rules, sentence_spans,
                simhash_groups, toxicity)
 from .common import crc_mod, read
 from .registry import register
@@ -116,3 +116,64 @@ def op11(spark, sf_dir):
     return order_minhash.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         "near_edited", "near_next")
+
+
+def _field(c):
+    return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_field("text")}) AS leaf,
+         sha256({_LEAF} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed,
+         xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                 lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END,
+             CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k,
+             count(*) OVER (PARTITION BY source) AS n FROM d),
+up AS (SELECT source, 0 AS lev, k, n, leaf AS h FROM r
+  UNION ALL
+  SELECT source, lev + 1, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM up WHERE n > 1
+  GROUP BY source, lev, k // 16),
+sub AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM up WHERE n = 1),
+over_ AS (SELECT 0 AS lev, k, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT lev + 1, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM over_ WHERE n > 1 GROUP BY lev, k // 16),
+side AS (SELECT a.source, a.lev, a.k, coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k < a.k), '') AS lft,
+                coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k > a.k), '') AS rgt
+         FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.lev = b.lev AND a.k // 16 = b.k // 16
+         WHERE a.n > 1 GROUP BY 1, 2, 3),
+side2 AS (SELECT a.lev, a.k, coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k < a.k), '') AS lft,
+                 coalesce(string_agg(b.h, '' ORDER BY b.k) FILTER (b.k > a.k), '') AS rgt
+          FROM over_ a JOIN over_ b ON a.lev = b.lev AND a.k // 16 = b.k // 16 WHERE a.n > 1 GROUP BY 1, 2),
+steps AS (
+  SELECT r.source, r.k AS rk, s.lev, s.lft, s.rgt FROM r JOIN side s
+    ON r.source IS NOT DISTINCT FROM s.source AND s.k = r.k // CAST(pow(16, s.lev) AS BIGINT)
+  UNION ALL
+  SELECT r.source, r.k, 1000 + s.lev, s.lft, s.rgt FROM r JOIN sub ON r.source IS NOT DISTINCT FROM sub.source
+    JOIN side2 s ON s.k = sub.k // CAST(pow(16, s.lev) AS BIGINT)),
+p AS (SELECT source, rk, string_agg(lft || rgt, '' ORDER BY lev) AS proof,
+             list([lft, rgt] ORDER BY lev) AS path FROM steps GROUP BY 1, 2),
+o AS (SELECT r.doc_id, r.leaf, sub.subroot, (SELECT h FROM over_ WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+             list_reduce(coalesce(p.path, []), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''],
+                         [CASE WHEN r.crc % 5 = 0 THEN r.changed ELSE r.leaf END, ''])[1] AS folded_root
+      FROM r JOIN sub ON r.source IS NOT DISTINCT FROM sub.source
+      LEFT JOIN p ON r.source IS NOT DISTINCT FROM p.source AND r.k = p.rk)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+
+@register("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = merkle.sha(merkle.canonical(*fields, "text"))
+    changed = merkle.sha(merkle.canonical(*fields, merkle.lower_ascii(F.col("text"))))
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), F.when(crc_mod("doc_id", 5) == 0, changed).otherwise(leaf).alias("found"))
+    made = merkle.manifest(rows, F.col("leaf"), "source", ["doc_id"])
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                       merkle.fold(F.col("found"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
