@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontam, langid, line_dedup, merkle, mixing, order_minhash, pii, quality_rules, sentence_spans,
+from . import (bisector, chat_format, decontam, langid, line_dedup, merkle, mixing, order_minhash, pii, quality_rules, sentence_spans,
                simhash_groups, toxicity)
 from .common import crc_mod, read
 from .registry import register
@@ -118,6 +118,33 @@ def op11(spark, sf_dir):
         "near_edited", "near_next")
 
 
+def _cluster_sql(k=16, rounds=3):
+    """Squared distances to all centroids, three rounds and a last assignment."""
+    out = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+           f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS no, x AS c FROM v
+  QUALIFY no < {k})"""]
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT rid, vec_id, x, no AS cluster, dist FROM (
+  SELECT rid, vec_id, x, no, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM v CROSS JOIN c{i})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, no) = 1)""")
+        if i < rounds:
+            out.append(f"""m{i} AS (SELECT cluster, place, sum(CAST(e AS HUGEINT)) AS s, count(*) AS n FROM (
+  SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS place FROM a{i}) GROUP BY cluster, place),
+l{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS c FROM m{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT no, coalesce(l.c, o.c) AS c FROM c{i} o LEFT JOIN l{i} l ON o.no = l.cluster)""")
+    out.append(f"""d AS (SELECT no, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM c{rounds})""")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+       CAST(sum(dist) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN d ON d.no = cluster"""
+
+
+@register("op12_bisector_clusters", _cluster_sql())
+def op12(spark, sf_dir):
+    return bisector.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
 def _field(c):
     return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
 
