@@ -4,7 +4,9 @@ Candidates are rows ``(doc_id, pos, kw)``; every rule of the reference chain
 is a row filter or rewrite on them, and the final keyword set is
 ``sort_array(collect_set(kw))`` per document.  Statistical candidates use the
 published YAKE features (term frequency, casing, sentence position and spread,
-neighbour diversity) computed as aggregates per ``(doc, term)``.
+neighbour diversity), semantic ones the cosine of hashed embeddings; both come out of
+one pass (:mod:`postlens.operators.termgraph`), and ``extract_keywords`` applies the
+same rules to arrays inside the document's row, without any shuffle.
 """
 
 from __future__ import annotations
@@ -12,19 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.operators.chunking import sentences
+from postlens.operators.termgraph import candidates
 
 MAX_KEYWORD_LENGTH = 100
 NOISE_MAX_PERCENT = 20      # the code's threshold (its comment says 30 %)
 UPPER_RATIO = 0.3
 DEDUP_SIMILARITY = 0.9
-SEMANTIC_THRESHOLD = 0.175
+SEMANTIC_THRESHOLD, SEMANTIC_TOP = 0.175, 5
 # ASCII punctuation except '-', as a character class (any of them kills a candidate).
 PUNCT_NO_HYPHEN = r"[!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~]"
-# A small English stop list for statistical candidates.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "he", "her",
-             "his", "i", "in", "is", "it", "its", "not", "of", "on", "or", "she", "that", "the", "their", "they",
-             "this", "to", "was", "we", "were", "which", "with", "you"]
 
 
 def words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -39,13 +37,16 @@ def noise_filter(c: DataFrame, key: str = "doc_id") -> DataFrame:
     '-'; non-letters counted **before** trimming, length **after**; edge
     characters outside ``[A-Za-z0-9 ]`` trimmed (so accented letters go too);
     ``\\uXXXX`` removed; a letter required; at most 20 % non-letters; first-seen dedup."""
-    x = c.where(~F.col("kw").rlike(PUNCT_NO_HYPHEN))
-    special = F.length(F.regexp_replace("kw", r"\p{L}", ""))  # non-letters of the untrimmed word
-    trimmed = F.regexp_replace(F.regexp_replace("kw", "^[^A-Za-z0-9 ]+|[^A-Za-z0-9 ]+$", ""), r"\\u[0-9a-fA-F]{4}", "")
-    x = x.select(key, "pos", special.alias("_sp"), trimmed.alias("kw"))
-    x = x.where((F.length("kw") > 0) & (F.col("_sp") * 100 <= NOISE_MAX_PERCENT * F.length("kw"))
-                & F.col("kw").rlike(r"\p{L}"))
-    return first_seen(x.drop("_sp"), key)
+    x = c.select(key, "pos", _quiet(F.col("kw")).alias("kw")).where("kw is not null")
+    return first_seen(x, key)
+
+
+def _quiet(kw: Column) -> Column:
+    """A candidate trimmed, or null if the noise rule drops it."""
+    special = F.length(F.regexp_replace(kw, r"\p{L}", ""))  # non-letters of the untrimmed word
+    trimmed = F.regexp_replace(F.regexp_replace(kw, "^[^A-Za-z0-9 ]+|[^A-Za-z0-9 ]+$", ""), r"\\u[0-9a-fA-F]{4}", "")
+    return F.when(~kw.rlike(PUNCT_NO_HYPHEN) & (F.length(trimmed) > 0) & (special * 100 <= NOISE_MAX_PERCENT * F.length(trimmed))
+                  & trimmed.rlike(r"\p{L}"), trimmed)
 
 
 def first_seen(c: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -58,10 +59,16 @@ def tickers(df: DataFrame, key: str, text: str) -> DataFrame:
     """'$' words: a space is put before every '$' and after every newline, the
     text is split on spaces, words starting with '$' (longer than 1) are kept
     without ',' and '.'."""
-    t = F.replace(F.replace(F.col(text), F.lit("\n"), F.lit("\n ")), F.lit("$"), F.lit(" $"))
-    w = df.select(key, F.posexplode(F.split(t, " ")).alias("pos", "kw"))
-    w = w.where(F.col("kw").startswith("$") & (F.length("kw") > 1))
-    return w.withColumn("kw", F.regexp_replace("kw", "[,.]", ""))
+    w = df.select(key, F.posexplode(F.split(_spaced(F.col(text)), " ")).alias("pos", "kw"))
+    return w.where(_is_ticker(F.col("kw"))).withColumn("kw", F.regexp_replace("kw", "[,.]", ""))
+
+
+def _spaced(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\n ")), F.lit("$"), F.lit(" $"))
+
+
+def _is_ticker(kw: Column) -> Column:
+    return kw.startswith("$") & (F.length(kw) > 1)
 
 
 def _upper_ratio_ok(c: Column) -> Column:
@@ -77,16 +84,23 @@ def special_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     and more than one letter.  Tokenisation (a library tokenizer in the
     reference) is re-aimed as: split on whitespace, strip edge punctuation."""
     t = df.select(key, F.posexplode(F.split(F.col(text), r"[ \t\r\n]+")).alias("pos", "kw"))
-    t = t.withColumn("kw", F.regexp_replace("kw", TOKEN_EDGES, "")).where(F.length("kw") > 0)
-    return t.where(_upper_ratio_ok(F.col("kw")) & F.col("kw").rlike(r"[^\p{L}\p{N}_ \t\r\n,]")
-                   & (F.regexp_count(F.col("kw"), F.lit(r"\p{L}")) > 1))
+    return t.withColumn("kw", F.regexp_replace("kw", TOKEN_EDGES, "")).where(_is_special(F.col("kw")))
+
+
+def _is_special(kw: Column) -> Column:
+    return ((F.length(kw) > 0) & _upper_ratio_ok(kw) & kw.rlike(r"[^\p{L}\p{N}_ \t\r\n,]")
+            & (F.regexp_count(kw, F.lit(r"\p{L}")) > 1))
 
 
 def acronyms(df: DataFrame, key: str, text: str) -> DataFrame:
     """Space-split words longer than 1, without ',' and '.', with >= 30 % upper
     case, at least one letter and at least 2 characters."""
     w = words(df, key, text).where(F.length("kw") > 1).withColumn("kw", F.regexp_replace("kw", "[,.]", ""))
-    return w.where(_upper_ratio_ok(F.col("kw")) & F.col("kw").rlike(r"\p{L}") & (F.length("kw") >= 2))
+    return w.where(_is_acronym(F.col("kw")))
+
+
+def _is_acronym(kw: Column) -> Column:
+    return _upper_ratio_ok(kw) & kw.rlike(r"\p{L}") & (F.length(kw) >= 2)
 
 
 MAX_PARTS = 1_000_000  # room for the parts of one keyword between the positions of two
@@ -94,17 +108,26 @@ MAX_PARTS = 1_000_000  # room for the parts of one keyword between the positions
 
 def split_joined(c: DataFrame, key: str = "doc_id") -> DataFrame:
     """``A#B$C`` -> parts longer than 2 characters; a single part keeps the original."""
-    parts = F.filter(F.split("kw", "[$#]+"), lambda p: p != "")
-    out = F.when(F.size(parts) > 1, F.filter(parts, lambda p: F.length(p) > 2)).otherwise(F.array("kw"))
-    return c.select(key, "pos", F.posexplode(out).alias("_sub", "kw")).withColumn(
+    return c.select(key, "pos", F.posexplode(_parts(F.col("kw"))).alias("_sub", "kw")).withColumn(
         "pos", F.col("pos").cast("long") * MAX_PARTS + F.col("_sub")).drop("_sub")
 
 
+def _parts(kw: Column) -> Column:
+    parts = F.filter(F.split(kw, "[$#]+"), lambda p: p != "")
+    return F.when(F.size(parts) > 1, F.filter(parts, lambda p: F.length(p) > 2)).otherwise(F.array(kw))
+
+
 def drop_invalid(c: DataFrame, key: str = "doc_id") -> DataFrame:
     """Remove '//' and URLs to the end of the line; keep 3..100 characters; first-seen dedup."""
-    x = c.withColumn("kw", F.regexp_replace("kw", r"//|https?://.*[\r\n]*", ""))
-    x = x.where((F.length("kw") > 2) & (F.length("kw") <= MAX_KEYWORD_LENGTH))
-    return first_seen(x, key)
+    return first_seen(c.withColumn("kw", _without_urls(F.col("kw"))).where(_is_valid(F.col("kw"))), key)
+
+
+def _without_urls(kw: Column) -> Column:
+    return F.regexp_replace(kw, r"//|https?://.*[\r\n]*", "")
+
+
+def _is_valid(kw: Column) -> Column:
+    return (F.length(kw) > 2) & (F.length(kw) <= MAX_KEYWORD_LENGTH)
 
 
 def is_upper(c: Column) -> Column:
@@ -118,104 +141,45 @@ def is_lower(c: Column) -> Column:
 def case_expand(c: DataFrame, key: str = "doc_id") -> DataFrame:
     """Fully upper -> itself and its lower form; otherwise not lower -> lower;
     lower stays; duplicates removed."""
-    k = F.col("kw")
-    out = F.when(is_upper(k), F.array(k, F.lower(k))).when(~is_lower(k), F.array(F.lower(k))).otherwise(F.array(k))
-    x = c.select(key, "pos", F.posexplode(out).alias("_sub", "kw")).withColumn(
+    x = c.select(key, "pos", F.posexplode(_cases(F.col("kw"))).alias("_sub", "kw")).withColumn(
         "pos", F.col("pos").cast("long") * 2 + F.col("_sub")).drop("_sub")
     return first_seen(x, key)
 
 
-# ---- statistical candidates (YAKE features) -----------------------------------------------------
+def _cases(kw: Column) -> Column:
+    return F.when(is_upper(kw), F.array(kw, F.lower(kw))).when(~is_lower(kw), F.array(F.lower(kw))).otherwise(F.array(kw))
+
 
-def term_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Word occurrences ``(doc, sent_no, tok_no, word, term)`` within sentences."""
-    s = df.select(key, F.posexplode(sentences(text)).alias("sent_no", "sentence"))
-    return s.select(key, "sent_no", F.posexplode(F.regexp_extract_all("sentence", F.lit(r"([\p{L}\p{N}]+)"), 1))
-                    .alias("tok_no", "word")).withColumn("term", F.lower("word"))
+# ---- statistical and semantic candidates -------------------------------------------------------
 
+def _ranked(df: DataFrame, key: str, text: str, window: int, longest: int, top: int | None) -> DataFrame:
+    got = candidates(df.select(key, text), key, text, {"terms": (window, longest)})
+    terms = F.col("terms") if top is None else F.slice("terms", 1, top)
+    return got.select(key, F.posexplode(terms).alias("_at", "_t")).select(
+        key, "_t.*", (F.col("_at") + 1).alias("rank"))
 
-def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int = 20,
-                  occ: DataFrame | None = None) -> DataFrame:
-    """Per document and candidate term: the YAKE features and score (lower is
-    better) and the rank; the ``top`` best are kept.
 
-    Features: tf; tf of capitalised (not sentence-initial) and of all-caps
-    occurrences; median sentence index; distinct left/right neighbours within
-    ``window`` over all such co-occurrences; share of sentences containing it.
+def unigram_stats(df: DataFrame, key: str, text: str, window: int = 1, top: int | None = 20) -> DataFrame:
+    """Per document and candidate term: features, published score (lower is better) and rank; the
+    ``top`` best are kept, all of them with None.
+
+    Features: tf; tf of capitalised (not sentence-initial) and of all-caps occurrences;
+    median sentence index; distinct left/right neighbours within ``window`` over all such
+    co-occurrences; share of sentences containing it.  With S the single-term score a term
+    scores S / (tf (1 + S)).
     """
-    occ = term_occurrences(df, key, text) if occ is None else occ
-    occ = occ.withColumn("_cap", (F.col("tok_no") > 0) & F.col("word").rlike(r"^\p{Lu}"))
-    occ = occ.withColumn("_acr", (F.length("word") > 1) & is_upper(F.col("word")))
-    stop = F.col("term").isin(STOPWORDS) | (F.length("term") < 3) | F.col("term").rlike(r"^\p{N}+$")
-    occ = occ.withColumn("_cand", ~stop)
-    # neighbours within the window inside the same sentence: shift the position
-    nb = occ.select(key, "sent_no", "tok_no", "term")
-    pairs = []
-    for d in range(1, window + 1):
-        pairs.append(nb.select(key, "sent_no", (F.col("tok_no") + d).alias("tok_no"), F.col("term").alias("left")))
-    left = pairs[0]
-    for p in pairs[1:]:
-        left = left.unionByName(p)
-    lj = occ.where("_cand").select(key, "sent_no", "tok_no", "term").join(left, [key, "sent_no", "tok_no"])
-    lstats = lj.groupBy(key, "term").agg(F.count_distinct("left").alias("dl"), F.count(F.lit(1)).alias("tl"))
-    right = [nb.select(key, "sent_no", (F.col("tok_no") - d).alias("tok_no"), F.col("term").alias("right"))
-             for d in range(1, window + 1)]
-    r = right[0]
-    for p in right[1:]:
-        r = r.unionByName(p)
-    rj = occ.where("_cand").select(key, "sent_no", "tok_no", "term").join(r, [key, "sent_no", "tok_no"])
-    rstats = rj.groupBy(key, "term").agg(F.count_distinct("right").alias("dr"), F.count(F.lit(1)).alias("tr"))
-    n_sents = occ.groupBy(key).agg((F.max("sent_no") + 1).alias("n_sents"))
-    # median and spread from one sorted list of the term's sentence indices
-    # (bounded by one document): no per-group percentile map, no Expand for a distinct count
-    tf = occ.where("_cand").groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.count_if("_cap").alias("tf_u"), F.count_if("_acr").alias("tf_a"),
-        F.array_sort(F.collect_set("sent_no")).alias("_sn"))  # distinct sentences, bounded by one document
-    k = F.size("_sn")
-    med = (F.get(F.col("_sn"), F.floor((k - 1) / 2).cast("int"))
-           + F.get(F.col("_sn"), F.ceil((k - 1) / 2).cast("int"))) / 2.0
-    tf = tf.withColumn("sent_median", med).withColumn("sf", F.size("_sn")).drop("_sn")
-    w = Window.partitionBy(key)
-    f = (tf.join(lstats, [key, "term"], "left").join(rstats, [key, "term"], "left").join(n_sents, key)
-         .withColumn("mean_tf", F.avg("tf").over(w)).withColumn("std_tf", F.stddev_pop("tf").over(w))
-         .withColumn("max_tf", F.max("tf").over(w)))
-    dl = F.coalesce(F.col("dl") / F.col("tl"), F.lit(0.0))
-    dr = F.coalesce(F.col("dr") / F.col("tr"), F.lit(0.0))
-    t_case = F.greatest("tf_u", "tf_a") / (F.lit(1.0) + F.log(F.col("tf")))
-    t_pos = F.log(F.log(F.lit(3.0) + F.col("sent_median")))
-    t_freq = F.col("tf") / (F.col("mean_tf") + F.col("std_tf"))
-    t_rel = F.lit(1.0) + (dl + dr) * F.col("tf") / F.col("max_tf")
-    t_sent = F.col("sf") / F.col("n_sents")
-    score = t_rel * t_pos / (t_case + t_freq / t_rel + t_sent / t_rel)
-    f = f.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 9), "term"))
-    return f.withColumn("rank", rank).where(F.col("rank") <= top)
-
-
-def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int = 10,
-                 occ: DataFrame | None = None) -> DataFrame:
-    """2-gram candidates (adjacent words of a sentence, no stop word at either
-    end): ``score = S1 * S2 / (tf * (1 + S1 + S2))`` with the unigram scores."""
-    occ = term_occurrences(df, key, text) if occ is None else occ
-    uni = unigram_stats(df, key, text, window=window, top=1 << 30, occ=occ).select(
-        key, "term", F.col("score").alias("s"))
-    nxt = occ.select(key, "sent_no", (F.col("tok_no") - 1).alias("tok_no"), F.col("term").alias("t2"))
-    bg = occ.join(nxt, [key, "sent_no", "tok_no"]).select(key, F.col("term").alias("t1"), "t2")
-    g = bg.groupBy(key, "t1", "t2").agg(F.count(F.lit(1)).alias("tf"))
-    u1 = uni.select(key, F.col("term").alias("t1"), F.col("s").alias("s1"))
-    u2 = uni.select(key, F.col("term").alias("t2"), F.col("s").alias("s2"))
-    g = g.join(u1, [key, "t1"]).join(u2, [key, "t2"])
-    g = g.withColumn("term", F.concat_ws(" ", "t1", "t2")).withColumn(
-        "score", F.col("s1") * F.col("s2") / (F.col("tf") * (F.lit(1.0) + F.col("s1") + F.col("s2"))))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 9), "term"))
-    return g.withColumn("rank", rank).where(F.col("rank") <= top).select(key, "term", "tf", "score", "rank")
+    return _ranked(df, key, text, window, 1, top)
 
 
-def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SIMILARITY, top: int | None = None) -> DataFrame:
-    """Greedy removal in order of ``rank``: a term goes if it is more than ``threshold`` similar
-    (``1 - levenshtein / max length``) to a better term of its document that stays; the first
-    ``top`` that stay are returned with their ranks.  The ranked terms of one document are
-    folded inside one row (a document bounds them)."""
+def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int | None = 10) -> DataFrame:
+    """Candidates of up to two terms (adjacent words of a sentence, no stop word among them):
+    two terms score ``S1 S2 / (tf (1 + S1 + S2))``, single ones as in :func:`unigram_stats`."""
+    return _ranked(df, key, text, window, 2, top).select(key, "term", "tf", "score", "rank")
+
+
+def _greedy(terms: Column, term, threshold: float, top: int | None) -> Column:
+    """Of an array in order of rank the elements that are not too similar to a better one that stays
+    (in order of rank too if there is a cut)."""
     least = int(1 / (1 - threshold))  # shorter terms can't be that similar to a different one
 
     def similar(a: Column, b: Column) -> Column:
@@ -223,13 +187,30 @@ def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SI
         close = F.abs(F.length(a) - F.length(b)) < longer * (1 - threshold)
         return F.when((longer > least) & close, F.lit(1.0) - F.levenshtein(a, b) / longer > threshold).otherwise(a == b)
 
+    def fold(some: Column, full) -> Column:
+        return F.aggregate(some, F.slice(some, 1, 0), lambda acc, x: F.when(
+            full(acc) | F.exists(acc, lambda y: similar(term(y), term(x))), acc).otherwise(F.concat(acc, F.array(x))))
+    if top is not None:
+        return fold(terms, lambda acc: F.size(acc) >= top)
+    # without a cut: a short term goes only for an equal one before it, so just the long ones are compared
+    once = _bind(F.filter(terms, lambda x: F.length(term(x)) < least), lambda short: _bind(
+        F.transform(short, term), lambda names: F.filter(short, lambda x, i: F.array_position(names, term(x)) == i + 1)))
+    return F.concat(once, fold(F.filter(terms, lambda x: F.length(term(x)) >= least), lambda acc: F.lit(False)))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)``, the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SIMILARITY, top: int | None = None) -> DataFrame:
+    """Greedy removal in order of ``rank``: a term goes if it is more than ``threshold`` similar
+    (``1 - levenshtein / max length``) to a better term of its document that stays; the first
+    ``top`` that stay are returned with their ranks.  The ranked terms of one document are
+    folded inside one row (a document bounds them)."""
     terms = F.array_sort(F.collect_list(F.struct("rank", "term")))
     lists = ranked.groupBy(key).agg(terms.alias("_terms"))
-    none = F.slice("_terms", 1, 0)
-    full = (lambda acc: F.size(acc) >= top) if top is not None else (lambda acc: F.lit(False))
-    kept = F.aggregate("_terms", none, lambda acc, x: F.when(
-        full(acc) | F.exists(acc, lambda y: similar(y["term"], x["term"])), acc).otherwise(F.concat(acc, F.array(x))))
-    stays = lists.select(F.col(key), F.inline(kept))
+    stays = lists.select(F.col(key), F.inline(_greedy(F.col("_terms"), lambda x: x["term"], threshold, top)))
     return ranked.join(stays, [key, "term", "rank"], "left_semi")
 
 
@@ -250,24 +231,30 @@ def semantic_candidates(cands: DataFrame, docs: DataFrame, key: str, cand: str,
 
 
 def extract_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The full chain: statistical candidates (1-gram top 20 and 2-gram top 10,
-    near duplicates removed) through the noise filter; tickers, special tokens
-    and acronyms added unfiltered; joined tags split; invalid ones dropped;
-    case expansion; one sorted distinct array per document."""
-    # Word occurrences feed both scorers (and their neighbour joins): materialise
-    # them once in the shared checkpoint folder instead of re-splitting every text.
-    occ = term_occurrences(df, key, text).checkpoint(eager=True)
-    every = 1 << 30  # duplicates go before the cut
-    uni = near_dup(unigram_stats(df, key, text, occ=occ, top=every), key, top=20).select(key, F.col("rank").alias("pos"),
-                                                                      F.col("term").alias("kw"))
-    bi = near_dup(bigram_stats(df, key, text, occ=occ, top=every), key, top=10).select(key, (F.col("rank") + 100).alias("pos"),
-                                                                    F.col("term").alias("kw"))
-    stat = noise_filter(uni.unionByName(bi), key)
-    extra = (tickers(df, key, text).withColumn("pos", F.col("pos") + 10_000)
-             .unionByName(special_tokens(df, key, text).withColumn("pos", F.col("pos") + 20_000_000))
-             .unionByName(acronyms(df, key, text).withColumn("pos", F.col("pos") + 40_000_000)))
-    c = stat.unionByName(extra.select(key, "pos", "kw"))
-    c = case_expand(drop_invalid(split_joined(c, key), key), key)
-    out = c.groupBy(key).agg(F.sort_array(F.collect_set("kw")).alias("keywords"))
-    return df.select(key).join(out, key, "left").withColumn(
-        "keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    """The full chain: statistical candidates (1-gram top 20 and 2-gram top 10, near duplicates
+    removed before the cut) and semantic ones (top 5 above the threshold) through the noise
+    filter; tickers, special tokens and acronyms added unfiltered; joined tags split; invalid
+    ones dropped; case expansion; one sorted distinct array per row of ``df``.
+
+    Everything stays in the document's row.  Null and wordless texts have no keywords; rows of
+    one key are rows of their own.
+    """
+    found = candidates(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", {"one": (1, 1), "two": (7, 2)},
+                       (SEMANTIC_TOP, SEMANTIC_THRESHOLD))
+
+    def best(column: str, top: int) -> Column:
+        return _greedy(F.transform(column, lambda x: x["term"]), lambda x: x, DEDUP_SIMILARITY, top)
+    ranked = F.concat(best("one", 20), F.transform("similar", lambda x: x["term"]), best("two", 10))
+    stat = F.filter(F.transform(ranked, _quiet), lambda k: k.isNotNull())
+    t = F.coalesce("text", F.lit(""))
+
+    def no_marks(k: Column) -> Column:
+        return F.regexp_replace(k, "[,.]", "")
+    extra = F.concat(
+        F.transform(F.filter(F.split(_spaced(t), " "), _is_ticker), no_marks),
+        F.filter(F.transform(F.split(t, r"[ \t\r\n]+"), lambda k: F.regexp_replace(k, TOKEN_EDGES, "")), _is_special),
+        F.filter(F.transform(F.filter(F.split(t, " "), lambda k: F.length(k) > 1), no_marks), _is_acronym))
+    found = found.select("key", stat.alias("stat"), extra.alias("extra"))
+    parts = F.flatten(F.transform(F.array_distinct(F.concat("stat", "extra")), _parts))
+    valid = F.filter(F.transform(parts, _without_urls), _is_valid)
+    return found.select(F.col("key").alias(key), F.array_sort(F.array_distinct(F.flatten(F.transform(valid, _cases)))).alias("keywords"))

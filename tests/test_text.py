@@ -94,3 +94,81 @@ def test_near_dup_is_greedy_and_fills_up_after_removal(spark):
     many = [(d, t, i) for i, (d, t, _) in enumerate([many[0], many[-1], *many[1:-1]], 1)]
     kept = K.near_dup(spark.createDataFrame(many, "doc_id long, term string, rank int"), top=20).collect()
     assert len(kept) == 20 and 2 not in {r.rank for r in kept}
+
+
+def _yake(sentences, window, longest):
+    """The published features and scores, term by term over plain lists."""
+    import math
+    import re
+    import statistics
+    from collections import Counter
+
+    from postlens.operators.termgraph import STOPWORDS
+    toks = [re.findall(r"[^\W_]+", s) for s in sentences]
+    ok = lambda t: t not in STOPWORDS and len(t) >= 3 and not t.isdigit()
+    low = [[w.lower() for w in s] for s in toks]
+    tf = Counter(t for s in low for t in s if ok(t))
+    n = len(tf)
+    mean = sum(tf.values()) / n
+    sd = math.sqrt(sum((v - mean) ** 2 for v in tf.values()) / n)
+    score = {}
+    for t in tf:
+        at = [(i, j) for i, s in enumerate(low) for j, x in enumerate(s) if x == t]
+        left = [low[i][j - d] for i, j in at for d in range(1, window + 1) if j >= d]
+        right = [low[i][j + d] for i, j in at for d in range(1, window + 1) if j + d < len(low[i])]
+        rel = sum(len(set(x)) / len(x) for x in (left, right) if x)
+        cap = sum(j > 0 and toks[i][j][0].isupper() for i, j in at)
+        acr = sum(len(toks[i][j]) > 1 and toks[i][j].isupper() for i, j in at)
+        sents = sorted({i for i, _ in at})
+        t_rel = 1 + rel * tf[t] / max(tf.values())
+        score[t] = t_rel * math.log(math.log(3 + statistics.median(sents))) / (
+            max(cap, acr) / (1 + math.log(tf[t])) + tf[t] / (mean + sd) / t_rel + len(sents) / len(sentences) / t_rel)
+    out = {t: s / (tf[t] * (1 + s)) for t, s in score.items()}
+    if longest == 2:
+        pairs = Counter((a, b) for s in low for a, b in zip(s, s[1:]) if ok(a) and ok(b))
+        out |= {f"{a} {b}": score[a] * score[b] / (c * (1 + score[a] + score[b])) for (a, b), c in pairs.items()}
+    return [t for t, _ in sorted(out.items(), key=lambda x: (round(x[1], 9), x[0]))]
+
+
+TALK = ["Solar Power is the future of Berlin Energy", "the BTC price and solar power prices rise", "Berlin sells solar power to the BTC miners",
+        "nobody in Berlin doubts the future of energy"]
+
+
+def test_term_scores_match_the_published_formula(spark):
+    df = spark.createDataFrame([(1, ". ".join(TALK) + "."), (2, None), (3, ""), (4, "?? !!"), (5, ". ".join(reversed(TALK)) + ".")], "doc_id long, text string")
+    for window in (1, 2, 7):
+        for longest, stats in ((1, K.unigram_stats), (2, K.bigram_stats)):
+            rows = sorted((r.doc_id, r["rank"], r.term) for r in stats(df, "doc_id", "text", window, None).collect())
+            assert [t for d, _, t in rows if d == 1] == _yake(TALK, window, longest)
+            assert [t for d, _, t in rows if d == 5] == _yake(list(reversed(TALK)), window, longest)
+            assert {d for d, *_ in rows} == {1, 5}
+
+
+def test_semantic_candidates_enter_before_the_noise_filter(spark):
+    from postlens.operators import termgraph as G
+    import hashlib
+    other = " ".join(hashlib.md5(str(i).encode()).hexdigest()[:7].translate(str.maketrans("0123456789", "ghijklmnop")) + "." for i in range(40))
+    text = "Grid operators plan. " + "Photovoltaic photovoltaics photovoltaically grown. " * 5 + other
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    near = {r.doc_id: [x.term for x in r.similar] for r in G.candidates(df, "doc_id", "text", similar=(5, 0.175)).collect()}
+    assert near[2] == near[3] == [] and set(near[1][:2]) <= {"photovoltaic", "photovoltaics", "photovoltaically"} and len(near[1]) <= 5
+    kws = {r.doc_id: r.keywords for r in K.extract_keywords(df, "doc_id", "text").collect()}
+    assert set(near[1]) <= set(kws[1]) and kws[2] == kws[3] == []
+
+
+def test_keyword_chain_has_no_shuffle_and_keeps_every_row(spark):
+    df = spark.createDataFrame([(1, "Solar $BTC rises. U.S.A. today"), (1, "Solar"), (None, "Moon landing of NASA")], "doc_id long, text string")
+    out = K.extract_keywords(df, "doc_id", "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, (r.doc_id for r in out.collect()))) == ["1", "1", "None"]
+    assert {"$BTC", "$btc"} & set(out.where("size(keywords) > 3").first().keywords)
+
+
+def test_many_documents_of_one_batch_are_the_same_as_alone(spark, monkeypatch):
+    from postlens.operators import termgraph as G
+    rows = [(i, ". ".join(TALK[: i % 5]) + "." * (i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    together = {r.doc_id: (r.a, r.similar) for r in G.candidates(df.coalesce(1), "doc_id", "text", {"a": (7, 2)}, (5, 0.1)).collect()}
+    monkeypatch.setattr(G, "_WORDS", 1)
+    alone = {r.doc_id: (r.a, r.similar) for r in G.candidates(df.coalesce(1), "doc_id", "text", {"a": (7, 2)}, (5, 0.1)).collect()}
+    assert together == alone
