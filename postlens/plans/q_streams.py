@@ -21,11 +21,6 @@ from postlens.streaming import streams
 from postlens.tables import table
 
 
-def _events_stream(spark, sf):
-    path = os.path.join(sf, "events.parquet")
-    return streams.read_stream(spark, path, table(spark, sf, "events").schema)
-
-
 def _sliced_stream(spark, sf, slices: int = 4):
     """The events as a stream of several files (ranges of time, in any order), a file a micro-batch."""
     path = os.path.join(checkpoint_dir(spark), f"events-{uuid.uuid4().hex}")
@@ -34,6 +29,28 @@ def _sliced_stream(spark, sf, slices: int = 4):
     return streams.read_stream(spark, path, events.schema)
 
 
+def _mixed_stream(spark, sf, name="events", ts="ts", row_id="event_id", hours=1, slices: int = 4):
+    """A table as a stream of files that overlap in time by less than ``hours``, then a late copy
+    of the earliest row (id -1) and a row of no key far ahead, which moves the watermark past the rest."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    rows = table(spark, sf, name)
+    low, high = rows.agg(F.unix_micros(F.min(ts).cast("timestamp")), F.unix_micros(F.max(ts).cast("timestamp"))).first()
+    shift = F.pmod(F.xxhash64(row_id), F.lit(int(hours * 3.6e9)))
+    no = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) + shift - low) / F.lit((high - low + hours * 3.6e9) / slices))
+    kind = rows.schema[ts].dataType
+    for k in range(slices):
+        rows.where(no == k).write.mode("append").parquet(path)
+
+    def one(when: int, id: int):
+        nulls = rows.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        return nulls.withColumn(ts, F.timestamp_micros(F.lit(when)).cast(kind)).withColumn(row_id, F.lit(id).cast(rows.schema[row_id].dataType))
+    first = rows.orderBy(ts, row_id).limit(1).withColumn(row_id, F.lit(-1).cast(rows.schema[row_id].dataType))
+    first.write.mode("append").parquet(path)
+    one(high + int(100 * 86400e6), -2).write.mode("append").parquet(path)
+    files = spark.read.parquet(path).rdd.getNumPartitions()
+    return streams.read_stream(spark, path, rows.schema, max(1, files // (slices + 2)) if files > slices + 2 else 1)
+
+
 @register("item_stream", "SELECT event_id, user_id, event_type, ts FROM events WHERE event_type <> 'error'")
 def _item_stream(spark, sf):
     s = streams.item_stream(_sliced_stream(spark, sf), F.col("event_type") != "error")
@@ -55,18 +72,16 @@ w AS (SELECT event_type, h - to_hours(k) AS window_start FROM e, generate_series
 SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, event_type, count(*) AS n
 FROM w GROUP BY 1, 2, 3""")
 def _sliding(spark, sf):
-    s = streams.sliding_count_stream(_events_stream(spark, sf), "event_type", "24 hours", "1 hour", "1 hour")
-    out = streams.run_available(s, mode="update", name="sliding_count_stream")
-    # the last update of each window is its final count
-    latest = out.groupBy("window", "event_type").agg(F.max_by("n", "_batch").alias("n"))
-    return latest.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                         F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+    s = streams.sliding_count_stream(_mixed_stream(spark, sf), "event_type", "24 hours", "1 hour", "1 hour")
+    out = streams.run_available(s, name="sliding_count_stream").where("event_type is not null")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window.end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
 
 
 @register("throttle_stream")
 def _throttle_stream(spark, sf):
-    s = streams.throttle_stream(_events_stream(spark, sf), "event_type", "ts", "event_id", 24)
-    kept = streams.run_available(s, name="throttle_stream")
+    s = streams.throttle_stream(_mixed_stream(spark, sf), "event_type", "ts", "event_id", 24)
+    kept = streams.run_available(s, name="throttle_stream").where("not late and key is not null")
     ev = table(spark, sf, "events")
     return ev.join(kept.select(F.col("row_id").alias("event_id")), "event_id", "left_semi").select(
         "event_id", "event_type", "ts")
@@ -74,9 +89,21 @@ def _throttle_stream(spark, sf):
 
 @register("assemble_batches_stream", ASSEMBLE_SQL + "\nSELECT * FROM asm")
 def _assemble_stream(spark, sf):
-    s = _events_stream(spark, sf).withColumn("tokens", 1 + F.col("event_id") % 120)
+    s = _mixed_stream(spark, sf).withColumn("tokens", 1 + F.col("event_id") % 120)
     a = streams.assemble_batches_stream(s, "user_id", "ts", "event_id", "tokens", BATCH_SIZE, MAX_TOKENS, GAP_S)
-    return streams.run_available(a, name="assemble_batches_stream")
+    return streams.run_available(a, name="assemble_batches_stream").where("not late and feed is not null").drop("late")
+
+
+@register("change_events_stream", """
+SELECT user_id, event_id, event_type, prev_event_type FROM (
+  SELECT *, lag(event_type) OVER w AS prev_event_type, row_number() OVER w AS rn FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x
+WHERE rn = 1 OR prev_event_type IS DISTINCT FROM event_type""")
+def _change_stream(spark, sf):
+    c = streams.change_events_stream(_mixed_stream(spark, sf), "user_id", "ts", "event_id", "event_type")
+    out = streams.run_available(c, name="change_events_stream").where("not late and key is not null")
+    return out.select(F.col("key").alias("user_id"), F.col("row_id").alias("event_id"), F.col("value").alias("event_type"),
+                      F.col("previous").alias("prev_event_type"))
 
 
 HOST_SQL = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)"

@@ -10,16 +10,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from postlens.session import checkpoint_dir
+from postlens.streaming.ordered import batch_fold, change_fold, in_order, throttle_fold
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
@@ -69,68 +66,42 @@ def dedup_url_stream(stream: DataFrame, url: str, delay: str | None = None) -> D
 
 def sliding_count_stream(stream: DataFrame, key: str, length: str = "24 hours", slide: str = "1 hour",
                          delay: str = "1 hour") -> DataFrame:
-    """Per key and sliding window, the number of events; late rows beyond the watermark are dropped."""
-    s = with_event_time(stream).withWatermark("event_time", delay)
-    return s.groupBy(F.window("event_time", length, slide), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
+    """Per key and sliding window, the number of events; late rows beyond the watermark are dropped.
 
+    Panes of one slide are counted first, and a second stateful aggregate adds up the panes of
+    each window: a row costs one update, whatever the number of windows that it lies in.
+    Windows come out once the watermark has passed their end.
+    """
+    s = with_event_time(stream).withWatermark("event_time", delay)
+    panes = s.groupBy(F.window("event_time", slide).alias("pane"), F.col(key)).agg(F.count(F.lit(1)).alias("n"))
+    return panes.groupBy(F.window(F.window_time("pane"), length, slide), F.col(key)).agg(F.sum("n").alias("n"))
 
-def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, hours: float) -> DataFrame:
-    """Per key, emit an event only if ``hours`` passed since the last emitted one;
-    the last emission time lives in the stream's state store."""
-    step = np.int64(round(hours * 3600 * 1_000_000))
-    sub = stream.select(F.col(key).alias("key"), F.col(row_id).alias("row_id"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"))
 
-    def fold(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(["t_us", "row_id"], kind="mergesort")
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t, r in zip(pdf["t_us"].to_numpy(), pdf["row_id"].to_numpy()):
-            if last is None or t - last >= step:
-                keep.append(r)
-                last = int(t)
-        state.update((int(last),))
-        yield pd.DataFrame({"key": [k[0]] * len(keep), "row_id": keep})
+def throttle_stream(stream: DataFrame, key: str, ts: str, row_id: str, hours: float, delay: str = "1 hour") -> DataFrame:
+    """Per key, emit an event only if ``hours`` passed since the last emitted one, in order of time.
 
-    out = T.StructType([sub.schema["key"], T.StructField("row_id", sub.schema["row_id"].dataType)])
-    return sub.groupBy("key").applyInPandasWithState(fold, out, "last long", "append",
-                                                     GroupStateTimeout.NoTimeout)
+    Columns key, row_id and late: rows that came after the watermark had passed them are flagged.
+    The time of the last emitted event lives in state until no row can come that it holds back.
+    """
+    step = round(hours * 3600 * 1_000_000)
+    return in_order(stream, key, ts, row_id, {}, throttle_fold(step), "last long", "", delay, keep_us=step)
 
 
 def assemble_batches_stream(stream: DataFrame, feed: str, ts: str, row_id: str, tokens: str, batch_size: int,
-                            max_tokens: int, gap_seconds: float, min_early: int = 5) -> DataFrame:
-    """Batch assembly on an unbounded feed; state per feed: (batch_no, chunks,
-    tokens, last arrival)."""
-    gap_us = gap_seconds * 1e6
-    sub = stream.select(F.col(feed).alias("feed"), F.col(row_id).alias("row_id"),
-                        F.unix_micros(F.col(ts).cast("timestamp")).alias("t_us"),
-                        F.col(tokens).cast("long").alias("tok"))
-
-    def fold(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values(["t_us", "row_id"], kind="mergesort")
-        b, n, s, last = state.get if state.exists else (0, 0, 0, None)
-        rows = []
-        for t, r, tk in zip(pdf["t_us"].to_numpy(), pdf["row_id"].to_numpy(), pdf["tok"].to_numpy()):
-            gap = 0 if last is None else t - last
-            last = int(t)
-            n += 1
-            s += int(tk)
-            why = None
-            if gap > gap_us and n >= min_early:
-                why = "early"
-            elif s > max_tokens:
-                why = "tokens"
-            elif n >= batch_size:
-                why = "full"
-            rows.append((k[0], int(r), b, n, s, why))
-            if why is not None:
-                b, n, s = b + 1, 0, 0
-        state.update((b, n, s, last))
-        yield pd.DataFrame(rows, columns=["feed", "row_id", "batch_no", "chunk_in_batch", "tokens_in_batch",
-                                          "close_reason"])
-
-    out = T.StructType([sub.schema["feed"], sub.schema["row_id"], T.StructField("batch_no", T.LongType()),
-                        T.StructField("chunk_in_batch", T.LongType()), T.StructField("tokens_in_batch", T.LongType()),
-                        T.StructField("close_reason", T.StringType())])
-    return sub.groupBy("feed").applyInPandasWithState(
-        fold, out, "batch_no long, n long, s long, last long", "append", GroupStateTimeout.NoTimeout)
+                            max_tokens: int, gap_seconds: float, min_early: int = 5, delay: str = "1 hour") -> DataFrame:
+    """Batch assembly on an unbounded feed, in order of time; state per feed: the open batch
+    and the last arrival.  Late rows come out flagged, in no batch."""
+    return in_order(stream, feed, ts, row_id, {"tok": F.col(tokens).cast("long")},
+                    batch_fold(batch_size, max_tokens, gap_seconds * 1e6, min_early),
+                    "batch_no long, n long, s long, last long",
+                    "batch_no long, chunk_in_batch long, tokens_in_batch long, close_reason string", delay).withColumnRenamed("key", "feed")
+
+
+def change_events_stream(stream: DataFrame, key: str, ts: str, row_id: str, col: str, delay: str = "1 hour",
+                         keep_us: int | None = None) -> DataFrame:
+    """Rows whose ``col`` differs from that of the key's row before, in order of time; the first
+    counts.  Columns key, row_id, value, previous and late.  The last value of a key is kept for
+    ever, or for ``keep_us`` microseconds of event time after its last row."""
+    kind = stream.schema[col].dataType.simpleString()
+    return in_order(stream, key, ts, row_id, {"value": F.col(col)}, change_fold(), f"value {kind}",
+                    f"value {kind}, previous {kind}", delay, keep_us)
