@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.functions.ordering import previous, running, time_bucket
+from postlens.functions.ordering import previous, running
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
 
@@ -32,18 +32,19 @@ EARLY_MIN_CHUNKS = 5
 DEFAULT_MAX_TOKENS = 30000
 
 
-def inter_arrival(df: DataFrame, key: str, ts: str, tie: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Seconds since the previous item of the same key (null for the first)."""
-    r = running(df, [key], [ts, tie], time_bucket(ts, bucket_seconds))
+def inter_arrival(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """Seconds since the previous item of the same key; null for the first, and without a time.
+    Every row is kept: a null key is a key, rows without a time come first."""
+    r = running(df, [key], [ts, tie])
     r = previous(r, [key], [ts])
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_" + ts).cast("timestamp"))) / 1e6
     return r.withColumn("gap_seconds", gap).drop("prev_" + ts)
 
 
-def running_tokens(df: DataFrame, keys: Sequence[str], ts: str, tie: str, tokens: str,
-                   bucket_seconds: int = 3600) -> DataFrame:
-    """Cumulative tokens and chunk count since the start of each batch ``keys``."""
-    r = running(df, keys, [ts, tie], time_bucket(ts, bucket_seconds), sums=[tokens], rank_col="chunks_so_far")
+def running_tokens(df: DataFrame, keys: Sequence[str], ts: str, tie: str, tokens: str) -> DataFrame:
+    """Cumulative tokens (a null counts 0) and chunk count since the start of each batch ``keys``;
+    every row is kept, null keys and times too."""
+    r = running(df, keys, [ts, tie], sums=[tokens], rank_col="chunks_so_far")
     return r.withColumnRenamed(f"run_{tokens}", "tokens_so_far")
 
 
@@ -84,8 +85,7 @@ def assemble_batches(df: DataFrame, feed: str, ts: str, row_id: str, tokens: str
                           F.lit(0).cast("long").alias("batch_no"))
         return rows.groupBy("feed").applyInPandas(cut, schema=schema)
 
-    bucket = F.coalesce(F.floor(F.col("t_us") / F.lit(3_600_000_000)).cast("long"), F.lit(-(1 << 40)))
-    ranked = running(sub, ["key"], ["t_us", "row_id"], bucket)
+    ranked = running(sub, ["key"], ["t_us", "row_id"])
     at, own = F.pmod(F.col("rank") - 1, F.lit(block_rows)), F.floor((F.col("rank") - 1) / block_rows).cast("long")
     copies = F.array(F.struct(own.alias("block"), F.lit(0).alias("part")),
                      F.when((at < batch_size) & (own > 0), F.struct((own - 1).alias("block"), F.lit(1).alias("part"))),

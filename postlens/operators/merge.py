@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.functions.selection import LIMIT, exact_median
+
 MEDIAN_DP = 6  # medians are interpolated; rounded so engines agree to the last bit
 
 
@@ -36,8 +38,19 @@ def median_col(c: str | Column) -> Column:
 
 
 def merge_median(chunks: DataFrame, fields: Sequence[str], item: str = "item_id") -> DataFrame:
-    """Exact median of every numeric field per item."""
-    return chunks.groupBy(item).agg(*[median_col(f).alias(f"{f}_median") for f in fields])
+    """Exact median of every numeric field per item.  Items of more chunks than one buffer should
+    hold are narrowed down by counts (:func:`exact_median`)."""
+    if not _has_large(chunks, item):
+        return chunks.groupBy(item).agg(*[median_col(f).alias(f"{f}_median") for f in fields])
+    out = chunks.groupBy(F.col(item).alias("_item")).agg(F.count(F.lit(1)))
+    for i, f in enumerate(fields):
+        m = exact_median(chunks, [item], f, f"{f}_median").withColumnRenamed(item, f"_i{i}")
+        out = out.join(m, F.col("_item").eqNullSafe(F.col(f"_i{i}")), "left")
+    return out.select(F.col("_item").alias(item), *[F.round(f"{f}_median", MEDIAN_DP).alias(f"{f}_median") for f in fields])
+
+
+def _has_large(chunks: DataFrame, item: str) -> bool:
+    return not chunks.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIMIT).isEmpty()
 
 
 def majority(chunks: DataFrame, col: str, item: str = "item_id", chunk: str = "chunk_no",
@@ -78,7 +91,7 @@ def merge_embedding(chunks: DataFrame, embedding: str = "embedding", item: str =
     ``zip_with``/``aggregate`` inside codegen.
     """
     ex = chunks.select(item, F.posexplode(embedding).alias("_pos", "_v"))
-    med = ex.groupBy(item, "_pos").agg(F.median(F.col("_v").cast("double")).alias("_m"))
+    med = exact_median(ex, [item, "_pos"], "_v", "_m")
     centroid = med.groupBy(item).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda s: s["_m"]).alias("_centroid"))
     j = chunks.select(item, chunk, embedding).join(centroid, item)

@@ -133,17 +133,20 @@ def dedup_url(df: DataFrame, url: str = "url", order: Sequence[str] = ("minute_n
 
 def submission_report(df: DataFrame, batch: str = "batch_id", url: str = "url",
                       order: Sequence[str] = ("minute_no", "item_id")) -> DataFrame:
-    """Per batch: submitted, accepted, rejected (URL pattern) and duplicates
-    (a URL already seen earlier in any batch)."""
-    first = df.groupBy(url).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    j = df.join(first, url)
-    is_dup = F.struct(*[F.col(c) for c in order]) != F.col("_first")
-    bad = ~F.col(url).rlike(URL_PATTERN)
-    return j.groupBy(batch).agg(
-        F.count(F.lit(1)).alias("submitted"),
-        F.count_if(~is_dup & ~bad).alias("accepted"),
-        F.count_if(bad).alias("rejected"),
-        F.count_if(is_dup & ~bad).alias("duplicates"))
+    """Per batch: submitted, accepted, rejected (URL pattern; a null URL too) and duplicates
+    (a URL already seen earlier in any batch).  Rows are summed per batch and URL first, so
+    that a hot URL has a row per batch in the join."""
+    bad = ~F.coalesce(F.col(url).rlike(URL_PATTERN), F.lit(False))
+    each = df.groupBy(F.col(batch).alias("_b"), F.col(url).alias("_u"), bad.alias("_bad")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[F.col(c) for c in order])).alias("_f"))
+    first = each.where("not _bad").groupBy(F.col("_u").alias("_fu")).agg(F.min("_f").alias("_first"))
+    j = each.join(first, F.col("_u") == F.col("_fu"), "left")  # a null URL is bad and has no first
+    new = (~F.col("_bad") & (F.col("_f") == F.col("_first"))).cast("long")
+    n = F.col("_n")
+    return j.groupBy(F.col("_b").alias(batch)).agg(
+        F.sum(n).alias("submitted"), F.sum(F.coalesce(new, F.lit(0))).alias("accepted"),
+        F.sum(F.when(F.col("_bad"), n).otherwise(0)).alias("rejected"),
+        F.sum(F.when(F.col("_bad"), 0).otherwise(n - F.coalesce(new, F.lit(0)))).alias("duplicates"))
 
 
 def parse_keyword_list(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.ordering import previous, running, time_bucket
+from postlens.functions.ordering import previous, running
 from postlens.session import checkpoint_dir
 
 
@@ -167,12 +167,11 @@ def throttle(df: DataFrame, key: str, ts: str, row_id: str, hours: float, bucket
     return timed.join(kept, F.col(row_id) == F.col("_rid"), "left_semi")
 
 
-def change_events(df: DataFrame, key: str, ts: str, tie: str, col: str, bucket_seconds: int = 30 * 86400
-                  ) -> DataFrame:
+def change_events(df: DataFrame, key: str, ts: str, tie: str, col: str) -> DataFrame:
     """Rows whose ``col`` differs from the previous row of the same key (the
     first row of a key always counts).  The previous row is found by rank
     (skew-safe :func:`running`) and an equi join, not a window over the key."""
-    r = running(df, [key], [ts, tie], time_bucket(ts, bucket_seconds))
+    r = running(df, [key], [ts, tie])
     r = previous(r, [key], [col])
     return r.where(~F.col(col).eqNullSafe(F.col("prev_" + col)) | (F.col("rank") == 1)).drop("rank")
 

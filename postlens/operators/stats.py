@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.dims import param_table
+from postlens.functions.ordering import same
 
 RETENTION_HOURS = 24  # counters are always purged to 24 h; longer periods are capped
 
@@ -81,6 +82,8 @@ def trailing_count_per_row(events: DataFrame, key: str = "event_type", ts: str =
       count table, whose size per key is bounded by time span / B, not by volume),
     * the events of bucket ``b-m`` at or after ``ts - p`` (a probe row placed in
       that bucket, counted in the same key-and-bucket window, joined back by id).
+
+    A null key is a key, rows of one id count each, and an event without a time counts 0.
     """
     p_us = int(round(_effective_hours(period_hours) * 3600 * 1_000_000))
     b_us = int(bucket_seconds) * 1_000_000
@@ -105,13 +108,17 @@ def trailing_count_per_row(events: DataFrame, key: str = "event_type", ts: str =
     pts = real.unionByName(probe)
     up = Window.partitionBy("_k", "_b").orderBy(F.col("_x").asc()).rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("_k", "_b").orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    ranked = pts.select("_id", "_k", "_b", "_real",
+    ranked = pts.select("_id", "_k", "_x", "_b", "_real",
                         F.sum("_real").over(up).alias("_upto"), F.sum("_real").over(down).alias("_from"))
-    top = ranked.where(F.col("_real") == 1).select("_id", "_k", "_b", "_upto")
-    low = ranked.where(F.col("_real") == 0).select(F.col("_id").alias("_pid"), "_from")
-    res = (top.join(middle, ["_k", "_b"], "left")
-           .join(low, top["_id"] == low["_pid"], "left"))
-    n = F.col("_upto") + F.coalesce(F.col("_mid"), F.lit(0)) + F.coalesce(F.col("_from"), F.lit(0))
+    top = ranked.where(F.col("_real") == 1).select("_id", "_k", "_x", "_b", "_upto")
+    # rows of one id, key and time have one probe between them
+    low = (ranked.where(F.col("_real") == 0).groupBy(F.col("_id").alias("_pid"), F.col("_k").alias("_pk"), (F.col("_x") + p_us).alias("_px"))
+           .agg(F.max("_from").alias("_from")))
+    middle = middle.select(F.col("_k").alias("_mk"), F.col("_b").alias("_mb"), "_mid")
+    res = (top.join(middle, same([F.col("_k"), F.col("_b")], [F.col("_mk"), F.col("_mb")]), "left")
+           .join(low, same([F.col("_id"), F.col("_k"), F.col("_x")], [F.col("_pid"), F.col("_pk"), F.col("_px")]), "left"))
+    n = F.when(F.col("_x").isNull(), F.lit(0)).otherwise(
+        F.col("_upto") + F.coalesce(F.col("_mid"), F.lit(0)) + F.coalesce(F.col("_from"), F.lit(0)))
     return res.select(F.col("_id").alias(row_id), F.col("_k").alias("key"), n.cast("long").alias("n"))
 
 
