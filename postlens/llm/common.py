@@ -65,3 +65,24 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> list[Column]:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Bits of a filter of hashes (an array of longs, 2 MB whatever the data).
+FILTER_BITS = 24
+
+
+def hash_filter(keys: DataFrame, h: str, bits: int = FILTER_BITS) -> Column:
+    """A bitmap of the trailing bits of the longs ``h`` as a scalar array, for :func:`may_hold`.
+    Its size is fixed; with more keys it lets more through, and never holds one back."""
+    at = F.col(h).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("id")).agg(F.bit_or(F.call_function(
+        "shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
+    every = keys.sparkSession.range(1 << (bits - 6)).join(words, "id", "left")
+    whole = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("w", F.lit(0).cast("long")).alias("w")))).alias("a"))
+    return whole.select(F.transform("a", lambda x: x["w"])).scalar()
+
+
+def may_hold(bitmap: Column, h: Column, bits: int = FILTER_BITS) -> Column:
+    at = h.bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.get(bitmap, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, replace_columns, row_key
+from .common import bound_batches, hash_filter, may_hold, replace_columns, row_key
 from .components import components
 
 SHINGLE = 8  # characters
@@ -33,6 +33,7 @@ MIN_CHARS = 6
 BLOCK = 4_000
 FEW = 24  # lines of a group that are compared as plain sets
 _FLAT = 1 << 16  # shingles hashed at a time
+_MET = 500_000  # line hashes that a task remembers
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
@@ -69,8 +70,12 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _band_batches(batches):
+    met: set[int] = set()  # lines of this task; beyond the bound a line is only sent once more
     for pdf in batches:
         pdf = pdf.drop_duplicates("h1")
+        pdf = pdf[[h not in met for h in pdf["h1"].tolist()]]
+        if len(met) < _MET:
+            met.update(pdf["h1"].tolist())
         lines, lo, keys = list(pdf["line"]), 0, [np.zeros((0, BANDS), np.uint64)]
         while lo < len(lines):
             hi, size = lo, 0
@@ -112,7 +117,6 @@ def similar(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, one: np.nda
     return at[both >= least * (n + len(one) - both)]
 
 
-@lru_cache(512)  # lines of a group of bands come together
 def _set_of(line: str) -> frozenset:
     return frozenset(line[k: k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
 
@@ -135,11 +139,11 @@ def _link_few(sets: list[frozenset], split: int | None, least: float) -> list[tu
     return out
 
 
-def link_lines(lines: list[str], split: int | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
+def link_lines(lines: list[str], split: int | None = None, least: float = SIMILARITY, set_of=_set_of) -> list[tuple[int, int]]:
     """Spanning edges of the components of similar lines.  With ``split`` only pairs of one
     line before and one line from that place on count."""
     if len(lines) <= FEW:
-        return _link_few([_set_of(x) for x in lines], split, least)
+        return _link_few([set_of(x) for x in lines], split, least)
     values, at = shingle_values(lines)
     sets = [np.unique(x) for x in np.split(values, at[1:])]
     sizes = np.array([len(x) for x in sets])
@@ -164,11 +168,12 @@ def link_lines(lines: list[str], split: int | None = None, least: float = SIMILA
 
 def _verify_batches(least: float):
     def run(batches):
+        set_of = lru_cache(512)(_set_of)  # lines of a group of bands come together
         for pdf in batches:
             a1, a2, b1, b2 = [], [], [], []
             for first, second in zip(pdf["first"], pdf["second"]):
                 rows = list(first) + (list(second) if second is not None else [])
-                for i, j in link_lines([r["line"] for r in rows], None if second is None else len(first), least):
+                for i, j in link_lines([r["line"] for r in rows], None if second is None else len(first), least, set_of):
                     a1.append(rows[i]["h1"])
                     a2.append(rows[i]["h2"])
                     b1.append(rows[j]["h1"])
@@ -197,8 +202,8 @@ def line_roots(lines: DataFrame, similarity: float = SIMILARITY, block: int = BL
                                       F.bit_xor(F.xxhash64("h1")).alias("x1"))
     once = sums.groupBy("n", "s1", "x1").agg(F.min("band").alias("band")).select("band", "n")
     members = shared.join(once, "band")
-    texts = (lines.select("h1", "h2", "line").join(shared.select("h1").distinct(), "h1", "left_semi")
-             .dropDuplicates(["h1", "h2"]))
+    # only texts of lines in such bands are shuffled (and the few that the filter lets through besides)
+    texts = lines.select("h1", "h2", "line").filter(may_hold(hash_filter(shared, "h1"), F.col("h1"))).dropDuplicates(["h1", "h2"])
     members = members.join(texts, "h1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.when(blocks > 1, F.pmod(F.col("h1"), blocks)).otherwise(F.lit(0)).cast("int")
@@ -223,7 +228,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     n_lines (lines of the text) and removed (positions of the lines taken out).
 
     The line that stays is the first of its component: smallest doc_id, then position; rows
-    without an id come last, ordered by a hash.  Defined cases: null text stays null, with 0
+    without an id come last, ordered by a hash.  Ids are integers.  Defined cases: null text stays null, with 0
     lines; blank and short lines stay; rows of one doc_id are one document, and a line that
     stands at one position of several of them counts once; an empty table gives no rows.
     """
@@ -234,18 +239,22 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     span = F.lit(1 << 31).cast("decimal(20,0)")
     number = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("decimal(20,0)")).otherwise(
         F.lit(str(1 << 64)).cast("decimal(38,0)") + F.col("_key"))
-    places = lines.select("doc_id", "_key", "pos", "h1", "h2", (number * span + F.col("pos")).cast("decimal(38,0)").alias("place")).checkpoint()
-    # one row per distinct line and task goes into the shuffle
-    seen = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    rooted = seen.join(roots, ["h1", "h2"], "left").select(
-        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first", "last").checkpoint()
-    least = rooted.groupBy("r1", "r2").agg(F.min("first").alias("stays"), F.max("last").alias("end")).filter("stays != end")
-    repeated = rooted.select("h1", "h2", "r1", "r2").join(least.select("r1", "r2", "stays"), ["r1", "r2"]).select("h1", "h2", "stays")
-    gone = places.join(repeated, ["h1", "h2"]).filter("place != stays")
+    places = lines.select("doc_id", "_key", "pos", "h1", "h2", (number * span + F.col("pos")).cast("decimal(38,0)").alias("place"))
+    # one row per distinct line and task goes into the shuffle; lines met once that are like no other end here
+    seen = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    rooted = seen.join(roots, ["h1", "h2"], "left").filter("n > 1 or r1 is not null").select(
+        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first").checkpoint()
+    least = rooted.groupBy("r1", "r2").agg(F.min("first").alias("stays"))
+    repeated = rooted.select("h1", "h2", "r1", "r2").join(least, ["r1", "r2"]).select("h1", "h2", "stays").checkpoint()
+    gone = places.filter(may_hold(hash_filter(repeated, "h1"), F.col("h1"))).join(repeated, ["h1", "h2"]).filter("place != stays")
     lists = (gone.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_pl_gone"))  # bounded by one document
-             .select(F.col("doc_id").alias("_pl_doc"), F.col("_key").alias("_pl_key"), "_pl_gone"))
+             .select(F.col("doc_id").alias("_pl_doc"), F.col("_key").alias("_pl_key"), "_pl_gone").checkpoint())
     own = docs.withColumn("_pl_own", row_key(f"`{doc_id}`", f"`{text}`"))
-    joined = own.join(lists, F.col(f"`{doc_id}`").eqNullSafe(F.col("_pl_doc")) & (F.col("_pl_own") == F.col("_pl_key")), "left")
+    # documents that surely lose no line aren't shuffled
+    loses = may_hold(hash_filter(lists, "_pl_key"), F.col("_pl_own"))
+    some = own.filter(loses).join(lists, F.col(f"`{doc_id}`").eqNullSafe(F.col("_pl_doc")) & (F.col("_pl_own") == F.col("_pl_key")), "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in lists.schema.fields]
+    joined = some.unionByName(own.filter(~loses).select("*", *none))
     t, split = F.col(f"`{text}`"), F.split(F.col(f"`{text}`"), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("_pl_split") - 1), "_pl_gone")
     made = joined.withColumn("_pl_split", split)
