@@ -16,7 +16,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +62,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
     """One 64-bit key per line and band."""
     h, starts = shingle_values(lines, np.uint32)
     out = np.zeros((len(lines), BANDS), np.uint64)
+    product = np.empty_like(h)
     for p, a in enumerate(_MULTIPLIERS):
-        low = np.minimum.reduceat(h * a, starts).astype(np.uint64)
+        low = np.minimum.reduceat(np.multiply(h, a, out=product), starts).astype(np.uint64)
         k = p // ROWS
         out[:, k] = (out[:, k] ^ (low + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
         out[:, k] ^= out[:, k] >> np.uint64(31)
@@ -71,12 +73,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 def _band_batches(batches):
     met: set[int] = set()  # lines of this task; beyond the bound a line is only sent once more
-    for pdf in batches:
-        pdf = pdf.drop_duplicates("h1")
-        pdf = pdf[[h not in met for h in pdf["h1"].tolist()]]
+    for batch in batches:
+        h1 = batch.column(1).to_numpy()
+        new = np.zeros(len(h1), bool)
+        new[np.unique(h1, return_index=True)[1]] = True
+        new &= np.fromiter((h not in met for h in h1.tolist()), bool, len(h1))
+        h1 = h1[new]
         if len(met) < _MET:
-            met.update(pdf["h1"].tolist())
-        lines, lo, keys = list(pdf["line"]), 0, [np.zeros((0, BANDS), np.uint64)]
+            met.update(h1.tolist())
+        lines, lo, keys = batch.column(0).filter(pa.array(new)).to_pylist(), 0, [np.zeros((0, BANDS), np.uint64)]
         while lo < len(lines):
             hi, size = lo, 0
             while hi < len(lines) and (hi == lo or size + len(lines[hi]) <= _FLAT):
@@ -84,14 +89,31 @@ def _band_batches(batches):
                 hi += 1
             keys.append(band_keys(lines[lo:hi]))
             lo = hi
-        yield pd.DataFrame({"band": np.concatenate(keys).view(np.int64).ravel(), "h1": np.repeat(pdf["h1"].to_numpy(), BANDS)})
+        yield _table(np.concatenate(keys).view(np.int64).ravel(), np.repeat(h1, BANDS))
+
+
+def _table(band: np.ndarray, h1: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(band), pa.array(h1)], names=["band", "h1"])
+
+
+def _gathered(batches, rows: int):
+    """Small batches of numbers as (rows, 2) arrays of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1))
+        n += len(batch)
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def _shared_batches(batches):
     """Of rows (band, h1) in order of band, those whose band has more than one line."""
     open_ = np.zeros((0, 2), np.int64)  # distinct rows of the last band met, which may go on
-    for pdf in batches:
-        v = np.concatenate([open_, np.stack([pdf["band"].to_numpy(), pdf["h1"].to_numpy()], 1)])
+    for v in _gathered(batches, _FLAT):
+        v = np.concatenate([open_, v])
         first = np.flatnonzero(np.concatenate([[True], v[1:, 0] != v[:-1, 0]]))
         open_ = np.unique(v[first[-1]:], axis=0)
         v, first = v[: first[-1]], first[:-1]
@@ -99,9 +121,10 @@ def _shared_batches(batches):
             several = np.minimum.reduceat(v[:, 1], first) != np.maximum.reduceat(v[:, 1], first)
             on = np.repeat(several, np.diff(np.concatenate([first, [len(v)]])))
             if on.any():
-                yield pd.DataFrame(v[on], columns=["band", "h1"]).drop_duplicates()
+                some = np.unique(v[on], axis=0)
+                yield _table(some[:, 0], some[:, 1])
     if len(open_) > 1:
-        yield pd.DataFrame(open_, columns=["band", "h1"])
+        yield _table(open_[:, 0], open_[:, 1])
 
 
 def similar(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, one: np.ndarray, at: np.ndarray, least: float) -> np.ndarray:
@@ -166,20 +189,57 @@ def link_lines(lines: list[str], split: int | None = None, least: float = SIMILA
     return out
 
 
+_NEAR = 44  # bits of a shingle's hash beside the number of its line
+
+
+def similar_pairs(lines: list[str], least: float = SIMILARITY) -> np.ndarray:
+    """Whether lines 0 and 1, 2 and 3, ... are similar: all pairs at once.
+
+    Shared shingles are counted by 44 bits of their hash; a pair near the bound is
+    compared again by its shingles themselves.
+    """
+    values, starts = shingle_values(lines)
+    sizes = np.diff(np.concatenate([starts, [len(values)]]))
+    own = np.repeat(np.arange(len(lines), dtype=np.uint64), sizes) << np.uint64(_NEAR)
+    keys = np.sort(own | values >> np.uint64(64 - _NEAR))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    line = keys >> np.uint64(_NEAR)
+    n = np.bincount(line.astype(np.int64), minlength=len(lines))
+    low = np.uint64((1 << _NEAR) - 1)
+    pair = np.sort(line >> np.uint64(1) << np.uint64(_NEAR) | keys & low)
+    twice = pair[1:][pair[1:] == pair[:-1]] >> np.uint64(_NEAR)
+    both = np.bincount(twice.astype(np.int64), minlength=len(lines) // 2)
+    gap = both - least * (n[::2] + n[1::2] - both)
+    for p in np.flatnonzero(np.abs(gap) < 4):
+        gap[p] = 0.0 if _link_few([_set_of(lines[2 * p]), _set_of(lines[2 * p + 1])], None, least) else -1.0
+    return gap >= 0
+
+
 def _verify_batches(least: float):
     def run(batches):
         set_of = lru_cache(512)(_set_of)  # lines of a group of bands come together
-        for pdf in batches:
-            a1, a2, b1, b2 = [], [], [], []
-            for first, second in zip(pdf["first"], pdf["second"]):
-                rows = list(first) + (list(second) if second is not None else [])
-                for i, j in link_lines([r["line"] for r in rows], None if second is None else len(first), least, set_of):
-                    a1.append(rows[i]["h1"])
-                    a2.append(rows[i]["h2"])
-                    b1.append(rows[j]["h1"])
-                    b2.append(rows[j]["h2"])
-            yield pd.DataFrame({"a1": pd.array(a1, "int64"), "a2": pd.array(a2, "int64"),
-                                "b1": pd.array(b1, "int64"), "b2": pd.array(b2, "int64")})
+        for batch in batches:
+            first, second = batch.column(0), batch.column(1)
+            n1 = pc.list_value_length(first).to_numpy(zero_copy_only=False).astype(np.int64)
+            n2 = pc.fill_null(pc.list_value_length(second), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            split = np.asarray(pc.is_valid(second), bool)
+            a, b = first.flatten(), second.flatten()
+            rows = [pa.concat_arrays([a.field(k), b.field(k)]) for k in range(3)]
+            h1, h2 = rows[1].to_numpy(), rows[2].to_numpy()
+            at1, at2 = np.cumsum(n1) - n1, np.cumsum(n2) - n2 + len(a)
+            edges = [np.zeros((0, 2), np.int64)]
+            two = np.flatnonzero(((n1 == 2) & ~split) | ((n1 == 1) & (n2 == 1)))
+            pairs = np.stack([at1[two], np.where(split[two], at2[two], at1[two] + 1)], 1)
+            lengths = pc.utf8_length(rows[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+            piece = np.cumsum(lengths[pairs].sum(axis=1)) // _FLAT
+            for part in np.split(pairs, np.flatnonzero(np.diff(piece)) + 1) if len(pairs) else []:
+                edges.append(part[similar_pairs(rows[0].take(pa.array(part.ravel())).to_pylist(), least)])
+            for g in np.setdiff1d(np.flatnonzero(n1 + n2 > 1), two).tolist():
+                at = np.concatenate([np.arange(at1[g], at1[g] + n1[g]), np.arange(at2[g], at2[g] + n2[g])])
+                found = link_lines(rows[0].take(pa.array(at)).to_pylist(), int(n1[g]) if split[g] else None, least, set_of)
+                edges.append(at[np.array(found, np.int64).reshape(-1, 2)])
+            i, j = np.concatenate(edges).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[i], h2[i], h1[j], h2[j])], names=["a1", "a2", "b1", "b2"])
     return run
 
 
@@ -194,9 +254,9 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
 def line_roots(lines: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(h1, h2, r1, r2): the component of every line that is similar to another one."""
     # half of the hash is enough for candidates: they are compared by their texts below
-    shared = (lines.select("line", "h1").mapInPandas(_band_batches, "band long, h1 long")
+    shared = (lines.select("line", "h1").mapInArrow(_band_batches, "band long, h1 long")
               .repartition("band").sortWithinPartitions("band")
-              .mapInPandas(_shared_batches, "band long, h1 long").checkpoint())
+              .mapInArrow(_shared_batches, "band long, h1 long").checkpoint())
     # bands with the same lines are compared once
     sums = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h1").cast("decimal(38,0)")).alias("s1"),
                                       F.bit_xor(F.xxhash64("h1")).alias("x1"))
@@ -215,7 +275,7 @@ def line_roots(lines: DataFrame, similarity: float = SIMILARITY, block: int = BL
     pairs = members.groupBy("band", "x", "y").agg(F.collect_list(F.when(~F.col("late"), F.col("row"))).alias("first"),
                                                   F.collect_list(F.when(F.col("late"), F.col("row"))).alias("second"))
     pairs = pairs.select("first", F.when(F.col("x") != F.col("y"), F.col("second")).alias("second"))
-    edges = pairs.mapInPandas(_verify_batches(similarity), "a1 long, a2 long, b1 long, b2 long")
+    edges = pairs.mapInArrow(_verify_batches(similarity), "a1 long, a2 long, b1 long, b2 long")
     edges = edges.select(F.struct(F.col("a1").alias("p"), F.col("a2").alias("q")).alias("a"),
                          F.struct(F.col("b1").alias("p"), F.col("b2").alias("q")).alias("b"))
     return components(edges).select(F.col("node.p").alias("h1"), F.col("node.q").alias("h2"),

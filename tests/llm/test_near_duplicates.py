@@ -298,3 +298,21 @@ def test_decontamination_cases(spark, docs_of):
         assert sorted(map(len, got[5])) == [2, 4] and got[None] == [[(-1, 1, 10, 0)]]
     assert all(r["hits"] == [] for r in decontam.find_items(docs, bench.limit(0)).collect())
     assert decontam.find_items(docs_of(), bench).collect() == []
+
+
+def test_pairs_of_lines_at_once_match_plain_sets():
+    from postlens.llm import line_dedup
+    rng = random.Random(11)
+    lines = []
+    for k in range(400):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 200)))
+        b = list(a)
+        for _ in range(rng.randrange(0, 8)):
+            b[rng.randrange(len(b))] = rng.choice("abcdefg")
+        lines += [a, "".join(b) if k % 9 else "x" * rng.randrange(1, 50)]
+    lines += ["日本語の文章です。" * 9, "日本語の文章です。" * 10, "short", "short", "a", "b"]
+
+    def grams(x):
+        return {x[i:i + 8] for i in range(max(1, len(x) - 7))}
+    want = [len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) for a, b in zip(lines[::2], lines[1::2])]
+    assert line_dedup.similar_pairs(lines).tolist() == want and 50 < sum(want) < 350
