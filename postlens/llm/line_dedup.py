@@ -228,13 +228,22 @@ def _verify_batches(least: float):
             h1, h2 = rows[1].to_numpy(), rows[2].to_numpy()
             at1, at2 = np.cumsum(n1) - n1, np.cumsum(n2) - n2 + len(a)
             edges = [np.zeros((0, 2), np.int64)]
-            two = np.flatnonzero(((n1 == 2) & ~split) | ((n1 == 1) & (n2 == 1)))
-            pairs = np.stack([at1[two], np.where(split[two], at2[two], at1[two] + 1)], 1)
+            # small groups: every line against the first; if all are similar to it, that is the component
+            few = np.flatnonzero(((n1 > 1) & (n1 <= FEW) & ~split) | ((n1 == 1) & (n2 == 1)))
+            others = np.where(split[few], 1, n1[few] - 1)
+            of = np.repeat(few, others)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(others) - others, others)
+            pairs = np.stack([at1[of], np.where(split[of], at2[of], at1[of] + 1) + nth], 1)
             lengths = pc.utf8_length(rows[0]).to_numpy(zero_copy_only=False).astype(np.int64)
             piece = np.cumsum(lengths[pairs].sum(axis=1)) // _FLAT
-            for part in np.split(pairs, np.flatnonzero(np.diff(piece)) + 1) if len(pairs) else []:
-                edges.append(part[similar_pairs(rows[0].take(pa.array(part.ravel())).to_pylist(), least)])
-            for g in np.setdiff1d(np.flatnonzero(n1 + n2 > 1), two).tolist():
+            near = [similar_pairs(rows[0].take(pa.array(part.ravel())).to_pylist(), least)
+                    for part in (np.split(pairs, np.flatnonzero(np.diff(piece)) + 1) if len(pairs) else [])]
+            near = np.concatenate([np.zeros(0, bool), *near])
+            edges.append(pairs[near])
+            # if a line is not like the first, it may be like another one; larger groups are walked anyway
+            open_ = n1 + n2 > 1
+            open_[few] = (others > 1) & (np.bincount(of, ~near, minlength=len(n1))[few] > 0)
+            for g in np.flatnonzero(open_).tolist():
                 at = np.concatenate([np.arange(at1[g], at1[g] + n1[g]), np.arange(at2[g], at2[g] + n2[g])])
                 found = link_lines(rows[0].take(pa.array(at)).to_pylist(), int(n1[g]) if split[g] else None, least, set_of)
                 edges.append(at[np.array(found, np.int64).reshape(-1, 2)])
