@@ -13,8 +13,6 @@ than one task takes is split into blocks, and every pair of blocks is walked by
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -140,8 +138,19 @@ def similar(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, one: np.nda
     return at[both >= least * (n + len(one) - both)]
 
 
-def _set_of(line: str) -> frozenset:
-    return frozenset(line[k: k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1)))
+def shingle_sets(lines: list[str]) -> list[frozenset]:
+    """The shingles of every line as hash values of 64 bits."""
+    out, lo = [], 0
+    while lo < len(lines):
+        hi, size = lo, 0
+        while hi < len(lines) and (hi == lo or size + len(lines[hi]) <= _FLAT):
+            size += len(lines[hi])
+            hi += 1
+        values, starts = shingle_values(lines[lo:hi])
+        flat, ends = values.tolist(), [*starts.tolist()[1:], len(values)]
+        out += [frozenset(flat[a:b]) for a, b in zip(starts.tolist(), ends)]
+        lo = hi
+    return out
 
 
 def _link_few(sets: list[frozenset], split: int | None, least: float) -> list[tuple[int, int]]:
@@ -162,11 +171,11 @@ def _link_few(sets: list[frozenset], split: int | None, least: float) -> list[tu
     return out
 
 
-def link_lines(lines: list[str], split: int | None = None, least: float = SIMILARITY, set_of=_set_of) -> list[tuple[int, int]]:
+def link_lines(lines: list[str], split: int | None = None, least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Spanning edges of the components of similar lines.  With ``split`` only pairs of one
     line before and one line from that place on count."""
     if len(lines) <= FEW:
-        return _link_few([set_of(x) for x in lines], split, least)
+        return _link_few(shingle_sets(lines), split, least)
     values, at = shingle_values(lines)
     sets = [np.unique(x) for x in np.split(values, at[1:])]
     sizes = np.array([len(x) for x in sets])
@@ -196,7 +205,7 @@ def similar_pairs(lines: list[str], least: float = SIMILARITY) -> np.ndarray:
     """Whether lines 0 and 1, 2 and 3, ... are similar: all pairs at once.
 
     Shared shingles are counted by 44 bits of their hash; a pair near the bound is
-    compared again by its shingles themselves.
+    compared again by all of them.
     """
     values, starts = shingle_values(lines)
     sizes = np.diff(np.concatenate([starts, [len(values)]]))
@@ -210,14 +219,15 @@ def similar_pairs(lines: list[str], least: float = SIMILARITY) -> np.ndarray:
     twice = pair[1:][pair[1:] == pair[:-1]] >> np.uint64(_NEAR)
     both = np.bincount(twice.astype(np.int64), minlength=len(lines) // 2)
     gap = both - least * (n[::2] + n[1::2] - both)
-    for p in np.flatnonzero(np.abs(gap) < 4):
-        gap[p] = 0.0 if _link_few([_set_of(lines[2 * p]), _set_of(lines[2 * p + 1])], None, least) else -1.0
+    ends = np.concatenate([starts, [len(values)]]).tolist()
+    for p in np.flatnonzero(np.abs(gap) < 2).tolist():
+        sets = [frozenset(values[ends[i]:ends[i + 1]].tolist()) for i in (2 * p, 2 * p + 1)]
+        gap[p] = 0.0 if _link_few(sets, None, least) else -1.0
     return gap >= 0
 
 
 def _verify_batches(least: float):
     def run(batches):
-        set_of = lru_cache(512)(_set_of)  # lines of a group of bands come together
         for batch in batches:
             first, second = batch.column(0), batch.column(1)
             n1 = pc.list_value_length(first).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -243,9 +253,16 @@ def _verify_batches(least: float):
             # if a line is not like the first, it may be like another one; larger groups are walked anyway
             open_ = n1 + n2 > 1
             open_[few] = (others > 1) & (np.bincount(of, ~near, minlength=len(n1))[few] > 0)
-            for g in np.flatnonzero(open_).tolist():
-                at = np.concatenate([np.arange(at1[g], at1[g] + n1[g]), np.arange(at2[g], at2[g] + n2[g])])
-                found = link_lines(rows[0].take(pa.array(at)).to_pylist(), int(n1[g]) if split[g] else None, least, set_of)
+            walked = np.flatnonzero(open_)
+            places = [np.concatenate([np.arange(at1[g], at1[g] + n1[g]), np.arange(at2[g], at2[g] + n2[g])]) for g in walked.tolist()]
+            small = [at for at in places if len(at) <= FEW]
+            sets = iter(shingle_sets(rows[0].take(pa.array(np.concatenate([np.zeros(0, np.int64), *small]))).to_pylist()))
+            for g, at in zip(walked.tolist(), places):
+                cut = int(n1[g]) if split[g] else None
+                if len(at) <= FEW:
+                    found = _link_few([next(sets) for _ in at], cut, least)
+                else:
+                    found = link_lines(rows[0].take(pa.array(at)).to_pylist(), cut, least)
                 edges.append(at[np.array(found, np.int64).reshape(-1, 2)])
             i, j = np.concatenate(edges).T
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[i], h2[i], h1[j], h2[j])], names=["a1", "a2", "b1", "b2"])
@@ -256,7 +273,9 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFra
     """(doc_id, _key, pos, line, h1, h2): the lines that are compared."""
     d = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(f"`{doc_id}`", f"`{text}`").alias("_key"),
                     F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    d = d.filter((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # most lines are long: no need to count their code points, or to look beyond their first word
+    d = d.filter(((F.octet_length("line") >= 4 * min_chars) | (F.length("line") >= min_chars))
+                 & (F.ltrim("line", F.lit(" \t\n\x0b\x0c\r")) != ""))
     return d.select("doc_id", "_key", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
