@@ -111,26 +111,79 @@ def merge_first(chunks: DataFrame, cols: Sequence[str], item: str = "item_id", c
     return b.select(item, *[F.col("_f")[c].alias(c) for c in cols])
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _middle(values: Column, dp: int | None = MEDIAN_DP) -> Column:
+    """The median of an array; nulls don't count."""
+    middle = _bound(F.array_sort(F.filter(values, lambda v: v.isNotNull())), lambda a: (
+        F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2)
+    return middle if dp is None else F.round(middle, dp)
+
+
+def _nearest(rows: str) -> Column:
+    """Of a list of (chunk, vector) the vector nearest to the component-wise median, the first chunk's if several are."""
+    def choose(some: Column) -> Column:
+        centre = F.transform(F.sequence(F.lit(0), F.size(F.get(some, 0)["vector"]) - 1),
+                             lambda p: _middle(F.transform(some, lambda r: F.get(r["vector"], p).cast("double")), None))
+
+        def nearest(m: Column) -> Column:
+            gaps = F.transform(some, lambda r: F.struct(F.sqrt(F.aggregate(F.zip_with(
+                r["vector"], m, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)).alias("gap"),
+                r["chunk"].alias("chunk"), r["vector"].alias("vector")))
+            return F.array_min(gaps)["vector"]
+        return _bound(centre, nearest)
+    kept = F.filter(rows, lambda r: r["vector"].isNotNull() & (F.size(r["vector"]) > 0))
+    return _bound(kept, lambda some: F.when(F.size(some) > 0, choose(some)))
+
+
 def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
                  majority_cols: Sequence[str] = ("source_type",), median_cols: Sequence[str] = (),
                  first_cols: Sequence[str] = (), keywords: str | None = None, embedding: str | None = None,
                  item: str = "item_id", chunk: str = "chunk_no") -> DataFrame:
-    """All merge rules for one chunk table: one aggregate on ``item`` for counts,
-    max score, medians and first-chunk fields, plus the two-level majority
-    aggregates and (optionally) keyword union and embedding choice, joined on
-    ``item`` (each side is already one row per item)."""
-    aggs = [F.count(F.lit(1)).alias("n_chunks"), F.max(score).alias(f"{label}_score")]
-    aggs += [median_col(c).alias(f"{c}_median") for c in median_cols]
+    """All merge rules for one chunk table: one aggregate on ``item`` for counts, max score,
+    medians and first-chunk fields, plus the two-level majority aggregates and (optionally)
+    keyword union and embedding choice, joined on ``item`` (each side is already one row per item).
+
+    An item of several chunks fails, and is left out, if a chunk has a null in one of the
+    merged families or its vectors differ in length; an item of one chunk stays as it is.
+    """
+    families = [label, score, *majority_cols, *median_cols, *([keywords] if keywords else []), *([embedding] if embedding else [])]
+    gap = F.lit(False)
+    for c in families:
+        gap = gap | F.col(c).isNull()
+    size = F.size(embedding) if embedding else F.lit(0)
+    aggs = [F.count(F.lit(1)).alias("n_chunks"), F.max(score).alias(f"{label}_score"),
+            (F.bool_or(gap) | (F.min(size) != F.max(size))).alias("_failed")]
+    large = _has_large(chunks, item)
+    if not large:  # at most LIMIT chunks an item: one list of all that is merged inside the row
+        listed = [F.col(chunk).alias("chunk"), F.array(*[F.col(c).cast("double") for c in median_cols]).cast("array<double>").alias("figures"),
+                  *([F.col(keywords).alias("words")] if keywords else []), *([F.col(embedding).alias("vector")] if embedding else [])]
+        aggs.append(F.collect_list(F.struct(*listed)).alias("_rows"))
     if first_cols:
         aggs.append(F.min_by(F.struct(*first_cols), F.col(chunk)).alias("_first"))
-    out = chunks.groupBy(item).agg(*aggs)
+    out = chunks.groupBy(item).agg(*aggs).where((F.col("n_chunks") == 1) | ~F.col("_failed")).drop("_failed")
+    if not large:
+        medians = F.transform(F.array(*[F.lit(i) for i in range(len(median_cols))]).cast("array<int>"),
+                              lambda p: _middle(F.transform("_rows", lambda r: F.get(r["figures"], p))))
+        out = out.withColumn("_medians", medians)
+        out = out.select(*[c for c in out.columns if c not in ("_rows", "_medians")], *[
+            F.get("_medians", F.lit(i)).alias(f"{c}_median") for i, c in enumerate(median_cols)],
+            *([F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform("_rows", lambda r: r["words"]), lambda w: w.isNotNull()))))
+               .alias(keywords)] if keywords else []),
+            *([_nearest("_rows").alias(embedding)] if embedding else []))
+    elif median_cols:
+        out = out.join(merge_median(chunks, median_cols, item), item)
     if first_cols:
         out = out.select("*", *[F.col("_first")[c].alias(c) for c in first_cols]).drop("_first")
     for c in (label, *majority_cols):
         out = out.join(majority(chunks, c, item, chunk), item)
-    if keywords:
+    if keywords and large:
         out = out.join(merge_keywords(chunks, keywords, item), item, "left")
-    if embedding:
-        e = merge_embedding(chunks, embedding, item, chunk).select(item, embedding)
+    if embedding and large:
+        # vectors of unequal length belong to items that have failed
+        e = merge_embedding(chunks.where(F.col(embedding).isNotNull()), embedding, item, chunk).select(item, embedding)
         out = out.join(e, item, "left")
     return out

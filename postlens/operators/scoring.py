@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from postlens.functions.dims import param_table
 from postlens.functions.models import load_once
-from postlens.sources.schema import AGES, GENDERS, TEXT_TYPES
+from postlens.sources.schema import AGES, GENDERS
 
 # Exact-match social domains (anything else is "news").
 SOCIAL_DOMAINS = [
@@ -169,15 +170,36 @@ def source_type(df: DataFrame, domain: str = "domain") -> DataFrame:
     return j.withColumn("source_type", F.when(F.col("_sd").isNotNull(), "social").otherwise("news")).drop("_sd")
 
 
+#: What became of a key: item and score met, or one of them is missing.
+COMPLETE, NO_SCORE, NO_ITEM = "complete", "no_score", "no_item"
+
+
 def assemble_processed(items: DataFrame, scores: DataFrame, kws: DataFrame,
                        keys: Sequence[str] = ("item_id", "chunk_no")) -> DataFrame:
-    """Items, scores and keywords joined on ``(item_id, chunk_no)`` into the
-    nested processed-item shape (``item``, ``analysis``)."""
+    """Items, scores and keywords joined on ``(item_id, chunk_no)`` into the nested
+    processed-item shape (``item``, ``analysis``), with a ``status`` per key.
+
+    No item vanishes: a key without a score comes out as ``no_score`` with a null analysis,
+    a score without an item as ``no_item`` with a null item.  Keywords alone make no row; a
+    missing list of keywords is null.  Null keys meet each other.
+    """
     keys = list(keys)
-    j = items.join(scores, keys).join(kws, keys, "left")
-    item_cols = [c for c in items.columns if c not in keys]
-    ana_cols = [c for c in scores.columns if c not in keys] + [c for c in kws.columns if c not in keys]
-    return j.select(*keys, F.struct(*item_cols).alias("item"), F.struct(*ana_cols).alias("analysis"))
+
+    def side(df: DataFrame, mark: str, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        return df.select(*[F.col(k).alias(f"{mark}{k}") for k in keys], F.struct(*rest).alias(name), F.lit(True).alias(f"{mark}there"))
+
+    def meet(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys])
+    j = side(items, "_i", "_item").join(side(scores, "_s", "_score"), meet("_i", "_s"), "full")
+    own = [F.when(F.col("_ithere"), F.col(f"_i{k}")).otherwise(F.col(f"_s{k}")).alias(f"_k{k}") for k in keys]
+    status = F.when(F.col("_sthere").isNull(), NO_SCORE).when(F.col("_ithere").isNull(), NO_ITEM).otherwise(COMPLETE)
+    j = j.select(*own, "_item", "_score", status.alias("status")).join(side(kws, "_w", "_kws"), meet("_k", "_w"), "left")
+    ana = [F.col(f"_score.{c}").alias(c) for c in scores.columns if c not in keys] + [F.col(f"_kws.{c}").alias(c) for c in kws.columns if c not in keys]
+    return j.select(*[F.col(f"_k{k}").alias(k) for k in keys], F.col("_item").alias("item"),
+                    F.when(F.col("status") != NO_SCORE, F.struct(*ana)).alias("analysis"), "status")
 
 
-TEXT_TYPE_FIELDS = TEXT_TYPES
+def assembly_report(processed: DataFrame) -> DataFrame:
+    """Keys per status."""
+    return processed.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

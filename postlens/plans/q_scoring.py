@@ -192,17 +192,25 @@ def _source_type(spark, sf):
     return S.source_type(v_items(Tables(spark, sf)).select("item_id", "domain"))
 
 
+# Every eleventh key has lost its score, every thirteenth its item.
 @register("assemble_processed", with_views("""
-SELECT c.item_id, c.chunk_no, strftime(c.l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS created_at, s.label,
-  s.score, s.source_type, 'rf_' || c.l_returnflag || ',ls_' || c.l_linestatus AS keywords
-FROM V_chunks c JOIN V_scores s ON c.item_id = s.item_id AND c.chunk_no = s.chunk_no""", "V_chunks", "V_scores"))
+WITH k AS (SELECT *, (item_id + chunk_no) % 11 = 0 AS lost_s, (item_id + chunk_no) % 13 = 0 AS lost_i FROM V_chunks),
+j AS (SELECT c.item_id, c.chunk_no, NOT lost_i AS i, NOT lost_s AS s, c.*, v.label, v.score, v.source_type
+  FROM k c JOIN V_scores v ON c.item_id = v.item_id AND c.chunk_no = v.chunk_no WHERE NOT (lost_i AND lost_s))
+SELECT item_id, chunk_no, CASE WHEN i AND s THEN 'complete' WHEN i THEN 'no_score' ELSE 'no_item' END AS status,
+  CASE WHEN i THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%fZ') END AS created_at,
+  CASE WHEN i THEN 'https://x.com/o/' || item_id END AS url, CASE WHEN s THEN label END AS label,
+  CASE WHEN s THEN score END AS score, CASE WHEN s THEN source_type END AS source_type,
+  CASE WHEN s THEN 'rf_' || l_returnflag || ',ls_' || l_linestatus END AS keywords FROM j""", "V_chunks", "V_scores"))
 def _assemble(spark, sf):
     t = Tables(spark, sf)
     c = lineitem_chunks(t)
-    items = c.select("item_id", "chunk_no", format_iso("l_shipdate").alias("created_at"))
+    k = F.col("item_id") + F.col("chunk_no")
+    items = c.where(k % 13 != 0).select("item_id", "chunk_no", format_iso("l_shipdate").alias("created_at"),
+                                        F.concat(F.lit("https://x.com/o/"), F.col("item_id").cast("string")).alias("url"))
     kws = c.select("item_id", "chunk_no", F.array(F.concat(F.lit("rf_"), "l_returnflag"),
                                                   F.concat(F.lit("ls_"), "l_linestatus")).alias("top_keywords"))
-    scores = v_scores(t).select("item_id", "chunk_no", "label", "score", "source_type")
+    scores = v_scores(t).where(k % 11 != 0).select("item_id", "chunk_no", "label", "score", "source_type")
     p = S.assemble_processed(items, scores, kws)
-    return p.select("item_id", "chunk_no", "item.created_at", "analysis.label", "analysis.score",
+    return p.select("item_id", "chunk_no", "status", "item.created_at", "item.url", "analysis.label", "analysis.score",
                     "analysis.source_type", F.array_join("analysis.top_keywords", ",").alias("keywords"))

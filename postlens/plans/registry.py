@@ -38,4 +38,4 @@ def load_all() -> None:
 
 
 MODULES = ("q_stats", "q_sampling", "q_merge", "q_quality", "q_dashboard", "q_text", "q_keywords",
-           "q_scoring", "q_batching", "q_streams")
+           "q_scoring", "q_batching", "q_streams", "q_rules")
