@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import let, replace_columns, text_or_empty
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+# labels are taken possessively, as a repeat that Java may take back needs stack for each of them
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-][A-Za-z0-9.-]*?\.[A-Za-z]{2})[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
 KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 SECRET = (r"(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?)"
           r"[A-Za-z0-9_+/.-]{8,}[\"']?")
