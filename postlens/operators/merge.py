@@ -123,6 +123,14 @@ def _middle(values: Column, dp: int | None = MEDIAN_DP) -> Column:
     return middle if dp is None else F.round(middle, dp)
 
 
+def _most(rows: str, field: str) -> Column:
+    """The most common value of a field of a list of structs; of several the one with the first chunk."""
+    def vote(v: Column) -> Column:
+        chunks = F.transform(F.filter(rows, lambda r: r[field].eqNullSafe(v)), lambda r: r["chunk"])
+        return F.struct(F.size(chunks).alias("n"), (-F.array_min(chunks)).alias("first"), v.alias("value"))
+    return F.array_max(F.transform(F.array_distinct(F.transform(rows, lambda r: r[field])), vote))["value"]
+
+
 def _nearest(rows: str) -> Column:
     """Of a list of (chunk, vector) the vector nearest to the component-wise median, the first chunk's if several are."""
     def choose(some: Column) -> Column:
@@ -143,14 +151,16 @@ def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
                  majority_cols: Sequence[str] = ("source_type",), median_cols: Sequence[str] = (),
                  first_cols: Sequence[str] = (), keywords: str | None = None, embedding: str | None = None,
                  item: str = "item_id", chunk: str = "chunk_no") -> DataFrame:
-    """All merge rules for one chunk table: one aggregate on ``item`` for counts, max score,
-    medians and first-chunk fields, plus the two-level majority aggregates and (optionally)
-    keyword union and embedding choice, joined on ``item`` (each side is already one row per item).
+    """All merge rules for one chunk table: one aggregate on ``item`` for counts, max score
+    and first-chunk fields; figures, majority votes, keywords and embeddings come out of one list
+    per item.  If an item has more chunks than a list should hold, they are aggregates of their
+    own, joined on ``item`` (each side is already one row per item).
 
     An item of several chunks fails, and is left out, if a chunk has a null in one of the
     merged families or its vectors differ in length; an item of one chunk stays as it is.
     """
     families = [label, score, *majority_cols, *median_cols, *([keywords] if keywords else []), *([embedding] if embedding else [])]
+    voted = [label, *majority_cols]
     gap = F.lit(False)
     for c in families:
         gap = gap | F.col(c).isNull()
@@ -160,7 +170,7 @@ def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
     large = _has_large(chunks, item)
     if not large:  # at most LIMIT chunks an item: one list of all that is merged inside the row
         listed = [F.col(chunk).alias("chunk"), F.array(*[F.col(c).cast("double") for c in median_cols]).cast("array<double>").alias("figures"),
-                  *([F.col(keywords).alias("words")] if keywords else []), *([F.col(embedding).alias("vector")] if embedding else [])]
+                  *[F.col(c).alias(f"m{i}") for i, c in enumerate(voted)], *([F.col(keywords).alias("words")] if keywords else []), *([F.col(embedding).alias("vector")] if embedding else [])]
         aggs.append(F.collect_list(F.struct(*listed)).alias("_rows"))
     if first_cols:
         aggs.append(F.min_by(F.struct(*first_cols), F.col(chunk)).alias("_first"))
@@ -171,6 +181,7 @@ def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
         out = out.withColumn("_medians", medians)
         out = out.select(*[c for c in out.columns if c not in ("_rows", "_medians")], *[
             F.get("_medians", F.lit(i)).alias(f"{c}_median") for i, c in enumerate(median_cols)],
+            *[_most("_rows", f"m{i}").alias(c) for i, c in enumerate(voted)],
             *([F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform("_rows", lambda r: r["words"]), lambda w: w.isNotNull()))))
                .alias(keywords)] if keywords else []),
             *([_nearest("_rows").alias(embedding)] if embedding else []))
@@ -178,7 +189,7 @@ def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
         out = out.join(merge_median(chunks, median_cols, item), item)
     if first_cols:
         out = out.select("*", *[F.col("_first")[c].alias(c) for c in first_cols]).drop("_first")
-    for c in (label, *majority_cols):
+    for c in voted if large else []:
         out = out.join(majority(chunks, c, item, chunk), item)
     if keywords and large:
         out = out.join(merge_keywords(chunks, keywords, item), item, "left")
