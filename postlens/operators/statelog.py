@@ -9,59 +9,135 @@ overwrites it (the deep-merge rule written as equi joins on path prefixes).
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.ordering import previous, running
 from postlens.session import checkpoint_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
+
+#: Objects are merged down to this depth; what lies deeper is one leaf of JSON text.
+MAX_DEPTH = 500
+_TOKEN = re.compile(r"[ \t\n\r]*(?:([{}\[\],:])|(\"(?:[^\"\\]|\\.)*\"|[^\s{}\[\],:\"]+))", re.S)
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+class _Raw(str):
+    """JSON text that is written as it is: a number in the spelling of its document, or punctuation."""
+
+
+def _scalar(js: str):
+    return json.loads(js, parse_float=_Raw, parse_int=_Raw, parse_constant=_Raw)
+
+
+def _nested(js: str):
+    """What ``_scalar`` gives, for a document nested deeper than Python's own parser goes."""
+    top, at, want = [], 0, "value"  # want: first (of a container), value, key, colon, next
+    open_, keys = [top], [None]
+    while m := _TOKEN.match(js, at):
+        at, sign, token = m.end(), m[1], m[2]
+        inside = isinstance(open_[-1], dict)
+        if token and inside and want in ("first", "key"):
+            if token[0] != '"':
+                raise ValueError("a key is no string")
+            keys[-1], want = _scalar(token), "colon"
+        elif (token or sign in ("{", "[")) and (want == "value" or want == "first" and not inside):
+            v = _scalar(token) if token else {} if sign == "{" else []
+            if inside:
+                open_[-1][keys[-1]] = v
+            else:
+                open_[-1].append(v)
+            want = "next"
+            if sign:
+                open_.append(v)
+                keys.append(None)
+                want = "first"
+        elif sign in ("}", "]") and len(open_) > 1 and inside == (sign == "}") and want in ("first", "next"):
+            open_.pop()
+            keys.pop()
+            want = "next"
+        elif sign == "," and want == "next" and len(open_) > 1:
+            want = "key" if inside else "value"
+        elif sign == ":" and want == "colon":
+            want = "value"
+        else:
+            raise ValueError(f"unexpected {m[0]!r}")
+    if js[at:].strip(" \t\n\r") or want != "next" or len(open_) > 1:
+        raise ValueError("the document does not end here")
+    return top[0]
+
+
+def _parse(js: str):
+    try:
+        return _scalar(js)
+    except RecursionError:
+        return _nested(js)
+
 
 def _leaves(js: str | None) -> list[dict]:
     """Leaves of one JSON object: path, value as text, and whether it is an empty object."""
-    out, stack = [], [((), js)]
+    out, stack = [], []
     try:
-        stack = [((), json.loads(js, parse_float=_Number, parse_int=_Number, parse_constant=_Number))] if js else []
+        stack = [((), _parse(js))] if js else []
     except ValueError:
         return []
-    while stack:  # any depth
+    while stack:
         path, v = stack.pop()
-        if isinstance(v, dict) and v:
-            stack.extend(((*path, k), x) for k, x in v.items())
+        if isinstance(v, dict) and v and len(path) < MAX_DEPTH:
+            stack.extend(((*path, _utf8(k)), x) for k, x in v.items())
         elif path:
             out.append({"path": list(path), "value": _text(v), "empty": v == {} and isinstance(v, dict)})
     return out
 
 
-class _Number(str):
-    """A number in the spelling of its document."""
+def _utf8(s: str) -> str:
+    """Lone surrogates, which no UTF-8 text can hold, become U+FFFD."""
+    return str(s) if s.isascii() else _LONE.sub("\ufffd", s)
 
 
 def _text(v) -> str | None:
     """Scalars as they are, null as null, lists and objects as compact JSON."""
     if v is None or isinstance(v, str):
-        return None if v is None else str(v)
-    return _json(v)
+        return None if v is None else _utf8(v)
+    return _utf8(_json(v))
 
 
 def _json(v) -> str:
-    if isinstance(v, _Number):
-        return str(v)
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(x)}" for k, x in v.items()) + "}"
-    if isinstance(v, list):
-        return "[" + ",".join(map(_json, v)) + "]"
-    return json.dumps(v, ensure_ascii=False)
+    """Compact JSON of a value of any depth."""
+    out, stack = [], [v]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _Raw):
+            out.append(x)
+        elif isinstance(x, dict):
+            stack.append(_Raw("}"))
+            for i, (k, y) in reversed(list(enumerate(x.items()))):
+                stack += [y, _Raw(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":")]
+            stack.append(_Raw("{"))
+        elif isinstance(x, list):
+            stack.append(_Raw("]"))
+            for i, y in reversed(list(enumerate(x))):
+                stack += [y, _Raw("," if i else "")]
+            stack.append(_Raw("["))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def json_leaves(df: DataFrame, key: str, seq: str, js: str) -> DataFrame:
     """Flatten JSON objects to leaves ``(key, seq, path array<string>, value, empty)``.
 
-    A leaf is a scalar, a list (kept as JSON text) or an empty object ``{}``; objects may be
-    nested to any depth, and a string that looks like JSON stays a string.  Null and invalid
-    documents have no leaves.
+    A leaf is a scalar, a list (kept as JSON text) or an empty object ``{}``; a string that
+    looks like JSON stays a string.  Documents may be nested to any depth; an object at depth
+    ``MAX_DEPTH`` is one leaf, its JSON text.  Null and invalid documents have no leaves; a
+    lone surrogate becomes U+FFFD.
     """
     def parse(s: pd.Series) -> pd.Series:
         return pd.Series([_leaves(x) for x in s], dtype=object)
@@ -79,21 +155,28 @@ def _strict_prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: F.slice(path, F.lit(1), i))
 
 
-def fold_state(updates: DataFrame, key: str = "key", seq: str = "seq", js: str = "json") -> DataFrame:
-    """Current state per key after applying the updates in ``seq`` order with
-    the deep-merge rule (dict into dict merges, anything else replaces).
+def fold_leaves(updates: DataFrame, key: str = "key", seq: str = "seq", js: str = "json",
+                snapshot: DataFrame | None = None) -> DataFrame:
+    """Surviving leaves ``(key, path array<string>, value, empty, seq)`` after the updates in ``seq``
+    order with the deep-merge rule (dict into dict merges, anything else replaces).
 
-    Output: ``(key, path, value)``, one row per surviving leaf, ``path`` as ``path_text``.
-    Only the last leaf of a ``(key, path)`` can survive, so one aggregate (combined before
-    the shuffle, so a hot key or counter costs a row per task) reduces the log to the size
-    of the state; the tests below run on that.  A leaf written at ``s`` is dead when a later
-    leaf extends its path, or sits at a strict prefix of its path and is not ``{}``; a
-    surviving ``{}`` with a surviving extension is dropped.
+    ``snapshot`` is the result of an earlier fold: the updates (all of them later than it) go
+    on from there, so that the log before it need not be read again.  Only the last leaf of a
+    ``(key, path)`` can survive, so one aggregate (combined before the shuffle, so a hot key or
+    counter costs a row per task) reduces the log to the size of the state; the tests below run
+    on that.  A leaf written at ``s`` is dead when a later leaf extends its path, or sits at a
+    strict prefix of its path and is not ``{}``; a surviving ``{}`` with a surviving extension
+    is dropped.  A null key is a key like any other; of one ``seq`` given twice the greater
+    value stands.
     """
-    last = json_leaves(updates, key, seq, js).groupBy("key", "path").agg(
-        F.max_by(F.struct("value", "empty"), "seq").alias("leaf"), F.max("seq").alias("seq"),
+    log = json_leaves(updates, key, seq, js)
+    if snapshot is not None:
+        log = log.unionByName(snapshot.select("key", "seq", "path", "value", "empty"))
+    # a struct, so that null keys meet in the joins
+    last = log.withColumn("key", F.struct("key")).groupBy("key", "path").agg(
+        F.max(F.struct("seq", "value", "empty")).alias("leaf"),
         F.max(F.when(~F.col("empty"), F.col("seq"))).alias("full_seq"))
-    last = last.select("key", "path", "leaf.value", "leaf.empty", "seq", "full_seq")
+    last = last.select("key", "path", "leaf.value", "leaf.empty", "leaf.seq", "full_seq")
     deep = last.where(F.size("path") > 1).select("key", "path", "seq", F.explode(_strict_prefixes(F.col("path"))).alias("up"))
     below = deep.groupBy("key", F.col("up").alias("path")).agg(F.max("seq").alias("below_seq"))
     above = (deep.join(last.where("full_seq is not null").select("key", F.col("path").alias("up"), "full_seq"), ["key", "up"])
@@ -104,7 +187,36 @@ def fold_state(updates: DataFrame, key: str = "key", seq: str = "seq", js: str =
     inner = (alive.where(F.size("path") > 1).select("key", F.explode(_strict_prefixes(F.col("path"))).alias("path")).distinct()
              .withColumn("inner", F.lit(True)))
     return (alive.join(inner, ["key", "path"], "left").where(~(F.col("empty") & F.col("inner").isNotNull()))
-            .select("key", path_text(F.col("path")).alias("path"), "value"))
+            .select("key.key", "path", "value", "empty", "seq"))
+
+
+def fold_state(updates: DataFrame, key: str = "key", seq: str = "seq", js: str = "json",
+               snapshot: DataFrame | None = None) -> DataFrame:
+    """Current state per key (:func:`fold_leaves`) as ``(key, path, value)``, ``path`` as ``path_text``."""
+    return fold_leaves(updates, key, seq, js, snapshot).select("key", path_text(F.col("path")).alias("path"), "value")
+
+
+def compact_state(updates: DataFrame, folder: str, key: str = "key", seq: str = "seq", js: str = "json") -> DataFrame:
+    """Fold what the log holds beyond the last snapshot of ``folder`` into a new one, and return it.
+
+    Snapshots are Parquet folders named by the greatest ``seq`` that they cover; a scan of the log needs
+    only the updates after it (a filter that reaches the scan).  Without new updates the last
+    snapshot is returned as it is.  A job that dies before its snapshot is complete leaves none.
+    """
+    spark = updates.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    have = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    done = max((int(n[4:]) for n in have if n.startswith("seq=") and files.exists(
+        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))), default=None)
+    new = updates if done is None else updates.where(F.col(seq) > done)
+    upto = new.agg(F.max(seq)).first()[0]
+    if upto is None:
+        return spark.read.parquet(f"{folder}/seq={done}") if done is not None else fold_leaves(new, key, seq, js)
+    old = None if done is None else spark.read.parquet(f"{folder}/seq={done}")
+    # what arrives while this runs belongs to the next snapshot
+    fold_leaves(new.where(F.col(seq) <= upto), key, seq, js, old).write.mode("overwrite").parquet(f"{folder}/seq={upto}")
+    return spark.read.parquet(f"{folder}/seq={upto}")
 
 
 def state_path(df: DataFrame, js: str, path: str, out: str | None = None) -> DataFrame:

@@ -396,3 +396,42 @@ def test_dedup_url_stream_over_files_in_any_order(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(path)
     out = streams.run_available(streams.dedup_url_stream(streams.read_stream(spark, path, df.schema), "url").select("url"), name="urls")
     assert sorted(r.url for r in out.collect()) == sorted(f"u{k}" for k in range(11))
+
+
+def test_fold_state_null_keys_hostile_documents_and_snapshots(spark, tmp_path):
+    deep = '{"a":' * 100_000 + "[" * 3 + "1.50" + "]" * 3 + "}" * 100_000
+    lists = '{"l":' + "[" * 50_000 + "]" * 50_000 + "}"
+    rows = [(None, 0, '{"a":{"b":1}}'), (None, 1, '{"a":5}'), (1, 2, '{"s":"\\ud800","\\udfff":1}'), (2, 3, deep), (3, 4, lists),
+            (4, 5, '{"a":' * 100_000 + "}" * 99_999), (5, 6, '{"x":{}}'), (5, 7, '{"x":{"y":2}}'), (5, 8, '{"x":{"z":{}}}'), (5, 9, '{"x":7}')]
+    df = spark.createDataFrame(rows, "key long, seq long, json string")
+    got = {(r.key, r.path): r.value for r in statelog.fold_state(df).collect()}
+    cut = 100_000 - statelog.MAX_DEPTH
+    assert got.pop((2, ".".join(["a"] * statelog.MAX_DEPTH))) == '{"a":' * cut + "[[[1.50]]]" + "}" * cut
+    assert got.pop((3, "l")) == "[" * 50_000 + "]" * 50_000
+    assert got == {(None, "a"): "5", (1, "s"): "�", (1, "�"): "1", (5, "x"): "7"}
+    folder = str(tmp_path / "state")
+    for upto in (1, 6, 8, 9):
+        state = statelog.compact_state(df.where(F.col("seq") <= upto).where("key is null or key not in (2, 3)"), folder)
+        want = statelog.fold_state(df.where(F.col("seq") <= upto).where("key is null or key not in (2, 3)")).collect()
+        have = state.select("key", statelog.path_text(F.col("path")).alias("path"), "value").collect()
+        assert sorted(map(str, have)) == sorted(map(str, want))
+    assert statelog.compact_state(df.where("key is null or key not in (2, 3)"), folder).count() == 4
+
+
+def test_deep_json_parser_agrees_with_the_standard_one():
+    rng = random.Random(3)
+    good = ['{"a": [1, {"b": null}, "x\\"y"], "c": {}}', "[]", '"s"', "1.0", '{"a":{"a":[[],[{}]]}}']
+    for _ in range(3000):
+        js = list(rng.choice(good))
+        for _ in range(rng.randrange(3)):
+            js[rng.randrange(len(js))] = rng.choice('{}[],:" a1')
+        js = "".join(js)
+        try:
+            want = statelog._scalar(js)
+        except ValueError:
+            want = ValueError
+        try:
+            got = statelog._nested(js)
+        except ValueError:
+            got = ValueError
+        assert got == want, js
