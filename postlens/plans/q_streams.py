@@ -116,6 +116,28 @@ def _item_source(spark, sf):
     return quality.pages_to_items(raw).select("page_id", "url", "domain")
 
 
+@register("item_source_stream", f"SELECT page_id, url, {HOST_SQL} AS domain FROM pages WHERE contains(lower(html), 'the')")
+def _item_source_stream(spark, sf):
+    """Three arrivals, the later ones under smaller names, a run (and an admission of one file or more) after each."""
+    items_source.register(spark)
+    base = os.path.join(checkpoint_dir(spark), f"items-{uuid.uuid4().hex}")
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    for part in (2, 1, 0):
+        pages.where(F.pmod(F.xxhash64("page_id"), F.lit(3)) == part).write.parquet(f"{base}/in/{part}")
+    arrived = f"{base}/arrived"
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(fs.Path(arrived))
+    for part in (2, 1, 0):
+        for f in files.listStatus(fs.Path(f"{base}/in/{part}")):
+            name = f.getPath().getName()
+            if name.endswith(".parquet"):
+                files.rename(f.getPath(), fs.Path(f"{arrived}/{part}-{name}"))
+        s = (spark.readStream.format("items").option("path", arrived).option("log", f"{base}/log").option("keyword", "the").load())
+        out = streams.run_available(s, base=f"{base}/query")
+    return quality.pages_to_items(out).select("page_id", "url", "domain")
+
+
 def _late_oracles():
     from postlens.plans import q_dashboard  # noqa: F401  (throttle oracle)
 

@@ -28,10 +28,11 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     return r.parquet(path)
 
 
-def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run to completion (availableNow) and return what the sink received as a batch DataFrame."""
+def run_available(stream: DataFrame, mode: str = "append", name: str = "stream", base: str | None = None) -> DataFrame:
+    """Run to completion (availableNow) and return what the sink received as a batch DataFrame.
+    A run with the ``base`` folder of an earlier one goes on where that stopped."""
     spark = stream.sparkSession
-    base = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    base = base or os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     out, ck = os.path.join(base, "out"), os.path.join(base, "checkpoint")
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
