@@ -131,16 +131,34 @@ def pack_paragraphs(df: DataFrame, key: str, text: str, size: int = PARAGRAPH_TO
 CHUNK_KEEP = ["content", "author", "created_at", "domain", "url"]
 
 
+def _pieces(content: str, token_limit: int, max_token_count: int) -> tuple[Column, Column]:
+    """Whether a text is split, and its pieces (a text that is not split is one piece)."""
+    split = (token_count(content) >= token_limit) & (F.length(content) > max_token_count)
+    return split, F.when(split, paragraphs(sentences(content), max_token_count)).otherwise(F.array(F.col(content)))
+
+
+def _small_prefix(pieces: Column, token_limit: int) -> Column:
+    """The pieces before the first one of ``token_limit`` tokens or more."""
+    first = F.array_position(F.transform(pieces, lambda p: token_count(p) >= token_limit), F.lit(True))
+    return F.when(first > 0, F.slice(pieces, F.lit(1), (first - 1).cast("int"))).otherwise(pieces)
+
+
 def chunk_items(items: DataFrame, key: str = "item_id", content: str = "content",
-                token_limit: int = TOKEN_GATE, max_token_count: int = PARAGRAPH_TOKENS) -> DataFrame:
+                token_limit: int = TOKEN_GATE, max_token_count: int = PARAGRAPH_TOKENS,
+                strict_prefix: bool = False) -> DataFrame:
     """Items -> chunk rows ``(key, chunk_no, ...)``.  Items under the token gate
     pass whole (all fields); bigger items whose text is longer than
     ``max_token_count`` characters become paragraphs that keep only content,
-    author, created_at, domain and url.  No union, no shuffle: one explode."""
-    n_tok = token_count(content)
-    split = (n_tok >= token_limit) & (F.length(content) > max_token_count)
-    pieces = F.when(split, paragraphs(sentences(content), max_token_count)).otherwise(F.array(F.col(content)))
-    x = items.withColumn("_split", split).select("*", F.posexplode(pieces).alias("chunk_no", "_piece"))
+    author, created_at, domain and url.  No union, no shuffle: one explode.
+
+    A piece may itself reach the token gate (one long sentence, or a big text of few characters):
+    it is kept, unless ``strict_prefix`` is set, which keeps an item's pieces up to the first such
+    one only.  Items that are left without a chunk are listed by :func:`chunk_report`."""
+    split, pieces = _pieces(content, token_limit, max_token_count)
+    x = items.withColumn("_split", split).withColumn("_pieces", pieces)
+    if strict_prefix:
+        x = x.withColumn("_pieces", _small_prefix(F.col("_pieces"), token_limit))
+    x = x.select("*", F.posexplode("_pieces").alias("chunk_no", "_piece")).drop("_pieces")
     dropped = [c for c in items.columns if c not in CHUNK_KEEP and c != key]
     x = x.withColumn(content, F.col("_piece"))
     for c in dropped:
@@ -148,6 +166,22 @@ def chunk_items(items: DataFrame, key: str = "item_id", content: str = "content"
     return x.drop("_piece").withColumnRenamed("_split", "was_split")
 
 
+def chunk_report(items: DataFrame, key: str = "item_id", content: str = "content",
+                 token_limit: int = TOKEN_GATE, max_token_count: int = PARAGRAPH_TOKENS) -> DataFrame:
+    """What :func:`chunk_items` makes of every item: ``(key, n_chunks, n_oversize, n_strict, status)``.
+
+    ``n_oversize`` counts chunks of ``token_limit`` tokens or more, ``n_strict`` the chunks left under
+    ``strict_prefix``.  ``status`` is ``whole``, ``split``, ``cut`` (whole or split, but the strict form loses
+    chunks) or ``no_chunk`` (only pieces of 5 characters or fewer: the item has no chunk at all)."""
+    split, pieces = _pieces(content, token_limit, max_token_count)
+    x = items.select(key, split.alias("_split"), pieces.alias("_p"))
+    x = x.select(key, "_split", F.size("_p").cast("long").alias("n_chunks"),
+                 F.size(F.filter("_p", lambda p: token_count(p) >= token_limit)).cast("long").alias("n_oversize"),
+                 F.size(_small_prefix(F.col("_p"), token_limit)).cast("long").alias("n_strict"))
+    return x.withColumn("status", F.when(F.col("n_chunks") == 0, "no_chunk").when(F.col("n_strict") < F.col("n_chunks"), "cut")
+                        .when(F.col("_split"), "split").otherwise("whole")).drop("_split")
+
+
 def normalise_for_grams(c) -> Column:
     return F.lower(F.regexp_replace(_c(c), "\n", " "))
 
@@ -159,33 +193,56 @@ def char_trigrams(col: str) -> Column:
     return F.regexp_extract_all(F.col(col), F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def train_language_profiles(docs: DataFrame, text: str, lang: str, top: int = 300) -> DataFrame:
-    """Top ``top`` character trigrams per language ``(lang, gram, n)`` from labelled
-    texts (a window group limit keeps it map-side per language)."""
-    from pyspark.sql import Window
+def _grams(docs: DataFrame, by: str, text: str) -> DataFrame:
+    """Occurrences ``(by, gram, n)`` of character trigrams, counted before they are shuffled."""
+    return (docs.select(F.col(by).alias(by), normalise_for_grams(text).alias("_t"))
+            .select(by, F.explode(char_trigrams("_t")).alias("gram")).where(F.length("gram") == 3)
+            .groupBy(by, "gram").agg(F.count(F.lit(1)).alias("n")))
 
-    g = (docs.select(F.col(lang).alias("lang"), normalise_for_grams(text).alias("_t"))
-         .select("lang", F.explode(char_trigrams("_t")).alias("gram"))
-         .where(F.length("gram") == 3).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
-    return g.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+
+def train_language_profiles(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """Every character trigram of every language with its occurrences ``(lang, gram, n)``,
+    from labelled texts; rows without a label are left out."""
+    return _grams(docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("_x")), "lang", "_x")
+
+
+#: Logarithms are summed as whole numbers of this unit, so that the sum does not depend on the order.
+LOG_UNIT = 1_000_000
+
+
+def _ln(c: Column) -> Column:
+    return F.round(F.log(c.cast("double")) * LOG_UNIT).cast("long")
 
 
 def detect_language(docs: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
-    """Best language per text: the language whose profile contains most of the
-    text's trigram occurrences (ties -> smallest code); null when none match.
-    The profile table (languages x top) is computed once and counted; up to
+    """Best language per text: the greatest sum of ``log p`` over all its trigram occurrences,
+    ``p = (n + 1) / (N + V)`` (``n`` of the trigram and ``N`` of all trigrams in the language, ``V``
+    different trigrams in all).  Ties go to the smallest code; null for a text of which no language
+    knows a trigram.  Rows of one id are one text; rows without an id get null.
+
+    As ``log p = log(n + 1) - log(N + V)``, only trigrams that a language knows are joined and the
+    rest is a figure a language and text length.  The profile is computed once and counted; up to
     ``MAX_BROADCAST_PROFILE`` rows it is sent to the executors, so that only aggregates
     per ``(doc, lang)`` leave the map side.  Beyond that the join is the planner's."""
     checkpoint_dir(docs.sparkSession)
-    profiles = profiles.select("lang", "gram").checkpoint()
+    profiles = profiles.select("lang", "gram", "n").checkpoint()
+    per_lang = profiles.groupBy("lang").agg(F.sum("n").alias("_all"))
+    vocabulary = profiles.select("gram").distinct().count()
+    floor = per_lang.select("lang", _ln(F.col("_all") + vocabulary).alias("floor"))
+    known = profiles.select("lang", "gram", _ln(F.col("n") + 1).alias("w"))
     if profiles.count() <= MAX_BROADCAST_PROFILE:
-        profiles = F.broadcast(profiles)
-    grams = (docs.select(key, normalise_for_grams(text).alias("_t"))
-             .select(key, F.explode(char_trigrams("_t")).alias("gram")).where(F.length("gram") == 3))
-    scores = grams.join(profiles, "gram").groupBy(key, "lang").agg(
-        F.count(F.lit(1)).alias("score"))
-    best = scores.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), F.col("lang"))).alias("detected"))
+        known = F.broadcast(known)
+    norm = docs.select(key, normalise_for_grams(text).alias("_t"))
+    grams = norm.select(key, F.explode(char_trigrams("_t")).alias("gram")).where(F.length("gram") == 3)
+    sums = grams.join(known, "gram").groupBy(key, "lang").agg(F.sum("w").alias("w"))
+    length = norm.groupBy(key).agg(F.sum(F.greatest(F.length("_t") - 2, F.lit(0))).alias("n"))
+    # a language that knows no trigram of a text has the sum 0 there, beside those that know one
+    langs = floor.agg(F.collect_list(F.struct("lang", "floor"))).scalar()
+    met = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", "w"))).alias("met"))
+    loss = F.transform(F.col("langs"), lambda x: F.struct(
+        (F.col("n") * x["floor"] - F.coalesce(F.try_element_at("met", x["lang"]), F.lit(0))).alias("loss"), x["lang"].alias("lang")))
+    best = (met.join(length, key).withColumn("langs", langs)
+            .select(key, F.array_min(loss)["lang"].alias("detected")))
     return docs.select(key).join(best, key, "left")
 
 

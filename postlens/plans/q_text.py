@@ -68,36 +68,63 @@ def _paragraphs(spark, sf):
     return p.select("doc_id", F.col("para_no").cast("long"), "paragraph")
 
 
-@register("chunk_items", with_views(f"""
+CHUNKS_SQL = f"""
 WITH s AS (SELECT item_id, content, language, {TOK_SQL.format(x='content')} >= 500 AND length(content) > 500 AS sp,
                   {SENTS_SQL.format(x='content')} AS s FROM V_items),
 r AS (SELECT item_id, content, language, sp, CASE WHEN sp THEN {reduce_sql('s', 500)} END AS r FROM s),
-p AS (SELECT item_id, language, sp, CASE WHEN sp THEN {PARAS_SQL} ELSE [content] END AS p FROM r)
-SELECT item_id, unnest(generate_series(0, len(p) - 1)) AS chunk_no, unnest(p) AS content,
-  CASE WHEN sp THEN NULL ELSE language END AS language, sp AS was_split FROM p""", "V_items"))
-def _chunks(spark, sf):
+p AS (SELECT item_id, language, sp, CASE WHEN sp THEN {PARAS_SQL} ELSE [content] END AS p FROM r),
+o AS (SELECT *, coalesce(list_position(list_transform(p, lambda x: {TOK_SQL.format(x='x')} >= 500), true), 0) AS big FROM p),
+q AS (SELECT *, CASE WHEN big > 0 THEN p[1:big - 1] ELSE p END AS few FROM o)
+"""
+ONE_CHUNK_SQL = """SELECT item_id, unnest(generate_series(0, len({p}) - 1)) AS chunk_no, unnest({p}) AS content,
+  CASE WHEN sp THEN NULL ELSE language END AS language, sp AS was_split FROM q WHERE len({p}) > 0"""
+
+
+def _chunk_rows(spark, sf, **options):
     it = v_items(Tables(spark, sf)).select("item_id", "content", "language")
-    c = chunking.chunk_items(it)
+    c = chunking.chunk_items(it, **options)
     return c.select("item_id", F.col("chunk_no").cast("long"), "content", "language", "was_split")
 
 
+@register("chunk_items", with_views(CHUNKS_SQL + ONE_CHUNK_SQL.format(p="p"), "V_items"))
+def _chunks(spark, sf):
+    return _chunk_rows(spark, sf)
+
+
+@register("chunk_items_strict", with_views(CHUNKS_SQL + ONE_CHUNK_SQL.format(p="few"), "V_items"))
+def _chunks_strict(spark, sf):
+    return _chunk_rows(spark, sf, strict_prefix=True)
+
+
+@register("chunk_report", with_views(CHUNKS_SQL + f"""
+SELECT item_id, len(p) AS n_chunks, len(list_filter(p, lambda x: {TOK_SQL.format(x='x')} >= 500)) AS n_oversize, len(few) AS n_strict,
+  CASE WHEN len(p) = 0 THEN 'no_chunk' WHEN len(few) < len(p) THEN 'cut' WHEN sp THEN 'split' ELSE 'whole' END AS status
+FROM q""", "V_items"))
+def _chunk_report(spark, sf):
+    return chunking.chunk_report(v_items(Tables(spark, sf)).select("item_id", "content"))
+
+
 DETECT_SQL = """
 WITH d AS (SELECT doc_id, lang, lower(replace(text, chr(10), ' ')) AS t FROM documents),
 g AS (SELECT doc_id, lang, gram FROM (SELECT doc_id, lang, substring(t, i, 3) AS gram FROM
         (SELECT doc_id, lang, t, unnest(generate_series(1, greatest(length(t) - 2, 1))) AS i FROM d) x) y
       WHERE length(gram) = 3),
-prof AS (SELECT lang, gram FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS r
-         FROM g GROUP BY lang, gram) z WHERE r <= 300),
-sc AS (SELECT g.doc_id, prof.lang, count(*) AS score FROM g JOIN prof ON g.gram = prof.gram GROUP BY 1, 2),
-best AS (SELECT doc_id, lang AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang)
-         AS r FROM sc) w WHERE r = 1)
+prof AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+base AS (SELECT lang, CAST(round(ln(CAST(sum(n) + (SELECT count(DISTINCT gram) FROM prof) AS DOUBLE)) * 1000000) AS BIGINT) AS f
+         FROM prof GROUP BY lang),
+w AS (SELECT lang, gram, CAST(round(ln(CAST(n + 1 AS DOUBLE)) * 1000000) AS BIGINT) AS w FROM prof),
+s AS (SELECT g.doc_id, w.lang, sum(w.w) AS w FROM g JOIN w ON g.gram = w.gram GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*) AS n FROM g WHERE doc_id IN (SELECT doc_id FROM s) GROUP BY doc_id),
+best AS (SELECT doc_id, lang AS detected FROM (
+           SELECT n.doc_id, base.lang, row_number() OVER (PARTITION BY n.doc_id ORDER BY n.n * base.f - coalesce(s.w, 0), base.lang) AS r
+           FROM n CROSS JOIN base LEFT JOIN s ON s.doc_id = n.doc_id AND s.lang = base.lang) x WHERE r = 1)
 SELECT d.doc_id, best.detected FROM documents d LEFT JOIN best ON d.doc_id = best.doc_id"""
 
 
 @register("detect_language", DETECT_SQL)
 def _detect(spark, sf):
     d = Tables(spark, sf).documents
-    prof = chunking.train_language_profiles(d, "text", "lang", 300)
+    prof = chunking.train_language_profiles(d, "text", "lang")
     return chunking.detect_language(d, "doc_id", "text", prof)
 
 

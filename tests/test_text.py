@@ -172,3 +172,45 @@ def test_many_documents_of_one_batch_are_the_same_as_alone(spark, monkeypatch):
     monkeypatch.setattr(G, "_WORDS", 1)
     alone = {r.doc_id: (r.a, r.similar) for r in G.candidates(df.coalesce(1), "doc_id", "text", {"a": (7, 2)}, (5, 0.1)).collect()}
     assert together == alone
+
+
+def test_chunks_that_reach_the_gate_and_items_without_chunk(spark):
+    small = " ".join(f"Sentence number {i} has some words in it." for i in range(100))
+    long_one = " ".join(f"w{i}" for i in range(600)) + "."
+    rows = [(1, "short"), (2, small), (3, small + " " + long_one + " " + small), (4, "ab. " * 600), (5, long_one + " " + small),
+            (6, "! " * 240 + "?" * 10), (7, None), (8, ""), (9, ". " * 245 + "." * 10)]
+    df = spark.createDataFrame(rows, "item_id long, content string")
+    report = {r.item_id: (r.n_chunks, r.n_oversize, r.n_strict, r.status) for r in chunking.chunk_report(df).collect()}
+    assert set(report) == set(range(1, 10))
+    assert report[1] == report[7] == report[8] == (1, 0, 1, "whole")
+    assert report[2][1:] == (0, report[2][0], "split") and report[4] == (0, 0, 0, "no_chunk")
+    assert report[3][1] == 1 and 0 < report[3][2] < report[3][0] and report[3][3] == "cut"
+    assert report[5][1] == 1 and report[5][2] < report[5][0] and report[5][3] == "cut"
+    for strict, n in ((False, 0), (True, 2)):
+        got = {}
+        for r in chunking.chunk_items(df, strict_prefix=strict).collect():
+            got.setdefault(r.item_id, []).append(r.chunk_no)
+        for i, want in report.items():
+            assert sorted(got.get(i, [])) == list(range(want[n]))
+
+
+def test_detect_language_sums_logarithms(spark):
+    import math
+    train = [(1, "the cat and the hat", "en"), (2, "le chat et le chapeau", "fr"), (3, "der hund und die katze", "de"), (4, "zzz zzz zzz", None)]
+    ask = [(1, "the chat"), (1, "and"), (2, "die katze und le chat"), (3, "qqqqqq"), (4, None), (5, "ab"), (None, "le chapeau"), (6, "the the qqq")]
+    schema = "doc_id long, text string"
+    prof = chunking.train_language_profiles(spark.createDataFrame(train, schema + ", lang string"), "text", "lang")
+    got = {r.doc_id: r.detected for r in chunking.detect_language(spark.createDataFrame(ask, schema), "doc_id", "text", prof).collect() if r.doc_id}
+    grams = lambda t: [t[i:i + 3] for i in range(len(t) - 2)]
+    count = {lang: {} for _, _, lang in train if lang}
+    for _, t, lang in train:
+        for g in grams(t) if lang else []:
+            count[lang][g] = count[lang].get(g, 0) + 1
+    v = len({g for c in count.values() for g in c})
+
+    def best(texts):
+        gs = [g for t in texts if t for g in grams(t)]
+        if not any(g in c for g in gs for c in count.values()):
+            return None
+        return max(sorted(count), key=lambda x: sum(math.log((count[x].get(g, 0) + 1) / (sum(count[x].values()) + v)) for g in gs))
+    assert got == {k: best([t for i, t in ask if i == k]) for k in range(1, 7)}
