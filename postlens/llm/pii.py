@@ -154,17 +154,38 @@ def ip(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda p: p < 256), out)
 
 
+def slash_date(m: Column, key: str) -> Column:
+    """31/12/1999 and 12/31/1999 are both in use, so one permutation runs over all strings that are
+    a date in either order: different strings never meet."""
+    p, q, year = (F.substr(m, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 2), (4, 2), (7, 4)))
+    years = 200
+    x = ((p - 1) * 31 + q - 1) * years + year - 1900
+
+    def split(v):
+        rest = F.floor(v / years).cast("long")
+        return F.floor(rest / 31).cast("long") + 1, rest % 31 + 1, v % years + 1900
+
+    def fits(day, month, of):
+        leap = (of % 4 == 0) & ((of % 100 != 0) | (of % 400 == 0))
+        return (month <= 12) & (day <= F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31))
+
+    def valid(v):
+        a, b, of = split(v)
+        return fits(a, b, of) | fits(b, a, of)
+
+    new = _walk(x, valid, lambda v: permute(v, _long(961), _long(years), "date slash", key))
+    made = let(new, lambda v: F.concat_ws("/", *[F.lpad(n.cast("string"), w, "0") for n, w in zip(split(v), (2, 2, 4))]))
+    return F.when(p.between(1, 31) & q.between(1, 31) & year.between(1900, 2099) & valid(x), made)
+
+
 def date(m: Column, key: str) -> Column:
-    forms = [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}/", "dd/MM/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy")]
-    out = F.lit(None).cast("string")
-    for lead, fmt in forms:
-        # 31/12 and 12/31 are both in use: the second reading is tried if the first is no date
-        for f in (fmt, fmt.replace("dd/MM", "MM/dd")) if "/" in fmt else (fmt,):
-            day = F.datediff(F.try_to_timestamp(m, F.lit(f)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-            ok = (day >= 0) & (day < N_DAYS)
-            new = _walk(day, lambda v: v < N_DAYS, lambda v: permute(v, _long(271), _long(270), "date " + f, key))
-            made = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), f)
-            out = F.coalesce(out, F.when(m.rlike(lead) & ok, made))
+    out = F.when(m.rlike(r"^\d{2}/"), slash_date(m, key))
+    for lead, fmt in ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.", "dd.MM.yyyy")):
+        day = F.datediff(F.try_to_timestamp(m, F.lit(fmt)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+        ok = (day >= 0) & (day < N_DAYS)
+        new = _walk(day, lambda v: v < N_DAYS, lambda v: permute(v, _long(271), _long(270), "date " + fmt, key))
+        made = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), fmt)
+        out = F.coalesce(out, F.when(m.rlike(lead) & ok, made))
     return out
 
 
@@ -194,7 +215,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Defined cases: null text stays null with an empty list; texts without personal data stay
     as they are; numbers that fail their validation (Luhn, calendar, octets, number plan of
-    social security) are left alone; dates outside 1900-2099 too.  Rows stand alone: no shuffle.
+    social security) are left alone; dates outside 1900-2099 too.  Rows stand alone: no shuffle, so
+    repeated rows come out alike, an empty table stays empty, and texts of any length are read whole
+    (no pattern takes stack per character).  A column ``pii`` of ``docs`` is replaced.
     """
     make = {"email": email, "secret": secret, "phone": phone, "ssn": ssn, "date": date, "ip": ip}
 

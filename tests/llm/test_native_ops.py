@@ -211,3 +211,24 @@ def test_pii_query_leaves_no_known_value(spark, texts):
         if not r["pii"]:
             assert r["text"] == texts[r["doc_id"]]
     assert found
+
+
+def test_slash_dates_are_permuted_as_one_set(spark):
+    from postlens.llm import pii
+    days = spark.range(0, pii.N_DAYS).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    both = days.select(F.explode(F.array(F.date_format("d", "dd/MM/yyyy"), F.date_format("d", "MM/dd/yyyy"))).alias("s")).distinct()
+    out = both.select("s", pii.date(F.col("s"), "key").alias("t")).cache()
+    assert out.count() == out.select("t").distinct().count() == 117_298
+    assert out.join(both.select(F.col("s").alias("t")), "t", "left_semi").count() == 117_298  # the same set
+    assert out.filter("s = t").count() < 20
+    bad = ["31/04/2020", "13/13/2020", "29/02/1900", "00/01/2000", "01/00/2000", "32/01/2000", "01/01/1899", "01/01/2100", "30/02/2000"]
+    assert [r[0] for r in spark.createDataFrame([(b,) for b in bad], "s string").select(pii.date(F.col("s"), "key")).collect()] == [None] * len(bad)
+    out.unpersist()
+
+
+def test_long_runs_of_every_pattern_need_no_stack(spark):
+    from postlens.llm import pii
+    runs = ["x@" + "a." * 20_000, "a" * 40_000 + "@", "password=" + "x" * 40_000, "1-" * 20_000, "4111 " * 20_000, "1." * 20_000,
+            "12/" * 20_000, "+1 " * 20_000, "AKIA" * 10_000, "(555) " * 10_000, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "doc_id long, text string")
+    assert pii.pseudonymise(df, "key").select(F.count("text")).first()[0] == len(runs)
