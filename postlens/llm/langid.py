@@ -8,12 +8,13 @@ rows; scoring is a vectorised function over Arrow batches, with no shuffle.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -23,8 +24,10 @@ UNKNOWN = "und"
 BITS = 13
 DIM = 1 << BITS
 ROWS = 128  # texts whose dense features are held at a time
-#: Most labelled rows that a fit uses, all languages together.
+#: Labelled rows that a fit uses, all languages together; each is taken by the hash of its id, so their number is about this.
 MAX_TRAIN_ROWS = 800
+#: Parts of the hash by which rows are taken.
+PARTS = 1_000_000
 #: Words of the short excerpt that a fit takes of each text besides the whole.
 EXCERPT = 6
 #: Families of closely related languages; a language not named is a family of its own.
@@ -132,19 +135,21 @@ def _excerpt(text: str) -> str:
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
         max_rows: int = MAX_TRAIN_ROWS, families: dict = FAMILIES) -> Model | None:
-    """Fit on at most ``max_rows`` rows of ``labelled`` (text and lang not null), spread evenly
-    over the languages and chosen by a hash of the id; None if there are none.  The sample is
-    chosen on ids alone; its features, not its texts, come to the driver.
+    """Fit on about ``max_rows`` rows of ``labelled`` (text and lang not null), spread evenly
+    over the languages and chosen by a hash of the id; None if there are none.  A language gets the
+    share of its rows that makes up its part of ``max_rows``, so nothing is ranked; of an id given
+    more than once in a language the smallest text is taken.  Only features, no texts, come to the driver.
     """
     bound_batches(labelled.sparkSession)
     d = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = d.select("lang").distinct().count()
-    if not n:
+    # a row per language: their number is small beside max_rows
+    sizes = {r["lang"]: r["n"] for r in d.filter("id is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = (d.filter("id is not null").select("id", "lang").distinct()
-           .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(1, max_rows // n)).select("id", "lang"))
+    quota = max(1, max_rows // len(sizes))
+    parts = F.create_map(*map(F.lit, chain.from_iterable((lang, min(PARTS, math.ceil(PARTS * quota / n))) for lang, n in sizes.items())))
+    chosen = d.filter(F.pmod(F.xxhash64("id"), F.lit(PARTS)) < F.try_element_at(parts, F.col("lang")))
 
     def sparse(batches):
         for pdf in batches:
@@ -156,8 +161,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
                     out.append((l, at.tobytes(), v[at].astype(np.float32).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "at", "v"])
 
-    # at most max_rows ids, so the sample may be sent to every executor
-    rows = (d.join(F.broadcast(ids), ["id", "lang"]).limit(2 * max_rows)
+    rows = (chosen.groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
             .mapInPandas(sparse, "lang string, at binary, v binary").collect())
     if not rows:
         return None
