@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most about ``max_rows`` labelled documents (spread by a hash of the id).
 
     ``labels`` holds the rows that may be learnt from.  A doc_id labelled more than once
-    counts as toxic if any of its labels does; null ids and labels are left out.  Without
+    counts as toxic if any of its labels does, and of its texts the smallest is learnt from; null
+    ids and labels are left out.  Without
     rows of both labels the model is the constant share of label 1 (0 without rows).
     """
     y = (labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         y = y.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     # about max_rows ids, so the sample may be sent to every executor
     rows = (docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-            .join(F.broadcast(y), "id").limit(2 * max_rows).select("id", "y", "text", part.alias("part")).repartition(6, "id").checkpoint())
+            .join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+            .select("id", "y", "text", part.alias("part")).repartition(6, "id").checkpoint())
     count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return Model(base=float(next(iter(count), 0)))
