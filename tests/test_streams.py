@@ -114,3 +114,19 @@ def test_sliding_counts_over_panes(spark, tmp_path):
     assert got == {(r.k, r.window.start, r["count"]) for r in want.collect()}
     plan = stream.transform(lambda s: streams.sliding_count_stream(s, "k"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("Aggregate [") == 2
+
+
+def test_folds_run_under_a_session_with_another_state_store(spark, tmp_path):
+    """A session that others have built has Spark's own store, which can't hold list and value state side by side."""
+    rows, files = _mixed(4, n=60)
+    stream = _feed(spark, str(tmp_path / "in"), files)
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(streams.STATE_STORE)
+    spark.conf.set(streams.STATE_STORE, other)
+    try:
+        out = streams.run_available(streams.change_events_stream(stream, "k", "ts", "id", "v", "600 seconds"), name="other").collect()
+        assert spark.conf.get(streams.STATE_STORE) == other
+    finally:
+        spark.conf.set(streams.STATE_STORE, before)
+    want = {(k, r[1]) for k, mine in _by_key(rows).items() for p, r in zip([None, *mine], mine) if not p or p[3] != r[3]}
+    assert {(r.key, r.row_id) for r in out if not r.late and r.key != "~"} == want
