@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.selection import LIMIT, exact_median
@@ -171,7 +171,9 @@ def merge_chunks(chunks: DataFrame, label: str = "label", score: str = "score",
     if not large:  # at most LIMIT chunks an item: one list of all that is merged inside the row
         listed = [F.col(chunk).alias("chunk"), F.array(*[F.col(c).cast("double") for c in median_cols]).cast("array<double>").alias("figures"),
                   *[F.col(c).alias(f"m{i}") for i, c in enumerate(voted)], *([F.col(keywords).alias("words")] if keywords else []), *([F.col(embedding).alias("vector")] if embedding else [])]
-        aggs.append(F.collect_list(F.struct(*listed)).alias("_rows"))
+        # gathered over sorted rows, an item at a time: an aggregate would hold (and spill) the lists of all items of a task
+        chunks = chunks.withColumn("_rows", F.collect_list(F.struct(*listed)).over(Window.partitionBy(item)))
+        aggs.append(F.first("_rows").alias("_rows"))
     if first_cols:
         aggs.append(F.min_by(F.struct(*first_cols), F.col(chunk)).alias("_first"))
     out = chunks.groupBy(item).agg(*aggs).where((F.col("n_chunks") == 1) | ~F.col("_failed")).drop("_failed")

@@ -66,3 +66,17 @@ def test_rules_follow_the_schema_and_only_where_the_object_is_there(spark):
     got = [r.violations for r in rules.with_violations(spark.createDataFrame(rows, kind), tree).collect()]
     assert got == [["missing:gone"], ["missing:a", "missing:gone"], ["enum:s", "missing:a.n", "missing:gone", "unique:a.tags"],
                    ["missing:gone", "null:a.tags[]", "pattern:a.tags[]"]]
+
+
+def test_merge_gathers_lists_without_a_second_shuffle(spark, tmp_path):
+    """Chunks numbered by a window over the item are merged where they are: one shuffle, no list aggregate over hashes."""
+    from postlens.tables import Tables
+    from postlens.views import lineitem_chunks
+
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate date, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(o, n, 1, 2, float(n), None, 1.0, "AB"[n % 2], "X") for o in (1, 2, None) for n in range(3)], cols).write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = lineitem_chunks(Tables(spark, str(tmp_path))).select("item_id", "chunk_no", F.col("l_returnflag").alias("label"), F.col("l_extendedprice").alias("score"), F.col("l_linestatus").alias("source_type"))
+    out = merge.merge_chunks(c, median_cols=["score"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ObjectHashAggregate" not in plan
+    assert {(r.item_id, r.n_chunks, r.score_median, r.label) for r in out.collect()} == {(1, 3, 1.0, "A"), (2, 3, 1.0, "A"), (None, 3, 1.0, "A")}
