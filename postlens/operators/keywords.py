@@ -37,12 +37,20 @@ def noise_filter(c: DataFrame, key: str = "doc_id") -> DataFrame:
     '-'; non-letters counted **before** trimming, length **after**; edge
     characters outside ``[A-Za-z0-9 ]`` trimmed (so accented letters go too);
     ``\\uXXXX`` removed; a letter required; at most 20 % non-letters; first-seen dedup."""
-    x = c.select(key, "pos", _quiet(F.col("kw")).alias("kw")).where("kw is not null")
-    return first_seen(x, key)
+    return first_seen(c.select(key, "pos", _kept(_quiet(F.col("kw")))), key)
+
+
+def _kept(kw: Column) -> Column:
+    """The column ``kw`` without its nulls, computed once a row (a filter would compute it again)."""
+    return F.explode(F.array_compact(F.array(kw))).alias("kw")
 
 
 def _quiet(kw: Column) -> Column:
     """A candidate trimmed, or null if the noise rule drops it."""
+    return F.when(kw.rlike(r"^[A-Za-z]+\z"), kw).otherwise(_quiet_marked(kw))  # most words: nothing to trim or count
+
+
+def _quiet_marked(kw: Column) -> Column:
     special = F.length(F.regexp_replace(kw, r"\p{L}", ""))  # non-letters of the untrimmed word
     trimmed = F.regexp_replace(F.regexp_replace(kw, "^[^A-Za-z0-9 ]+|[^A-Za-z0-9 ]+$", ""), r"\\u[0-9a-fA-F]{4}", "")
     return F.when(~kw.rlike(PUNCT_NO_HYPHEN) & (F.length(trimmed) > 0) & (special * 100 <= NOISE_MAX_PERCENT * F.length(trimmed))
@@ -119,7 +127,8 @@ def _parts(kw: Column) -> Column:
 
 def drop_invalid(c: DataFrame, key: str = "doc_id") -> DataFrame:
     """Remove '//' and URLs to the end of the line; keep 3..100 characters; first-seen dedup."""
-    return first_seen(c.withColumn("kw", _without_urls(F.col("kw"))).where(_is_valid(F.col("kw"))), key)
+    x = c.select(key, "pos", F.explode(F.array(_without_urls(F.col("kw")))).alias("kw"))  # computed once a row
+    return first_seen(x.where(_is_valid(F.col("kw"))), key)
 
 
 def _without_urls(kw: Column) -> Column:

@@ -27,7 +27,7 @@ f AS (SELECT doc_id, pos, length(regexp_replace(kw, '\\p{{L}}', '', 'g')) AS sp,
 g AS (SELECT * FROM f WHERE length(kw) > 0 AND sp * 100 <= 20 * length(kw) AND regexp_matches(kw, '\\p{{L}}'))
 SELECT doc_id, min(pos) AS pos, kw FROM g GROUP BY doc_id, kw""")
 def _noise(spark, sf):
-    d = Tables(spark, sf).documents
+    d = spread(Tables(spark, sf).documents.select("doc_id", "text"))
     return K.noise_filter(K.words(d, "doc_id", "text")).select("doc_id", F.col("pos").cast("long"), "kw")
 
 
@@ -81,7 +81,7 @@ c AS (SELECT doc_id, pos, regexp_replace(kw, '//|https?://.*[\\r\\n]*', '', 'g')
 SELECT doc_id, min(pos) AS pos, kw FROM c WHERE length(kw) > 2 AND length(kw) <= 100 GROUP BY doc_id, kw""",
                                     "V_ticker_text"))
 def _drop_invalid(spark, sf):
-    t = v_ticker_text(Tables(spark, sf))
+    t = spread(v_ticker_text(Tables(spark, sf)))
     return K.drop_invalid(K.words(t, "doc_id", "text")).select("doc_id", F.col("pos").cast("long"), "kw")
 
 
@@ -92,7 +92,7 @@ o AS (SELECT doc_id, pos, CASE WHEN upper(kw) = kw AND lower(kw) <> kw THEN [kw,
 x AS (SELECT doc_id, pos, unnest(generate_series(0, len(o) - 1)) AS sub, unnest(o) AS kw FROM o)
 SELECT doc_id, min(pos * 2 + sub) AS pos, kw FROM x GROUP BY doc_id, kw""", "V_ticker_text"))
 def _case(spark, sf):
-    t = v_ticker_text(Tables(spark, sf))
+    t = spread(v_ticker_text(Tables(spark, sf)))
     return K.case_expand(K.words(t, "doc_id", "text")).select("doc_id", F.col("pos").cast("long"), "kw")
 
 

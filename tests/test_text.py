@@ -214,3 +214,28 @@ def test_detect_language_sums_logarithms(spark):
             return None
         return max(sorted(count), key=lambda x: sum(math.log((count[x].get(g, 0) + 1) / (sum(count[x].values()) + v)) for g in gs))
     assert got == {k: best([t for i, t in ask if i == k]) for k in range(1, 7)}
+
+
+def test_noise_filter_and_url_rule_run_once_a_row(spark):
+    """A rule that is computed for a filter and again for its result costs twice; plain words need none of it."""
+    c = spark.createDataFrame([(1, 0, "word"), (1, 1, "word"), (1, 2, "word\n"), (None, 0, "é-bc"), (1, 3, "a1"), (1, 4, None)], "doc_id long, pos long, kw string")
+    got = {(r.doc_id, r.pos, r.kw) for r in K.noise_filter(c).collect()}
+    assert got == {(1, 0, "word")}
+    for made, rule in ((K.noise_filter(c), "^[A-Za-z]+"), (K.drop_invalid(c), "https?://")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count(rule) == 1
+
+
+def test_strict_prefix_of_texts_with_and_without_a_split(spark):
+    """Against the rule piece by piece: whole texts at and over the gate, split ones with a large piece first, later or never."""
+    long, short = " ".join(["w"] * 520), " ".join(["word"] * 200)
+    texts = [None, "", "one two", " ".join(["w"] * 100), long + ".", ". ".join([short] * 4), short + ". " + long + ". " + short, long + ". " + short]
+    df = spark.createDataFrame(list(enumerate(texts)), "item_id long, content string")
+    every, strict = ({}, {})
+    for out, flag in ((every, False), (strict, True)):
+        for r in chunking.chunk_items(df, strict_prefix=flag).withColumn("n", chunking.token_count("content")).orderBy("item_id", "chunk_no").collect():
+            out.setdefault(r.item_id, []).append((r.content, r.n))
+    for i, pieces in every.items():
+        big = [k for k, (_, n) in enumerate(pieces) if n >= chunking.TOKEN_GATE]
+        assert strict.get(i, []) == (pieces[:big[0]] if big else pieces)
+    plan = chunking.chunk_items(df, strict_prefix=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(content") == 1
