@@ -239,3 +239,18 @@ def test_strict_prefix_of_texts_with_and_without_a_split(spark):
         assert strict.get(i, []) == (pieces[:big[0]] if big else pieces)
     plan = chunking.chunk_items(df, strict_prefix=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(content") == 1
+
+
+def test_detect_language_meets_one_row_a_trigram(spark, monkeypatch):
+    """Weights as columns and as rows give the same languages: repeated and null ids, texts of no known trigram, ties."""
+    train = [("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), ("chat chat", None), (None, "en"), ("zz", "xx")]
+    prof = chunking.train_language_profiles(spark.createDataFrame(train, "text string, lang string"), "text", "lang")
+    ask = spark.createDataFrame([(1, "the dog"), (1, "und die"), (2, "chien"), (3, "QQQQ"), (4, None), (5, "ab"), (None, "the"), (6, "Katze\nund"), (7, "cha")], "doc_id long, text string")
+
+    def found():
+        return sorted(((r.doc_id, r.detected) for r in chunking.detect_language(ask, "doc_id", "text", prof).collect()), key=str)
+    plan = chunking.detect_language(ask, "doc_id", "text", prof)._jdf.queryExecution().optimizedPlan().toString()
+    wide = found()
+    monkeypatch.setattr(chunking, "MAX_WIDE_LANGUAGES", 0)
+    assert wide == found() and dict(wide)[2] == "fr" and dict(wide)[3] is None
+    assert "map_from_entries" not in plan
