@@ -33,15 +33,19 @@ MIN_ITEM_WORDS = 8
 WALKS, TABLES, PLACES = 2, 5, 5  # independent walks, tables of each, sampled places of a table
 #: Words of the benchmark whose tables are held at a time; a larger one is taken in blocks.
 BLOCK_WORDS = 500_000
-CHUNK = 1 << 13  # words of documents walked at a time
+CHUNK = 1 << 14  # words of documents walked at a time
+SEARCH_BYTES = 1 << 20  # bytes of documents hashed and searched together (a longer one alone)
 STEP = 3  # candidate places this close are verified together
 #: Letters (ASCII in lower case), digits and bytes beyond ASCII; all else becomes a space.
 _LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256)).lower()
 _PAD = np.uint64(0xD1B54A32D192ED03)
 _SEEDS = np.random.default_rng(41).integers(1, 1 << 63, (WALKS, 64), dtype=np.uint64)
-_ODD = np.random.default_rng(43).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_ODD = np.random.default_rng(43).integers(1, 1 << 32, 64, dtype=np.uint32) | np.uint32(1)
+_PAD32 = _PAD.astype(np.uint32)
+#: Steps after which windows whose walks have met are walked as one.
+MEETINGS = (3, 9, 21)
 PIECE = 1 << 16  # bytes of a text whose words are hashed at a time
-MIN_BITMAP = 16  # bits of a key that a bitmap of the keys looks at, at least
+MIN_BITMAP, MAX_BITMAP = 16, 28  # bits of a key that a bitmap of the keys looks at
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +66,29 @@ _POWER, _BACK = _powers(2 * PIECE)
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of every word, all at once: differences of a running polynomial sum."""
-    flat, out, lo = text.translate(_LETTERS), [np.zeros(0, np.uint64)], 0
+    return words_of([text])[0]
+
+
+def words_of(texts: list[bytes]) -> list[np.ndarray]:
+    """The word hashes of each text; short texts are hashed together."""
+    flat = b" ".join([*texts, b""]).translate(_LETTERS)  # a space ends every text
+    out, places, lo = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while lo < len(flat):
-        hi = len(flat) if lo + PIECE >= len(flat) else flat.find(b" ", lo + PIECE)
-        b = np.frombuffer(flat, np.uint8, (len(flat) if hi < 0 else hi) - lo, lo)
-        lo += len(b) + 1
-        edges = np.flatnonzero(np.diff((b != 32).view(np.int8), prepend=0, append=0))
+        hi = flat.find(b" ", min(lo + PIECE, len(flat) - 1)) + 1
+        b = np.frombuffer(flat, np.uint8, hi - lo, lo)
+        letter = np.empty(len(b) + 1, bool)
+        letter[0] = False
+        np.not_equal(b, 32, out=letter[1:])
+        edges = np.flatnonzero(letter[1:] != letter[:-1])  # the last byte is a space
         first, end = edges[::2], edges[1::2]
         power, back = (_POWER, _BACK) if len(b) < len(_POWER) else _powers(len(b) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(power[: len(b)] * b, dtype=np.uint64)])
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(power[: len(b)] * b, out=total[1:])
         out.append(_mix((total[end] - total[first]) * back[first]))
-    return np.concatenate(out)
+        places.append(first + lo)
+        lo = hi
+    ends = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    return np.split(np.concatenate(out), np.searchsorted(np.concatenate(places), ends)) if texts else []
 
 
 def sampled_places(width: int) -> np.ndarray:
@@ -83,38 +99,58 @@ def sampled_places(width: int) -> np.ndarray:
                              for _ in range(WALKS)]), axis=2)
 
 
-def walk_keys(words: np.ndarray, widths: list[int]) -> list[np.ndarray]:
-    """For each width: keys (walk * table, window) of the windows that start at each word."""
+def reading_plan(widths: list[int]) -> list[dict[int, dict[int, list]]]:
+    """For each walk the steps that are read, and which (row of keys, place) of which width reads them."""
+    places = [sampled_places(w) for w in widths]
+    plan: list[dict[int, dict[int, list]]] = [{} for _ in range(WALKS)]
+    for r in range(WALKS):
+        for c, sampled in enumerate(places):
+            for t in range(TABLES):
+                for k, j in enumerate(sampled[r, t]):
+                    plan[r].setdefault(int(j), {}).setdefault(c, []).append((r * TABLES + t, k))
+    return plan
+
+
+def walk_keys(words: np.ndarray, widths: list[int], plan: list | None = None) -> list[np.ndarray]:
+    """For each width: keys (walk * table, window) of the windows that start at each word.
+
+    Walks of neighbouring windows meet and go on together, so from time to time only those
+    that are still apart are kept on (``at``, with ``group`` telling each window's walk).
+    """
     n = len(words)
     padded = np.concatenate([words, np.full(2 * max(widths) + 1, _PAD)])
+    symbols = padded.astype(np.uint32)
     base = np.arange(n)
-    plans = [sampled_places(w) for w in widths]
-    keys = [np.zeros((WALKS * TABLES, n), np.uint64) for _ in widths]
-    symbol, term, move = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint8)
-    for r in range(WALKS):
-        reads: dict[int, dict[int, list]] = {}
-        for c, plan in enumerate(plans):
-            for t in range(TABLES):
-                for k, j in enumerate(plan[r, t]):
-                    reads.setdefault(int(j), {}).setdefault(c, []).append((r * TABLES + t, k))
-        at = base.copy()
+    keys = [np.zeros((WALKS * TABLES, n), np.uint32) for _ in widths]
+    symbol, term, place = np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.int64)
+    for r, reads in enumerate(plan or reading_plan(widths)):
+        at, group, move = base.copy(), None, np.empty(n, np.uint64)
         for j in range(max(reads) + 1):
             if j % 64 == 0:
                 coins = _mix(padded ^ _SEEDS[r, j // 64 % 64] ^ np.uint64(j // 64))
             if j in reads:
-                np.take(padded, at, out=symbol, mode="clip")
+                now = at if group is None else at.take(group, out=place, mode="clip")
+                symbols.take(now, out=symbol, mode="clip")
                 for c, tables in reads[j].items():
                     # a pointer that has left the window reads padding; it can't have before step width
-                    seen = symbol if j < widths[c] else np.where(at - base < widths[c], symbol, _PAD)
+                    seen = symbol if j < widths[c] else np.where(now - base < widths[c], symbol, _PAD32)
                     for t, k in tables:
                         np.multiply(seen, _ODD[k], out=term)
                         keys[c][t] += term
-            bits = ((coins >> np.uint64(j % 64)) & np.uint64(1)).astype(np.uint8)
-            np.take(bits, at, out=move, mode="clip")
-            at += move
+            coins.take(at, out=move, mode="clip")
+            move >>= np.uint64(j % 64)
+            move &= np.uint64(1)
+            at += move.view(np.int64)
+            if j in MEETINGS:
+                apart = np.empty(len(at), bool)
+                apart[:1] = True
+                np.not_equal(at[1:], at[:-1], out=apart[1:])  # walks never overtake each other
+                met = np.cumsum(apart) - 1
+                at, group = at[apart], met if group is None else met[group]
+                move = np.empty(len(at), np.uint64)
     for k in keys:  # the tables look at the high bits
-        k ^= k >> np.uint64(32)
-        k *= np.uint64(0x9E3779B97F4A7C15)
+        k ^= k >> np.uint32(16)
+        k *= np.uint32(0x9E3779B1)
     return keys
 
 
@@ -125,7 +161,7 @@ class Table:
     item: np.ndarray
     offset: np.ndarray
     bitmap: np.ndarray
-    shift: np.uint64
+    shift: np.uint32
 
 
 @dataclass
@@ -135,6 +171,7 @@ class Index:
     widths: list[int] = field(default_factory=list)
     tables: list[list[Table]] = field(default_factory=list)
     _distinct: list[frozenset] = field(default_factory=list)
+    _plan: list = field(default_factory=list)
 
     @property
     def distinct(self) -> list[frozenset]:
@@ -160,8 +197,8 @@ class Index:
             tables = []
             for row in keys:
                 order = np.argsort(row, kind="stable")
-                shift = np.uint64(64 - max(MIN_BITMAP, len(row).bit_length() + 5))
-                bitmap = np.zeros(1 << (64 - int(shift)), bool)
+                shift = np.uint32(32 - min(MAX_BITMAP, max(MIN_BITMAP, len(row).bit_length() + 5)))
+                bitmap = np.zeros(1 << (32 - int(shift)), bool)
                 bitmap[row >> shift] = True
                 tables.append(Table(row[order], item[order], offset[order], bitmap, shift))
             self.widths.append(width)
@@ -172,9 +209,10 @@ class Index:
         """Rows (item, window, place): at the window the item may stand, beginning about the
         place, which may lie outside."""
         found = [np.zeros((0, 3), np.int64)]
-        for c, keys in enumerate(walk_keys(words, self.widths)) if self.widths else ():
+        self._plan = self._plan or reading_plan(self.widths)
+        for c, keys in enumerate(walk_keys(words, self.widths, self._plan)) if self.widths else ():
             for table, row in zip(self.tables[c], keys):
-                at = np.flatnonzero(table.bitmap[(row >> table.shift).astype(np.int64)])
+                at = np.flatnonzero(table.bitmap.take((row >> table.shift).astype(np.int64), mode="clip"))
                 if not len(at):
                     continue
                 lo = np.searchsorted(table.keys, row[at], "left")
@@ -260,12 +298,12 @@ def _searcher(shared):
         for s in batches:
             texts, out, size = [], [], 0
             for x in s:
-                texts.append(word_hashes(x or b""))
+                texts.append(x or b"")
                 size += len(texts[-1])
-                if size > CHUNK:
-                    out += search(shared.value, texts)
+                if size > SEARCH_BYTES:
+                    out += search(shared.value, words_of(texts))
                     texts, size = [], 0
-            yield pd.Series(out + search(shared.value, texts), dtype=object)
+            yield pd.Series(out + search(shared.value, words_of(texts)), dtype=object)
     return run
 
 

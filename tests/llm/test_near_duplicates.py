@@ -300,6 +300,54 @@ def test_decontamination_cases(spark, docs_of):
     assert decontam.find_items(docs_of(), bench).collect() == []
 
 
+def test_walks_that_met_give_the_keys_of_lone_walks():
+    rng = random.Random(12)
+    texts = [b"", b"  ", " ".join(rng.choice(["a", "b", "c\n", "été", "d,e"]) for _ in range(700)).encode(), b"one", b"x" * 70_000 + b" y", b"Z z. "]
+    hashes = decontam.words_of(texts)
+    assert decontam.words_of([]) == []
+    assert [x.tolist() for x in hashes] == [decontam.word_hashes(t).tolist() for t in texts]
+    assert [len(x) for x in hashes] == [len(_tokens(t.decode())) for t in texts]
+    words, widths = hashes[2], [8, 20]
+    together = decontam.walk_keys(words, widths)
+    for k in (0, 1, 350, len(words) - 1):  # one window alone never meets another
+        for a, b in zip(together, decontam.walk_keys(words[k:k + 41], widths)):
+            assert (a[:, k] == b[:, 0]).all()
+        # the walk step by step, in whole numbers
+        padded = np.concatenate([words, np.full(41, decontam._PAD)])
+        for r, reads in enumerate(decontam.reading_plan(widths)):
+            at, want = k, [[0] * decontam.TABLES for _ in widths]
+            for j in range(40):
+                for c, tables in reads.get(j, {}).items():
+                    seen = padded[at] if at - k < widths[c] else decontam._PAD
+                    for t, place in tables:
+                        want[c][t - r * decontam.TABLES] += int(seen) * int(decontam._ODD[place])
+                at += int(decontam._mix(padded[at:at + 1] ^ decontam._SEEDS[r, 0])[0]) >> j & 1
+            for c, sums in enumerate(want):
+                for t, x in enumerate(sums):
+                    x %= 1 << 32
+                    assert int(together[c][r * decontam.TABLES + t, k]) == (x ^ x >> 16) * 0x9E3779B1 % (1 << 32)
+
+
+def test_what_a_walk_reads_is_planned_once_an_index(monkeypatch):
+    item = decontam.word_hashes(" ".join(f"w{k}" for k in range(20)).encode())
+    index = decontam.Index.build([1], [item])
+    texts = [np.concatenate([item, decontam.word_hashes(f"other {k}".encode())]) for k in range(50)]
+    planned, real = [], decontam.sampled_places
+    monkeypatch.setattr(decontam, "sampled_places", lambda width: planned.append(width) or real(width))
+    monkeypatch.setattr(decontam, "CHUNK", 64)
+    assert all(len(hits) == 1 for hits in decontam.search(index, texts))
+    assert len(planned) <= len(index.widths)
+
+
+def test_decontamination_when_a_batch_ends_with_a_search(spark, docs_of, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "SEARCH_BYTES", 10)
+    docs = docs_of(*[(k, f"other {k} {item}" if k % 2 else None) for k in range(6)]).coalesce(1)
+    got = {r["doc_id"]: len(r["hits"]) for r in decontam.find_items(docs, bench).collect()}
+    assert got == {k: k % 2 for k in range(6)}
+
+
 def test_pairs_of_lines_at_once_match_plain_sets():
     from postlens.llm import line_dedup
     rng = random.Random(11)
