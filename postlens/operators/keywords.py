@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.operators.termgraph import candidates
+from postlens.operators.termgraph import candidates, stay_of_lists
 
 MAX_KEYWORD_LENGTH = 100
 NOISE_MAX_PERCENT = 20      # the code's threshold (its comment says 30 %)
@@ -216,10 +216,13 @@ def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SI
     """Greedy removal in order of ``rank``: a term goes if it is more than ``threshold`` similar
     (``1 - levenshtein / max length``) to a better term of its document that stays; the first
     ``top`` that stay are returned with their ranks.  The ranked terms of one document are
-    folded inside one row (a document bounds them)."""
-    terms = F.array_sort(F.collect_list(F.struct("rank", "term")))
-    lists = ranked.groupBy(key).agg(terms.alias("_terms"))
-    stays = lists.select(F.col(key), F.inline(_greedy(F.col("_terms"), lambda x: x["term"], threshold, top)))
+    compared in one row of an Arrow batch (a document bounds them); null keys, ranks and terms
+    are left out."""
+    ranks = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    lists = ranked.where(F.col(key).isNotNull()).groupBy(key).agg(ranks.alias("_terms"))
+    stays = stay_of_lists(lists, threshold, top)
+    if len(ranked.columns) == 3:  # nothing but what the lists hold
+        return stays.select(*ranked.columns)
     return ranked.join(stays, [key, "term", "rank"], "left_semi")
 
 

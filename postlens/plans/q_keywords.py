@@ -197,7 +197,7 @@ SELECT doc_id, term, rank FROM one JOIN (SELECT doc_id, unnest(kept) AS term FRO
 def _near_dup(spark, sf):
     d = spread(Tables(spark, sf).documents.select("doc_id", "text"))
     u = K.unigram_stats(d, "doc_id", "text", window=1, top=None)
-    return K.near_dup(u).select("doc_id", "term", F.col("rank").cast("long"))
+    return K.near_dup(u.select("doc_id", "term", "rank")).select("doc_id", "term", F.col("rank").cast("long"))
 
 
 def _label_vectors(t: Tables):

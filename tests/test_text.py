@@ -254,3 +254,90 @@ def test_detect_language_meets_one_row_a_trigram(spark, monkeypatch):
     monkeypatch.setattr(chunking, "MAX_WIDE_LANGUAGES", 0)
     assert wide == found() and dict(wide)[2] == "fr" and dict(wide)[3] is None
     assert "map_from_entries" not in plan
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def _greedy(terms, threshold):
+    """The terms that stay, one after another against all better ones."""
+    out = []
+    for b in terms:
+        for a in out:
+            longer = max(len(a), len(b))
+            near = longer > int(1 / (1 - threshold)) and abs(len(a) - len(b)) < longer * (1 - threshold)
+            if 1.0 - _levenshtein(a, b) / longer > threshold if near else a == b:
+                break
+        else:
+            out.append(b)
+    return out
+
+
+def _similar_terms(n, seed):
+    import random
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        t = list(rng.choice(out)) if out and rng.random() < 0.7 else [rng.choice("abé😀") for _ in range(rng.choice([1, 3, 9, 10, 11, 12, 19, 20, 21, 25, 31, 45]))]
+        for _ in range(rng.randrange(4) if out else 0):
+            k = rng.randrange(len(t) + 1)
+            t[k:k + rng.randrange(2)] = rng.choice([[], ["x"], ["b"]])
+        out.append("".join(t) or "a")
+    return out
+
+
+def test_near_dup_is_the_greedy_rule_without_a_join(spark):
+    lists = {d: _similar_terms(90, d) for d in range(12)}
+    rows = [(d, t, k + 1) for d, ts in lists.items() for k, t in enumerate(ts)]
+    df = spark.createDataFrame(rows + [(None, "lone", 1), (50, None, 1), (50, "some", None), (50, "same", 2), (50, "same", 2), (50, "same", 3)],
+                               "doc_id long, term string, rank int")
+    for threshold, top in ((0.9, None), (0.9, 7), (0.8, None)):
+        out = K.near_dup(df, threshold=threshold, top=top)
+        got = {}
+        for r in out.orderBy("doc_id", "rank").collect():
+            got.setdefault(r.doc_id, []).append((r.term, r["rank"]))
+        assert got.pop(50) == [("same", 2), ("same", 2)]
+        assert got == {d: [(t, ts.index(t) + 1) for t in _greedy(ts, threshold)[:top]] for d, ts in lists.items()}
+        more = K.near_dup(df.withColumn("tf", F.lit(3)), threshold=threshold, top=top)
+        assert more.columns == ["doc_id", "term", "rank", "tf"] and sorted(more.drop("tf").collect()) == sorted(out.collect())
+    plan = K.near_dup(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "levenshtein" not in plan
+
+
+def test_best_terms_are_those_of_the_whole_lists(spark, monkeypatch):
+    from postlens.operators import termgraph as G
+    near = "internationalisation internationalization internationalisations internationalizations "
+    texts = [". ".join(TALK), near * 3 + "of " + near, None, "", " ".join(_similar_terms(80, 3)) + ". " + " of ".join(_similar_terms(60, 4)), "? !"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for head in (4, 1):
+        monkeypatch.setattr(G, "_HEAD", head)
+        for window, longest, top in ((1, 1, 20), (7, 2, 10), (1, 1, 2)):
+            for r in G.candidates(df, "doc_id", "text", {"all": (window, longest)}, None, {"best": (window, longest, top, 0.9)}).collect():
+                assert r.best == _greedy([x.term for x in r.all], 0.9)[:top]
+    plan = K.extract_keywords(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan
+
+
+def test_unfiltered_candidates_of_the_chain_are_those_of_the_operators(spark):
+    import random
+    rng = random.Random(5)
+    bits = ["$", "$BTC", "a$b", "S&P500", "U.S.", "NASA", "\U0001D400x", "É-É", "word", "Word,", ",A", "(AB/c)", " ", "  ", "\n", "\n\n", "\t", "\r\n", "A", "$,.", "x", "\u00a0", "aB"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for rule in (K.tickers, K.special_tokens, K.acronyms):
+        c = rule(df, "doc_id", "text").select("doc_id", F.col("pos").cast("long").alias("pos"), "kw")
+        for r in K.case_expand(K.drop_invalid(K.split_joined(c))).collect():
+            want.setdefault(r.doc_id, set()).add(r.kw)
+    plain = {r.doc_id: r.best + [x.term for x in r.similar] for r in K.candidates(
+        df, "doc_id", "text", None, (5, 0.175), {"best": (1, 1, 20, 0.9)}).collect()}
+    for r in K.extract_keywords(df, "doc_id", "text").collect():
+        assert want.get(r.doc_id, set()) <= set(r.keywords)
+        assert all(k.lower() == k and k.isalpha() or " " in k or k in want.get(r.doc_id, ()) or k in plain[r.doc_id] for k in r.keywords)
