@@ -5,7 +5,7 @@ is a row filter or rewrite on them, and the final keyword set is
 ``sort_array(collect_set(kw))`` per document.  Statistical candidates use the
 published YAKE features (term frequency, casing, sentence position and spread,
 neighbour diversity), semantic ones the cosine of hashed embeddings; both come out of
-one pass (:mod:`postlens.operators.termgraph`), and ``extract_keywords`` applies the
+one pass (:mod:`postlens.operators.termgraph`), near duplicates among them are dropped there too, and ``extract_keywords`` applies the
 same rules to arrays inside the document's row, without any shuffle.
 """
 
@@ -71,6 +71,10 @@ def tickers(df: DataFrame, key: str, text: str) -> DataFrame:
     return w.where(_is_ticker(F.col("kw"))).withColumn("kw", F.regexp_replace("kw", "[,.]", ""))
 
 
+#: What a '$' begins in :func:`_spaced`, up to the next space, '$' or newline (which stays).
+TICKER = r"\$[^ $\n]*+\n?"
+
+
 def _spaced(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\n"), F.lit("\n ")), F.lit("$"), F.lit(" $"))
 
@@ -186,32 +190,6 @@ def bigram_stats(df: DataFrame, key: str, text: str, window: int = 7, top: int |
     return _ranked(df, key, text, window, 2, top).select(key, "term", "tf", "score", "rank")
 
 
-def _greedy(terms: Column, term, threshold: float, top: int | None) -> Column:
-    """Of an array in order of rank the elements that are not too similar to a better one that stays
-    (in order of rank too if there is a cut)."""
-    least = int(1 / (1 - threshold))  # shorter terms can't be that similar to a different one
-
-    def similar(a: Column, b: Column) -> Column:
-        longer = F.greatest(F.length(a), F.length(b))
-        close = F.abs(F.length(a) - F.length(b)) < longer * (1 - threshold)
-        return F.when((longer > least) & close, F.lit(1.0) - F.levenshtein(a, b) / longer > threshold).otherwise(a == b)
-
-    def fold(some: Column, full) -> Column:
-        return F.aggregate(some, F.slice(some, 1, 0), lambda acc, x: F.when(
-            full(acc) | F.exists(acc, lambda y: similar(term(y), term(x))), acc).otherwise(F.concat(acc, F.array(x))))
-    if top is not None:
-        return fold(terms, lambda acc: F.size(acc) >= top)
-    # without a cut: a short term goes only for an equal one before it, so just the long ones are compared
-    once = _bind(F.filter(terms, lambda x: F.length(term(x)) < least), lambda short: _bind(
-        F.transform(short, term), lambda names: F.filter(short, lambda x, i: F.array_position(names, term(x)) == i + 1)))
-    return F.concat(once, fold(F.filter(terms, lambda x: F.length(term(x)) >= least), lambda acc: F.lit(False)))
-
-
-def _bind(value: Column, body) -> Column:
-    """``body(value)``, the value computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def near_dup(ranked: DataFrame, key: str = "doc_id", threshold: float = DEDUP_SIMILARITY, top: int | None = None) -> DataFrame:
     """Greedy removal in order of ``rank``: a term goes if it is more than ``threshold`` similar
     (``1 - levenshtein / max length``) to a better term of its document that stays; the first
@@ -251,22 +229,23 @@ def extract_keywords(df: DataFrame, key: str, text: str) -> DataFrame:
     Everything stays in the document's row.  Null and wordless texts have no keywords; rows of
     one key are rows of their own.
     """
-    found = candidates(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", {"one": (1, 1), "two": (7, 2)},
-                       (SEMANTIC_TOP, SEMANTIC_THRESHOLD))
-
-    def best(column: str, top: int) -> Column:
-        return _greedy(F.transform(column, lambda x: x["term"]), lambda x: x, DEDUP_SIMILARITY, top)
-    ranked = F.concat(best("one", 20), F.transform("similar", lambda x: x["term"]), best("two", 10))
+    found = candidates(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", None,
+                       (SEMANTIC_TOP, SEMANTIC_THRESHOLD), {"one": (1, 1, 20, DEDUP_SIMILARITY), "two": (7, 2, 10, DEDUP_SIMILARITY)})
+    ranked = F.concat("one", F.transform("similar", lambda x: x["term"]), "two")
     stat = F.filter(F.transform(ranked, _quiet), lambda k: k.isNotNull())
     t = F.coalesce("text", F.lit(""))
 
     def no_marks(k: Column) -> Column:
         return F.regexp_replace(k, "[,.]", "")
+
+    def upper(blank: str) -> Column:  # the words of a split at blanks that have an upper-case letter
+        return F.regexp_extract_all(t, F.lit(rf"(?<![^{blank}])[^{blank}\p{{Lu}}]*+\p{{Lu}}[^{blank}]*+"), 0)
+
     extra = F.concat(
-        F.transform(F.filter(F.split(_spaced(t), " "), _is_ticker), no_marks),
-        F.filter(F.transform(F.split(t, r"[ \t\r\n]+"), lambda k: F.regexp_replace(k, TOKEN_EDGES, "")), _is_special),
-        F.filter(F.transform(F.filter(F.split(t, " "), lambda k: F.length(k) > 1), no_marks), _is_acronym))
+        F.transform(F.filter(F.regexp_extract_all(t, F.lit(TICKER), 0), _is_ticker), no_marks),
+        F.filter(F.transform(upper(r" \t\r\n"), lambda k: F.regexp_replace(k, TOKEN_EDGES, "")), _is_special),
+        F.filter(F.transform(F.filter(upper(" "), lambda k: F.length(k) > 1), no_marks), _is_acronym))
     found = found.select("key", stat.alias("stat"), extra.alias("extra"))
     parts = F.flatten(F.transform(F.array_distinct(F.concat("stat", "extra")), _parts))
     valid = F.filter(F.transform(parts, _without_urls), _is_valid)
-    return found.select(F.col("key").alias(key), F.array_sort(F.array_distinct(F.flatten(F.transform(valid, _cases)))).alias("keywords"))
+    return found.select(F.col("key").alias(key), F.sort_array(F.array_distinct(F.flatten(F.transform(valid, _cases)))).alias("keywords"))
