@@ -32,6 +32,16 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Rows of a small intermediate table that share a partition, and so a checkpoint file.
+PART_ROWS = 50_000
+
+
+def checkpoint_about(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpoint of about ``rows`` rows in as many files as they need (one a core at least), however
+    many partitions the last shuffle has.  ``rows`` decides the number of files only."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS))).checkpoint()
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint_about
+
 #: Steps double the contracted distance; this many cover any graph that fits in a cluster.
 MAX_ROUNDS = 60
 
@@ -34,17 +36,20 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", about: int | None = None) -> DataFrame:
     """(node, root) for every node with an edge to a different one; root is the smallest
     node of its component.  Null ends, loops and repeated edges don't matter; no edges
-    give no rows.  Ends may be of any one orderable and hashable type.
+    give no rows.  Ends may be of any one orderable and hashable type.  ``about`` is a guess at
+    the number of edges; it decides the number of files that hold them, nothing else.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct().checkpoint()
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
+    e = e.checkpoint() if about is None else checkpoint_about(e, about)
     state = _state(e)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        e = _star(_star(e, True), False).checkpoint()
+        # a large star makes no more edges than it is given, a small star at most twice as many
+        e = checkpoint_about(_star(_star(e, True), False), 2 * state[0])
         before, state = state, _state(e)
         if before == state:
             break

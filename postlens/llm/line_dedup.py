@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, hash_filter, may_hold, replace_columns, row_key
+from .common import bound_batches, checkpoint_about, hash_filter, may_hold, replace_columns, row_key
 from .components import components
 
 SHINGLE = 8  # characters
@@ -32,7 +32,7 @@ MIN_CHARS = 6
 BLOCK = 4_000
 FEW = 24  # lines of a group that are compared as plain sets
 _FLAT = 1 << 16  # shingles hashed at a time
-_MET = 500_000  # line hashes that a task remembers
+_MET = 1 << 20  # line hashes that a task remembers, each at the place of its trailing bits
 _MULTIPLIERS = (np.random.default_rng(20240607).integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
@@ -70,15 +70,15 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 
 def _band_batches(batches):
-    met: set[int] = set()  # lines of this task; beyond the bound a line is only sent once more
+    # the last line of this task met at each place; a line that another one took the place of is only sent once more
+    met = ~np.arange(_MET, dtype=np.int64)  # what no line at that place can be
     for batch in batches:
         h1 = batch.column(1).to_numpy()
         new = np.zeros(len(h1), bool)
         new[np.unique(h1, return_index=True)[1]] = True
-        new &= np.fromiter((h not in met for h in h1.tolist()), bool, len(h1))
+        new &= met[h1 & (_MET - 1)] != h1
         h1 = h1[new]
-        if len(met) < _MET:
-            met.update(h1.tolist())
+        met[h1 & (_MET - 1)] = h1
         lines, lo, keys = batch.column(0).filter(pa.array(new)).to_pylist(), 0, [np.zeros((0, BANDS), np.uint64)]
         while lo < len(lines):
             hi, size = lo, 0
@@ -226,6 +226,20 @@ def similar_pairs(lines: list[str], least: float = SIMILARITY) -> np.ndarray:
     return gap >= 0
 
 
+def _sets_by_group(lines: pa.Array, lengths: np.ndarray, places: list[np.ndarray]):
+    """The shingle sets of each group of lines; those of about _FLAT characters are in memory at a time."""
+    lo = 0
+    while lo < len(places):
+        hi, size = lo, 0
+        while hi < len(places) and (hi == lo or size + lengths[places[hi]].sum() <= _FLAT):
+            size += lengths[places[hi]].sum()
+            hi += 1
+        sets = iter(shingle_sets(lines.take(pa.array(np.concatenate(places[lo:hi]))).to_pylist()))
+        for at in places[lo:hi]:
+            yield [next(sets) for _ in at]
+        lo = hi
+
+
 def _verify_batches(least: float):
     def run(batches):
         for batch in batches:
@@ -255,12 +269,11 @@ def _verify_batches(least: float):
             open_[few] = (others > 1) & (np.bincount(of, ~near, minlength=len(n1))[few] > 0)
             walked = np.flatnonzero(open_)
             places = [np.concatenate([np.arange(at1[g], at1[g] + n1[g]), np.arange(at2[g], at2[g] + n2[g])]) for g in walked.tolist()]
-            small = [at for at in places if len(at) <= FEW]
-            sets = iter(shingle_sets(rows[0].take(pa.array(np.concatenate([np.zeros(0, np.int64), *small]))).to_pylist()))
+            sets = _sets_by_group(rows[0], lengths, [at for at in places if len(at) <= FEW])
             for g, at in zip(walked.tolist(), places):
                 cut = int(n1[g]) if split[g] else None
                 if len(at) <= FEW:
-                    found = _link_few([next(sets) for _ in at], cut, least)
+                    found = _link_few(next(sets), cut, least)
                 else:
                     found = link_lines(rows[0].take(pa.array(at)).to_pylist(), cut, least)
                 edges.append(at[np.array(found, np.int64).reshape(-1, 2)])
@@ -306,7 +319,7 @@ def line_roots(lines: DataFrame, similarity: float = SIMILARITY, block: int = BL
     edges = pairs.mapInArrow(_verify_batches(similarity), "a1 long, a2 long, b1 long, b2 long")
     edges = edges.select(F.struct(F.col("a1").alias("p"), F.col("a2").alias("q")).alias("a"),
                          F.struct(F.col("b1").alias("p"), F.col("b2").alias("q")).alias("b"))
-    return components(edges).select(F.col("node.p").alias("h1"), F.col("node.q").alias("h2"),
+    return components(edges, about=shared.count()).select(F.col("node.p").alias("h1"), F.col("node.q").alias("h2"),
                                     F.col("root.p").alias("r1"), F.col("root.q").alias("r2"))
 
 
@@ -331,12 +344,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int
     # one row per distinct line and task goes into the shuffle; lines met once that are like no other end here
     seen = places.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     rooted = seen.join(roots, ["h1", "h2"], "left").filter("n > 1 or r1 is not null").select(
-        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first").checkpoint()
+        "h1", "h2", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"), "first", "n").checkpoint()
+    many, stand = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = rooted.groupBy("r1", "r2").agg(F.min("first").alias("stays"))
-    repeated = rooted.select("h1", "h2", "r1", "r2").join(least, ["r1", "r2"]).select("h1", "h2", "stays").checkpoint()
+    repeated = checkpoint_about(rooted.select("h1", "h2", "r1", "r2").join(least, ["r1", "r2"]).select("h1", "h2", "stays"), many)
     gone = places.filter(may_hold(hash_filter(repeated, "h1"), F.col("h1"))).join(repeated, ["h1", "h2"]).filter("place != stays")
-    lists = (gone.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_pl_gone"))  # bounded by one document
-             .select(F.col("doc_id").alias("_pl_doc"), F.col("_key").alias("_pl_key"), "_pl_gone").checkpoint())
+    lists = gone.groupBy("doc_id", "_key").agg(F.sort_array(F.collect_set("pos")).alias("_pl_gone"))  # bounded by one document
+    lists = checkpoint_about(lists.select(F.col("doc_id").alias("_pl_doc"), F.col("_key").alias("_pl_key"), "_pl_gone"), stand)
     own = docs.withColumn("_pl_own", row_key(f"`{doc_id}`", f"`{text}`"))
     # documents that surely lose no line aren't shuffled
     loses = may_hold(hash_filter(lists, "_pl_key"), F.col("_pl_own"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import bound_batches
+from .common import bound_batches, checkpoint_about
 from .components import components
 
 BITS = 64
@@ -216,12 +216,14 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def links(fps: DataFrame, most: int = 4, max_group: int = MAX_GROUP) -> DataFrame:
-    """Edges (a, b) that span the components of the distinct fingerprints in ``fp``."""
+    """Edges (a, b) that span the components of the distinct fingerprints in ``fp``, which are read several times."""
     edges = None
+    many = fps.count()
     work, masks = fps.select("fp"), first_masks(most)
     members = _keyed(work, masks)
     while True:
-        count = members.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+        count = checkpoint_about(members.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"),
+                                 many * len(first_masks(most)) // 2)
         fits = members.join(count.filter(F.col("n") <= max_group).drop("n"), ["mask", "key"])
         found = (fits.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
                  .mapInPandas(_link_batches(most), "a long, b long").distinct())
@@ -252,8 +254,9 @@ def keepers(docs: DataFrame, order: Column, n: int = 4, most: int = 4, doc_id: s
     bound_batches(docs.sparkSession)
     prints = fingerprints(docs, n, doc_id, text, order.alias("least")).checkpoint()
     alike = prints.groupBy("fp", "least").agg(F.count(F.lit(1)).alias("n"))
-    distinct = alike.groupBy("fp").agg(F.min(F.struct("least", "n")).alias("first")).checkpoint()
-    roots = components(links(distinct, most, max_group))
+    many = prints.count()
+    distinct = checkpoint_about(alike.groupBy("fp").agg(F.min(F.struct("least", "n")).alias("first")), many)
+    roots = components(links(distinct, most, max_group), about=many)
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left")
     return joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*")
 
@@ -270,8 +273,9 @@ def groups(docs: DataFrame, n: int = 4, most: int = 4, doc_id: str = "doc_id", t
     """
     bound_batches(docs.sparkSession)
     prints = fingerprints(docs, n, doc_id, text).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    roots = components(links(distinct, most, max_group))
+    many = prints.count()
+    distinct = checkpoint_about(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), many)
+    roots = components(links(distinct, most, max_group), about=many)
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -42,6 +44,40 @@ def test_components(spark, edges):
     assert got == _roots({x for e in real for x in e}, real)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """A session whose shuffles end in 64 partitions whatever they hold; gives the count of checkpoint files."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    yield lambda: sum(1 for _ in folder.rglob("part-*"))
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_components_of_few_edges_take_few_files(spark, many_partitions):
+    before, rounds = many_partitions(), []
+    edges = [(i, i + 1) for i in range(40)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), about=len(edges)).collect()}
+    assert got == {i: 0 for i in range(41)}
+    # several rounds, one file a core each
+    assert many_partitions() - before <= 12 * spark.sparkContext.defaultParallelism
+
+
+def test_near_duplicates_of_few_rows_take_few_files(spark, docs_of, many_partitions):
+    docs = docs_of(*[(i, f"the same line in every one\nand a line of its own, number {i * 7919}") for i in range(30)]).repartition(4)
+    before = many_partitions()
+    lost = line_dedup.dedup_lines(docs).filter(F.size("removed") > 0).count()
+    assert lost >= 29
+    middle = many_partitions()
+    # candidates and the places of lines fill the shuffle's partitions, what comes of them does not
+    assert middle - before <= 2 * 64 + 12 * spark.sparkContext.defaultParallelism
+    assert simhash_groups.groups(docs).count() == 30
+    assert many_partitions() - middle <= 12 * spark.sparkContext.defaultParallelism
+
+
 # ---- SimHash ------------------------------------------------------------------------
 
 def _print(text):
@@ -180,6 +216,42 @@ def test_line_dedup_takes_short_lines(spark, docs_of):
     assert got == {1: [], 2: [0, 1], 3: [1], 4: []}
 
 
+def test_sets_of_a_batch_are_made_in_pieces(monkeypatch):
+    r = random.Random(8)
+    # groups of three: the first is unlike the others, which are copies but for a word
+    groups = []
+    for _ in range(60):
+        first, second = (" ".join("%06x" % r.randrange(1 << 24) for _ in range(60)) for _ in range(2))
+        groups.append([first, second, second[:-6] + "ending"])
+    sizes = []
+    made = line_dedup.shingle_sets
+    monkeypatch.setattr(line_dedup, "_FLAT", 4_000)
+    monkeypatch.setattr(line_dedup, "shingle_sets", lambda lines: sizes.append(sum(map(len, lines))) or made(lines))
+    row = pa.struct([("line", pa.string()), ("h1", pa.int64()), ("h2", pa.int64())])
+    ids = iter(range(1000))
+    first = pa.array([[{"line": x, "h1": next(ids), "h2": 0} for x in g] for g in groups], pa.list_(row))
+    batch = pa.RecordBatch.from_arrays([first, pa.nulls(len(groups), pa.list_(row))], names=["first", "second"])
+    (edges,) = line_dedup._verify_batches(0.8)([batch])
+    assert sorted(zip(edges["a1"].to_pylist(), edges["b1"].to_pylist())) == [(3 * k + 1, 3 * k + 2) for k in range(60)]
+    assert max(sizes) <= 4_000 and sum(sizes) == sum(len(x) for g in groups for x in g)
+
+
+def test_a_task_forgets_no_line_that_it_has_not_sent(monkeypatch):
+    monkeypatch.setattr(line_dedup, "_MET", 8)
+    r = random.Random(9)
+    # hashes that share places, one of them 0, and those that an empty place might be taken for
+    hashes = [0, 8, 16, -8, *(~k for k in range(8)), *(r.randrange(-1 << 63, 1 << 63) for _ in range(100)), 0, 8, 0, 0, -1]
+    sent = []
+    for k in range(0, len(hashes), 7):
+        own = hashes[k:k + 7]
+        batch = pa.RecordBatch.from_arrays([pa.array([f"line number {h}" for h in own]), pa.array(own, pa.int64())], names=["line", "h1"])
+        (out,) = line_dedup._band_batches([batch])
+        sent += out["h1"].to_pylist()
+    assert set(sent) == set(hashes) and Counter(sent)[0] == line_dedup.BANDS * 2  # each call is a task of its own
+    copies = pa.RecordBatch.from_arrays([pa.array(["the same line"] * 3), pa.array([5, 5, 5], pa.int64())], names=["line", "h1"])
+    assert [len(b) for b in line_dedup._band_batches([copies, copies])] == [line_dedup.BANDS, 0]
+
+
 # ---- sentences ----------------------------------------------------------------------
 
 def _spans_brute(rows, least=sentence_spans.MIN_WORDS):
